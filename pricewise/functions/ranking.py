@@ -12,6 +12,11 @@ partitions. The per-partition counts table has one row per partition (a
 proven size bound), so it is broadcast. Range partitioning samples the keys,
 so a value shared by many rows cannot pile into one task unless the order key
 itself is not unique; callers always end the order with a unique key.
+
+The numbered partitions are written once with a reliable ``checkpoint()``
+(to the cluster's checkpoint folder): the counts and the rows then come from
+the same materialisation, so a recomputation after an executor loss cannot
+number rows against offsets from a different range sample.
 """
 from __future__ import annotations
 
@@ -20,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def seeded_hash(seed: int | str, *parts: Column | str, salt: str = "") -> Column:
     """md5 hex of ``seed|salt|part1|part2…``; a uniform, reproducible sort key."""
@@ -39,12 +46,13 @@ def global_row_number(
     the numbering depend on the sort's stability).
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     # monotonically_increasing_id = (partition id << 33) + row position inside the partition
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    )
+    ).checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

@@ -4,7 +4,7 @@ Exact quantiles
 ---------------
 ``percentile`` keeps every distinct value of the column on one reducer, which
 does not survive 100 TB. ``exact_quantiles`` gets the same numbers (NumPy's
-default linear interpolation) in three bounded passes:
+default linear interpolation) in four bounded passes, shared by all columns:
 
 1. ``count`` and ``approx_percentile`` at bracket probabilities around every
    needed order statistic (rank error of the sketch is at most n / accuracy);
@@ -47,56 +47,79 @@ def _order_stat_targets(n: int, probs: Sequence[float]) -> list[tuple[float, int
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = APPROX_ACCURACY) -> list[float] | None:
-    """Linear-interpolated quantiles over the finite values of ``col``.
-
-    Returns None when the column has no finite value. Only O(len(probs)) numbers
-    and O(n / accuracy) distinct values per target ever reach the driver.
-    """
-    vals = df.select(F.col(col).cast("double").alias("v")).where(is_finite(F.col("v")))
-    n = vals.count()
-    if n == 0:
-        return None
-    targets = _order_stat_targets(n, probs)
-    ranks = sorted({r for _, lo, hi, _ in targets for r in (lo, hi)})
-    slack = n // accuracy + 2
-    lo_p = [max(0.0, (r - slack) / max(n - 1, 1)) for r in ranks]
-    hi_p = [min(1.0, (r + slack) / max(n - 1, 1)) for r in ranks]
-    row = vals.agg(
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in lo_p]), accuracy).alias("lo"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in hi_p]), accuracy).alias("hi"),
-    ).first()
-    brackets = list(zip(ranks, row["lo"], row["hi"]))
-
+    """Linear-interpolated quantiles over the finite values of ``col`` (None if there are none)."""
+    return exact_quantiles_multi(df, {col: F.col(col)}, probs, accuracy)[col]
+
+
+def exact_quantiles_multi(
+    df: DataFrame,
+    columns: dict[str, Column],
+    probs: Sequence[float],
+    accuracy: int = APPROX_ACCURACY,
+) -> dict[str, list[float] | None]:
+    """Exact quantiles of several columns in four passes shared by all of them.
+
+    Only O(columns × probs) numbers and O(n / accuracy) distinct values per
+    target reach the driver; no task ever holds all values of a column."""
+    names = list(columns)
+    vals = df.select(*[finite_or_null(columns[c].cast("double")).alias(f"c{i}") for i, c in enumerate(names)])
+    counts = vals.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    plan: dict[int, tuple[int, list, list]] = {}
+    aggs = []
+    for i in range(len(names)):
+        n = counts[f"n{i}"]
+        if not n:
+            continue
+        targets = _order_stat_targets(n, probs)
+        ranks = sorted({r for _, lo, hi, _ in targets for r in (lo, hi)})
+        slack = n // accuracy + 2
+        lo_p = [max(0.0, (r - slack) / max(n - 1, 1)) for r in ranks]
+        hi_p = [min(1.0, (r + slack) / max(n - 1, 1)) for r in ranks]
+        plan[i] = (n, targets, ranks)
+        aggs += [
+            F.percentile_approx(f"c{i}", F.array(*[F.lit(p) for p in lo_p]), accuracy).alias(f"lo{i}"),
+            F.percentile_approx(f"c{i}", F.array(*[F.lit(p) for p in hi_p]), accuracy).alias(f"hi{i}"),
+        ]
+    out: dict[str, list[float] | None] = {c: None for c in names}
+    if not plan:
+        return out
+    approx = vals.agg(*aggs).first()
+    brackets = []  # (target id, column index, rank, lo, hi)
+    for i, (_, _, ranks) in plan.items():
+        for r, lo, hi in zip(ranks, approx[f"lo{i}"], approx[f"hi{i}"]):
+            brackets.append((len(brackets), i, r, float(lo), float(hi)))
     below = vals.agg(*[
-        F.count_if(F.col("v") < F.lit(lo)).alias(f"b{i}") for i, (_, lo, _) in enumerate(brackets)
+        F.count_if(F.col(f"c{i}") < F.lit(lo)).alias(f"b{t}") for t, i, _, lo, _ in brackets
     ]).first()
-
-    bounds = vals.sparkSession.createDataFrame(
-        [(i, float(lo), float(hi)) for i, (_, lo, hi) in enumerate(brackets)], "t int, lo double, hi double"
+    spark = df.sparkSession
+    bounds = spark.createDataFrame(
+        [(t, i, lo, hi, int(r - below[f"b{t}"])) for t, i, r, lo, hi in brackets],
+        "t int, ci int, lo double, hi double, k long",
     )
+    long = vals.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), F.col(f"c{i}").alias("v")) for i in plan
+    ])).alias("x")).select("x.ci", "x.v").where(F.col("v").isNotNull())
     inside = (
-        vals.join(F.broadcast(bounds), (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        .groupBy("t", "v").agg(F.count(F.lit(1)).alias("c"))
+        long.join(F.broadcast(bounds), (long.ci == bounds.ci) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        .groupBy("t", "k", "v").agg(F.count(F.lit(1)).alias("c"))
     )
     w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = inside.withColumn("cum", F.sum("c").over(w))
-    # order statistic r (0-based) is the first value whose cumulative count exceeds r - below
-    need = vals.sparkSession.createDataFrame(
-        [(i, int(r - below[f"b{i}"])) for i, (r, _, _) in enumerate(brackets)], "t int, k long"
-    )
     found = (
-        cum.join(F.broadcast(need), "t").where(F.col("cum") > F.col("k"))
-        .groupBy("t").agg(F.min("v").alias("v"))
-        .collect()
+        inside.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") > F.col("k"))
+        .groupBy("t").agg(F.min("v").alias("v")).collect()
     )
-    value_at = {ranks[r["t"]]: r["v"] for r in found}
-    if len(value_at) != len(ranks):  # bracket missed: fall back to the exact aggregate
-        res = vals.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in probs])).alias("p")).first()["p"]
-        return [float(x) for x in res]
-    out = []
-    for _, lo, hi, frac in targets:
-        a, b = value_at[lo], value_at[hi]
-        out.append(a + (b - a) * frac if frac else a)
+    got = {r["t"]: r["v"] for r in found}
+    for i, (n, targets, ranks) in plan.items():
+        ts = {r: t for t, ci, r, _, _ in brackets if ci == i}
+        if any(ts[r] not in got for r in ranks):  # bracket missed: exact aggregate fallback
+            res = vals.agg(F.percentile(f"c{i}", F.array(*[F.lit(float(q)) for q in probs]))).first()[0]
+            out[names[i]] = [float(x) for x in res]
+            continue
+        value_at = {r: got[ts[r]] for r in ranks}
+        out[names[i]] = [
+            value_at[lo] + (value_at[hi] - value_at[lo]) * frac if frac else value_at[lo]
+            for _, lo, hi, frac in targets
+        ]
     return out
 
 

@@ -61,7 +61,7 @@ def vocabulary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), _as_level(c).alias("value")) for c in cols
     ])).alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull())
-    distinct = long.groupBy("column", "value").agg()
+    distinct = long.distinct()
     # levels are already distinct and few; the window only sorts them per column
     ranked = distinct.withColumn(
         "position", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("int"))

@@ -64,3 +64,120 @@ oracle("d3_split", with_split() + "SELECT listing_key, CASE WHEN holdout THEN 'h
 oracle("d4_counts", with_split() + """
 SELECT count(*) AS total, count(*) FILTER (WHERE NOT holdout) AS train, count(*) FILTER (WHERE holdout) AS holdout
 FROM splitted""")
+
+from ..functions.stats import norm_ppf_sql  # noqa: E402
+from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES  # noqa: E402
+
+EVAL_CTES = """,
+train AS (SELECT * FROM splitted WHERE NOT holdout),
+hold AS (SELECT * FROM splitted WHERE holdout AND price < 90000.0),
+scored AS (SELECT *, seat_number * width AS prediction FROM hold)
+"""
+
+
+def with_eval() -> str:
+    return with_split() + EVAL_CTES
+
+
+# --------------------------------------------------------------------------- T1, T6
+oracle("t1_folds", with_eval() + """
+SELECT listing_key, CAST(ntile(5) OVER (ORDER BY md5('1001||' || listing_key), listing_key) - 1 AS INT) AS fold
+FROM train WHERE price < 90000.0""")
+oracle("t6_fingerprint", with_eval() + """
+SELECT CASE WHEN holdout THEN 'holdout' ELSE 'train' END AS split, count(*) AS n,
+  substr(sha256(CAST(count(*) AS VARCHAR) || '|' || CAST(sum(CAST(('0x' || substr(md5(
+    concat_ws('|', listing_key, CAST(stratum AS VARCHAR))), 1, 15)) AS BIGINT)) AS VARCHAR)), 1, 16) AS fingerprint
+FROM splitted GROUP BY 1""")
+
+# --------------------------------------------------------------------------- F
+oracle("f1_flatten", cte_sql("listings") + """
+SELECT listing_key, price AS "parsed_json.price", width AS "parsed_json.specifications.dimensions.width",
+  depth AS "parsed_json.specifications.dimensions.depth", height AS "parsed_json.specifications.dimensions.height",
+  material_1 AS "parsed_json.specifications.material" FROM listings""")
+
+
+def _vocab_sql(src: str) -> str:
+    parts = []
+    for c in CATEGORICAL_FEATURES:
+        vt = "boolean" if c in ("reclining", "pull_out_bed", "storage") else "string"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS position, v AS value, "
+            f"'{vt}' AS value_type FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {src} WHERE {c} IS NOT NULL)")
+    return "\nUNION ALL\n".join(parts)
+
+
+oracle("f6_vocab", with_eval() + _vocab_sql("train"))
+oracle("f4_known", with_eval() + "SELECT listing_key, " + ", ".join(
+    f"CASE WHEN CAST(h.{c} AS VARCHAR) IN (SELECT CAST({c} AS VARCHAR) FROM train WHERE {c} IS NOT NULL) "
+    f"THEN CAST(h.{c} AS VARCHAR) END AS {c}" for c in CATEGORICAL_FEATURES
+) + " FROM splitted h WHERE h.holdout")
+oracle("f9_align", cte_sql("listings") + f"SELECT {FEATURE_COLS} FROM listings")
+
+# --------------------------------------------------------------------------- R1–R4
+_NUMERIC_DEFAULTS = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS field, {i} AS position, coalesce(median(CASE WHEN {c} > 0 THEN CAST({c} AS DOUBLE) END), "
+    f"median(CAST({c} AS DOUBLE)), 1.0) AS d FROM train"
+    for i, c in enumerate(NUMERIC_FEATURES)
+)
+_COUNTS = ",\nvocab AS (" + _vocab_sql("train") + "),\nlong AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM train WHERE {c} IS NOT NULL"
+    for c in CATEGORICAL_FEATURES
+) + """),
+cnt AS (SELECT "column", value, count(*) AS n FROM long GROUP BY ALL),
+lv AS (SELECT v."column", v.position, v.value, coalesce(c.n, 0) AS n FROM vocab v LEFT JOIN cnt c USING ("column", value)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, position) AS rank FROM lv),
+numd AS (""" + _NUMERIC_DEFAULTS + ")\n"
+
+oracle("r1_numeric", with_eval() + _COUNTS + "SELECT field, position, round(d, 6) AS \"default\" FROM numd")
+oracle("r2_mode", with_eval() + _COUNTS + "SELECT \"column\", value FROM rk WHERE rank = 1")
+oracle("r3_topk", with_eval() + _COUNTS + "SELECT \"column\", rank, value, n FROM rk WHERE rank <= 10")
+oracle("r4_schema", with_eval() + _COUNTS + """
+SELECT 'numeric_default' AS section, field, position, printf('%.6f', d) AS value FROM numd
+UNION ALL SELECT 'allowed', "column", position, value FROM vocab
+UNION ALL SELECT 'top', "column", CAST(rank - 1 AS INT), value FROM rk WHERE rank <= 10
+UNION ALL SELECT 'categorical_default', "column", 0, value FROM rk WHERE rank = 1""")
+
+# --------------------------------------------------------------------------- V2–V10
+oracle("v2_metrics", with_eval() + """
+SELECT count(*) AS n, round(sqrt(avg((price - prediction) * (price - prediction))), 4) AS rmse,
+  round(1.0 - sum((price - prediction) * (price - prediction)) / (var_pop(price) * count(*)), 4) AS r2 FROM scored""")
+oracle("v4_residuals", with_eval() + "SELECT listing_key, price - prediction AS residual FROM scored")
+oracle("v5_range", with_eval() + """
+SELECT least(min(price), min(prediction)) AS lo, greatest(max(price), max(prediction)) AS hi FROM scored""")
+oracle("v6_histogram", with_eval() + """,
+res AS (SELECT price - prediction AS r FROM scored),
+rng AS (SELECT CASE WHEN min(r) = max(r) THEN min(r) - 0.5 ELSE min(r) END AS lo,
+               CASE WHEN min(r) = max(r) THEN max(r) + 0.5 ELSE max(r) END AS hi FROM res),
+b AS (SELECT least(CAST(floor(30.0 * (r - lo) / (hi - lo)) AS BIGINT) + 1, 30) AS bin FROM res, rng),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT g.bin, round(lo + (hi - lo) * (g.bin - 1) / 30.0, 4) AS edge_lo, round(lo + (hi - lo) * g.bin / 30.0, 4) AS edge_hi,
+  coalesce(c.n, 0) AS count
+FROM (SELECT range AS bin FROM range(1, 31)) g CROSS JOIN rng LEFT JOIN c ON c.bin = g.bin""")
+_P = ("CASE WHEN i = 1 THEN 1.0 - pow(0.5, 1.0 / n) WHEN i = n THEN pow(0.5, 1.0 / n) "
+      "ELSE (i - 0.3175) / (n + 0.365) END")
+oracle("v7_qq", with_eval() + f""",
+res AS (SELECT listing_key, price - prediction AS osr FROM scored),
+pts AS (SELECT row_number() OVER (ORDER BY osr, listing_key) AS i, osr, CAST(count(*) OVER () AS DOUBLE) AS n FROM res),
+q AS (SELECT i, osr, {norm_ppf_sql(_P)} AS osm FROM pts),
+line AS (SELECT regr_slope(osr, osm) AS slope, regr_intercept(osr, osm) AS intercept, regr_r2(osr, osm) AS r2 FROM q)
+SELECT i, osr, round(osm, 6) AS osm, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r2
+FROM q, line""")
+
+_NUM_LIST = ", ".join(NUMERIC_FEATURES)
+_PERM = with_eval() + f""",
+base AS (SELECT listing_key, price, {_NUM_LIST}, row_number() OVER (ORDER BY listing_key) AS j FROM hold),
+grid AS (SELECT f.feature, CAST(r.range AS INT) AS rep FROM (VALUES {", ".join(f"('{c}')" for c in NUMERIC_FEATURES)}) f(feature), range(10) r),
+blown AS (SELECT base.*, grid.feature, grid.rep FROM base, grid),
+hr AS (SELECT feature, rep, {_NUM_LIST}, row_number() OVER (PARTITION BY feature, rep
+        ORDER BY md5('1001||' || feature || '|' || CAST(rep AS VARCHAR) || '|' || listing_key), listing_key) AS j FROM blown),
+perm AS (SELECT b.listing_key, b.price, b.feature, b.rep, {", ".join(
+    f"CASE WHEN b.feature = '{c}' THEN h.{c} ELSE b.{c} END AS {c}" for c in NUMERIC_FEATURES)}
+  FROM blown b JOIN hr h ON b.feature = h.feature AND b.rep = h.rep AND b.j = h.j),
+per_rep AS (SELECT feature, rep, sqrt(avg((price - seat_number * width) * (price - seat_number * width))) AS rmse
+            FROM perm GROUP BY feature, rep),
+base_rmse AS (SELECT sqrt(avg((price - seat_number * width) * (price - seat_number * width))) AS b FROM base),
+imp AS (SELECT feature, avg(rmse - b) AS m, stddev_pop(rmse - b) AS s FROM per_rep, base_rmse GROUP BY feature)
+"""
+oracle("v8_permutation", _PERM + "SELECT feature, round(m, 4) AS importance_mean, round(s, 4) AS importance_std FROM imp")
+oracle("v9_topk", _PERM + "SELECT feature, round(m, 4) AS importance_mean FROM imp ORDER BY m DESC, feature LIMIT 20")
+oracle("v10_sample", with_eval() + "SELECT listing_key FROM hold ORDER BY md5('42||' || listing_key), listing_key LIMIT 400")

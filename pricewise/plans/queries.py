@@ -93,3 +93,177 @@ def d3_split(spark, sf):
 @query("d4_counts")
 def d4_counts(spark, sf):
     return SP.split_counts(split_listings(spark, sf))
+
+
+def train_side(spark: SparkSession, sf: str) -> DataFrame:
+    return split_listings(spark, sf).where(~F.col("holdout"))
+
+
+def holdout_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation input: hold-out rows under the price cap (V1)."""
+    return FE.price_cap(split_listings(spark, sf).where(F.col("holdout")), CAP)
+
+
+def expression_scorer(df: DataFrame) -> DataFrame:
+    """A fixed column-expression scorer, so metric operators get exact oracles."""
+    return df.withColumn("prediction", F.col("seat_number") * F.col("width"))
+
+
+def scored_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    return expression_scorer(holdout_capped(spark, sf))
+
+
+# --------------------------------------------------------------------------- T1, T6
+@query("t1_folds")
+def t1_folds(spark, sf):
+    from ..operators.folds import assign_folds
+    tr = FE.price_cap(train_side(spark, sf), CAP)
+    return assign_folds(tr.select(KEY), KEY, k=5, seed=FOLD_SEED).select(KEY, "fold")
+
+
+@query("t6_fingerprint")
+def t6_fingerprint(spark, sf):
+    from ..operators.folds import fingerprint
+    return fingerprint(split_listings(spark, sf), [KEY, "stratum"], by=["split"])
+
+
+# --------------------------------------------------------------------------- F1, F3, F4, F6, F9
+@query("f1_flatten")
+def f1_flatten(spark, sf):
+    nested = listings(spark, sf).select(
+        KEY,
+        F.struct(
+            "price",
+            F.struct(F.struct("width", "depth", "height").alias("dimensions"),
+                     F.col("material_1").alias("material")).alias("specifications"),
+        ).alias("parsed_json"),
+    )
+    return FE.flatten(nested)
+
+
+@query("f3_types")
+def f3_types(spark, sf):
+    return FE.column_kinds(FE.drop_unused(listings(spark, sf).drop(KEY, "part_key", "line_number")))
+
+
+def train_vocabulary(spark, sf):
+    return FE.vocabulary(train_side(spark, sf))
+
+
+@query("f4_known")
+def f4_known(spark, sf):
+    from ..schema import CATEGORICAL_FEATURES
+    hold = split_listings(spark, sf).where(F.col("holdout"))
+    vocab = FE.vocabulary_dict(train_vocabulary(spark, sf))
+    return FE.apply_vocabulary(hold, vocab).select(KEY, *CATEGORICAL_FEATURES)
+
+
+@query("f6_vocab")
+def f6_vocab(spark, sf):
+    return train_vocabulary(spark, sf)
+
+
+@query("f9_align")
+def f9_align(spark, sf):
+    from ..schema import FEATURES
+    return FE.align(listings(spark, sf), FEATURES)
+
+
+# --------------------------------------------------------------------------- R1–R4
+def _baseline_tables(spark, sf):
+    from ..operators import scenarios as SC
+    train = train_side(spark, sf)
+    vocab = FE.vocabulary(train)
+    counts = SC.level_counts(train, vocab)
+    return train, vocab, counts
+
+
+@query("r1_numeric")
+def r1_numeric(spark, sf):
+    from ..operators import scenarios as SC
+    return SC.numeric_defaults(train_side(spark, sf)).select(
+        "field", "position", F.round("default", 6).alias("default"))
+
+
+@query("r2_mode")
+def r2_mode(spark, sf):
+    from ..operators import scenarios as SC
+    _, _, counts = _baseline_tables(spark, sf)
+    return SC.categorical_defaults(counts)
+
+
+@query("r3_topk")
+def r3_topk(spark, sf):
+    from ..operators import scenarios as SC
+    _, _, counts = _baseline_tables(spark, sf)
+    return SC.top_values(counts, 10)
+
+
+@query("r4_schema")
+def r4_schema(spark, sf):
+    from ..operators import scenarios as SC
+    train, vocab, counts = _baseline_tables(spark, sf)
+    return SC.schema_table(SC.numeric_defaults(train), vocab, SC.top_values(counts, 10),
+                           SC.categorical_defaults(counts))
+
+
+# --------------------------------------------------------------------------- V2–V10
+@query("v2_metrics")
+def v2_metrics(spark, sf):
+    from ..operators import evaluate as EV
+    m = EV.metrics(scored_holdout(spark, sf))
+    return m.select("n", F.round("rmse", 4).alias("rmse"), F.round("r2", 4).alias("r2"))
+
+
+@query("v4_residuals")
+def v4_residuals(spark, sf):
+    from ..operators import evaluate as EV
+    return EV.residuals(scored_holdout(spark, sf)).select(KEY, "residual")
+
+
+@query("v5_range")
+def v5_range(spark, sf):
+    from ..operators import evaluate as EV
+    return EV.axis_range(scored_holdout(spark, sf))
+
+
+@query("v6_histogram")
+def v6_histogram(spark, sf):
+    from ..operators import evaluate as EV
+    h = EV.histogram(EV.residuals(scored_holdout(spark, sf)), "residual", 30)
+    return h.select("bin", F.round("edge_lo", 4).alias("edge_lo"), F.round("edge_hi", 4).alias("edge_hi"), "count")
+
+
+@query("v7_qq")
+def v7_qq(spark, sf):
+    from ..operators import evaluate as EV
+    q = EV.qq_points(EV.residuals(scored_holdout(spark, sf)), "residual", KEY)
+    return q.select("i", "osr", F.round("osm", 6).alias("osm"),
+                    *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+def _permutation(spark, sf):
+    from ..operators import evaluate as EV
+    from ..schema import NUMERIC_FEATURES
+    return EV.permutation_importance(holdout_capped(spark, sf), KEY, NUMERIC_FEATURES, expression_scorer,
+                                     repeats=10, seed=FOLD_SEED)
+
+
+@query("v8_permutation")
+def v8_permutation(spark, sf):
+    return _permutation(spark, sf).select(
+        "feature", F.round("importance_mean", 4).alias("importance_mean"),
+        F.round("importance_std", 4).alias("importance_std"))
+
+
+@query("v9_topk")
+def v9_topk(spark, sf):
+    from ..operators import evaluate as EV
+    return EV.top_features(_permutation(spark, sf), 20).select(
+        "feature", F.round("importance_mean", 4).alias("importance_mean"))
+
+
+@query("v10_sample")
+def v10_sample(spark, sf):
+    from ..operators import evaluate as EV
+    return EV.seeded_sample(holdout_capped(spark, sf), KEY, 400, seed=SEED).select(KEY)

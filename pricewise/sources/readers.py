@@ -76,12 +76,13 @@ def read_inference_input(spark: SparkSession, path: str) -> DataFrame:
         doc = spark.read.option("multiLine", True).text(path, wholetext=True)
         v = F.parse_json(F.col("value"))
         t = F.schema_of_variant(v)
-        items = F.when(t.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")).when(
-            t.startswith("OBJECT"), F.variant_get(v, "$.records", "array<variant>"))
+        recs = F.try_variant_get(v, "$.records", "array<variant>")
+        items = (
+            F.when(t.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
+            .when(t.startswith("OBJECT") & recs.isNotNull(), recs)
+            .otherwise(F.raise_error(F.lit("JSON input must be a list or {'records': [...]} object.")))
+        )
         exploded = doc.select(F.posexplode(items).alias("input_index", "item"))
-        bad = doc.select(F.when(items.isNull(), F.raise_error(F.lit(
-            "JSON input must be a list or {'records': [...]} object."))).alias("chk"))
-        exploded = exploded.crossJoin(bad.select("chk")).drop("chk")
         return exploded.select(
             F.col("input_index").cast("long"),
             F.from_json(F.to_json(F.col("item")), INPUT_SCHEMA).alias("entry"),
