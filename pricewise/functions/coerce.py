@@ -24,9 +24,17 @@ TRUE_WORDS = ["true", "yes", "y", "1"]
 FALSE_WORDS = ["false", "no", "n", "0"]
 
 
+# The same set as literal characters, for the (regex-free) trim with a character set.
+PY_WS_CHARS = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(s: Column) -> Column:
     """Python ``str.strip()``: trims Unicode whitespace, not only spaces."""
-    return F.regexp_replace(s, PY_STRIP_RE, "")
+    return F.trim(s, F.lit(PY_WS_CHARS))
 
 
 def vtype(v: Column) -> Column:
@@ -73,7 +81,7 @@ def as_int(v: Column) -> Column:
     digits = F.regexp_extract(F.replace(v_string(v), F.lit(","), F.lit("")), "-?[0-9]+", 0)
     return (
         F.when(t == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-        .when(is_number_type(t), F.when(_finite(d).isNotNull(), d.cast("bigint")))
+        .when(is_number_type(t), F.when(_finite(d).isNotNull(), d.try_cast("bigint")))
         .when(t == "STRING", F.nullif(digits, F.lit("")).try_cast("bigint"))
     )
 

@@ -30,11 +30,17 @@ DEFAULT_RETRY = 1
 
 # --------------------------------------------------------------------------- E1, E2
 def json_text(raw: Column) -> Column:
-    """The JSON object text inside a reply, or null."""
+    """The JSON object text inside a reply, or null.
+
+    (a) the object in a code fence (tagged json or untagged), else (b) the whole
+    text when it is braced, else (c) first '{' to last '}'. The fence regex only
+    runs on replies that contain a fence; (c) is two index lookups."""
     t = py_strip(raw)
-    fenced = F.nullif(F.regexp_extract(t, FENCE_RE, 1), F.lit(""))
+    fenced = F.when(t.contains("```"), F.nullif(F.regexp_extract(t, FENCE_RE, 1), F.lit("")))
     whole = F.when(t.startswith("{") & t.endswith("}"), t)
-    first = F.nullif(F.regexp_extract(t, FIRST_OBJ_RE, 0), F.lit(""))
+    i = F.instr(t, "{")
+    j = F.length(t) - F.instr(F.reverse(t), "}") + 1
+    first = F.when((i > 0) & (F.instr(t, "}") > 0) & (j > i), F.substring(t, i, j - i + 1))
     return F.coalesce(py_strip(fenced), whole, first)
 
 
@@ -49,14 +55,14 @@ def strict_parse(text: Column) -> Column:
     ``try_parse_json`` accepts trailing junk, so validity also requires both
     wrappings to parse and the array wrapping to hold exactly one element.
     """
-    arr = F.concat(F.lit("["), text, F.lit("]"))
-    obj = F.concat(F.lit('{"k":'), text, F.lit("}"))
-    v = F.try_parse_json(text)
+    arr_v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    obj_ok = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}"))).isNotNull()
+    v = F.try_variant_get(arr_v, "$[0]", "variant")
     ok = (
-        F.try_parse_json(arr).isNotNull()
-        & F.try_parse_json(obj).isNotNull()
-        & (F.json_array_length(arr) == 1)
-        & F.schema_of_variant(v).startswith("OBJECT")
+        arr_v.isNotNull()
+        & (F.size(F.try_variant_get(arr_v, "$", "array<variant>")) == 1)
+        & obj_ok
+        & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     )
     return F.when(ok, v)
 
@@ -92,10 +98,8 @@ def material_parts(m: Column) -> Column:
     )
 
 
-def seats_from_sizes(specs: Column) -> Column:
-    """The number before 'seater' in sofa_sizes / size / seater (first truthy; first item of a list)."""
-    s1, s2, s3 = _get(specs, "sofa_sizes"), _get(specs, "size"), _get(specs, "seater")
-    sizes = F.when(is_truthy(s1), s1).when(is_truthy(s2), s2).otherwise(s3)
+def seats_from_variant(sizes: Column) -> Column:
+    """The number before 'seater' in the chosen sizes value (first item of a list)."""
     first = F.when(vtype(sizes).startswith("ARRAY") & is_truthy(sizes), F.try_variant_get(sizes, "$[0]", "variant")).otherwise(sizes)
     txt = F.when(vtype(first) == "STRING", F.lower(v_string(first)))
     return F.nullif(F.regexp_extract(txt, SEATER_RE, 1), F.lit("")).try_cast("bigint")
@@ -132,72 +136,101 @@ def non_string_items(v: Column) -> Column:
     ).otherwise(F.lit(False))
 
 
-def normalize(v: Column) -> dict[str, Column]:
-    """E3–E15 as one column per listing field (schema order) plus the E16 error list."""
-    g = {k: _get(v, k) for k in LISTING_COLUMNS}
-    specs = _get(v, "specifications")
+_AUX_KEYS = ["name", "description", "delivery", "specifications"]
+
+
+def normalize(df: DataFrame, v: str = "_v") -> DataFrame:
+    """E3–E15 as one column per listing field, plus ``_errors``.
+
+    Staged projections: (1) the raw variant of every key used, (2) values
+    that several rules share (specs, material parts, seat text), (3) the
+    typed fields. Each stage is a separate projection, so the shared values
+    are computed once per row instead of inside every conditional branch."""
+    V = F.col(v)
+    stage1 = {f"_g_{k}": _get(V, k) for k in LISTING_COLUMNS + _AUX_KEYS}
+    df = df.withColumns(stage1)
+    g = {k: F.col(f"_g_{k}") for k in LISTING_COLUMNS + _AUX_KEYS}
+    specs = g["specifications"]
     spec_obj = F.coalesce(vtype(specs).startswith("OBJECT"), F.lit(False))
+    s1, s2, s3 = _get(specs, "sofa_sizes"), _get(specs, "size"), _get(specs, "seater")
+    mats_a, mats_b = _get(specs, "materials"), _get(specs, "material")
     dims = _get(specs, "dimensions")
-    dims_obj = spec_obj & F.coalesce(vtype(dims).startswith("OBJECT"), F.lit(False))
+    df = df.withColumns({
+        "_spec_obj": spec_obj,
+        "_dims": F.when(spec_obj & F.coalesce(vtype(dims).startswith("OBJECT"), F.lit(False)), dims),
+        "_mats": F.when(spec_obj, F.when(is_truthy(mats_a), mats_a).otherwise(mats_b)),
+        "_sizes": F.when(spec_obj, F.when(is_truthy(s1), s1).when(is_truthy(s2), s2).otherwise(s3)),
+    })
+    df = df.withColumns({
+        "_use_mats": F.col("_spec_obj") & is_blank(g["material_1"]) & F.coalesce(is_truthy(F.col("_mats")), F.lit(False)),
+        "_parts": material_parts(F.col("_mats")),
+        "_seat_fb": seats_from_variant(F.col("_sizes")),
+    })
+    parts, use_mats, dims_c = F.col("_parts"), F.col("_use_mats"), F.col("_dims")
 
     out: dict[str, Column] = {}
     # E8 currency (before text normalisation, only when absent or JSON null)
-    hint = F.concat(_or_empty(_get(v, "description")), F.lit(" "), _or_empty(_get(v, "delivery")))
-    currency = F.when(_absent_or_null(g["currency"]), currency_from_text(hint)).otherwise(as_text(g["currency"]))
-    # E4 model ← name
-    name = _get(v, "name")
-    model = F.when(is_blank(g["model"]) & (F.coalesce(vtype(name), F.lit("")) == "STRING"),
-                   F.nullif(py_strip(v_string(name)), F.lit(""))).otherwise(as_text(g["model"]))
+    hint = F.concat(_or_empty(g["description"]), F.lit(" "), _or_empty(g["delivery"]))
+    out["currency"] = F.when(_absent_or_null(g["currency"]), currency_from_text(hint)).otherwise(as_text(g["currency"]))
+    # E4 model <- name
+    name = g["name"]
+    out["model"] = F.when(is_blank(g["model"]) & (F.coalesce(vtype(name), F.lit("")) == "STRING"),
+                          F.nullif(py_strip(v_string(name)), F.lit(""))).otherwise(as_text(g["model"]))
     # E5 materials
-    mats_a, mats_b = _get(specs, "materials"), _get(specs, "material")
-    mats = F.when(is_truthy(mats_a), mats_a).otherwise(mats_b)
-    use_mats = spec_obj & is_blank(g["material_1"]) & F.coalesce(is_truthy(mats), F.lit(False))
-    parts = material_parts(mats)
-    material_1 = F.when(use_mats, F.nullif(py_strip(F.get(parts, 0)), F.lit(""))).otherwise(as_text(g["material_1"]))
-    material_2 = F.when(use_mats & (F.size(parts) > 1), F.nullif(py_strip(F.get(parts, 1)), F.lit(""))).otherwise(as_text(g["material_2"]))
-    text = {f: as_text(g[f]) for f in TEXT_FIELDS}
-    text.update(currency=currency, model=model, material_1=material_1, material_2=material_2)
+    out["material_1"] = F.when(use_mats, F.nullif(py_strip(F.get(parts, 0)), F.lit(""))).otherwise(as_text(g["material_1"]))
+    out["material_2"] = F.when(use_mats & (F.size(parts) > 1), F.nullif(py_strip(F.get(parts, 1)), F.lit(""))) \
+        .otherwise(as_text(g["material_2"]))
+    for f in TEXT_FIELDS:
+        out.setdefault(f, as_text(g[f]))                                   # E14
     # E6 dimensions, E9 numbers
-    nums = {}
     for f in NUMBER_FIELDS:
         src = g[f]
         if f in ("width", "depth", "height"):
-            src = F.when(dims_obj & _absent_or_null(g[f]), _get(dims, f)).otherwise(g[f])
-        nums[f] = as_number(src)
+            src = F.when(dims_c.isNotNull() & _absent_or_null(g[f]), _get(dims_c, f)).otherwise(g[f])
+        out[f] = as_number(src)
     # E7 seats, E10 integers
-    seat = F.when(spec_obj & _absent_or_null(g["seat_number"]), seats_from_sizes(specs)).otherwise(as_int(g["seat_number"]))
+    out["seat_number"] = F.when(F.col("_spec_obj") & _absent_or_null(g["seat_number"]), F.col("_seat_fb")) \
+        .otherwise(as_int(g["seat_number"]))
     # E12 product count
     pc = as_int(g["product_count"])
-    product_count = F.when(pc >= 1, pc).otherwise(F.lit(1).cast("bigint"))
-
-    for name_, _ in [(c, None) for c in LISTING_COLUMNS]:
-        if name_ in NUMBER_FIELDS:
-            out[name_] = nums[name_]
-        elif name_ in TEXT_FIELDS:
-            out[name_] = text[name_]
-        elif name_ in BOOL_FIELDS:
-            out[name_] = as_bool(g[name_])          # E11
-        elif name_ == "seat_number":
-            out[name_] = seat
-        elif name_ == "product_count":
-            out[name_] = product_count
-        elif name_ in ARRAY_FIELDS:
-            out[name_] = string_array(g[name_])     # E13
+    out["product_count"] = F.when(pc >= 1, pc).otherwise(F.lit(1).cast("bigint"))
+    for f in BOOL_FIELDS:
+        out[f] = as_bool(g[f])                                             # E11
+    for f in ARRAY_FIELDS:
+        out[f] = string_array(g[f])                                        # E13
     # E16 validation errors (the only failure left after E3–E15)
-    out["_errors"] = F.filter(
+    errors = F.filter(
         F.array(*[F.when(non_string_items(g[f]), F.lit(f"{f}: items must be strings")) for f in ARRAY_FIELDS]),
         lambda x: x.isNotNull(),
     )
-    return out
+    fields = {f"_f_{c}": out[c].cast(LISTING_SCHEMA[c].dataType) for c in LISTING_COLUMNS}
+    fields["_errors"] = errors
+    df = df.withColumns(fields)
+    helper = [f"_g_{k}" for k in LISTING_COLUMNS + _AUX_KEYS] + ["_spec_obj", "_dims", "_mats", "_sizes",
+                                                                  "_use_mats", "_parts", "_seat_fb"]
+    return df.drop(*helper)
 
 
 def clean_attempts(replies: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """E1–E16 for every reply row: adds json_text, parsed (struct), errors, valid, error."""
-    jt = json_text(F.col(text_col))
-    df = replies.withColumn("json_text", jt).withColumn("_v", strict_parse(repair(F.col("json_text"))))
-    cols = normalize(F.col("_v"))
-    parsed = F.struct(*[cols[c].cast(LISTING_SCHEMA[c].dataType).alias(c) for c in LISTING_COLUMNS])
-    df = df.withColumn("_errs", cols["_errors"]).withColumn("parsed", parsed)
+    # each stage is its own projected column, so the expensive text and JSON work
+    # runs once per row (an inlined chain would be repeated inside every branch)
+    df = (
+        replies.withColumn("json_text", json_text(F.col(text_col)))
+        .withColumn("_rep", repair(F.col("json_text")))
+        .withColumn("_v", strict_parse(F.col("_rep")))
+    )
+    df = normalize(df, "_v")
+    parsed = F.struct(*[F.col(f"_f_{c}").alias(c) for c in LISTING_COLUMNS])
+    keys = F.map_keys(F.try_variant_get(F.col("_v"), "$", "map<string,variant>"))
+    allowed = F.array(*[F.lit(c) for c in LISTING_COLUMNS])
+    df = (
+        df.withColumn("_errs", F.col("_errors")).withColumn("parsed", parsed)
+        # E3 census: how many keys were kept / dropped by the projection
+        .withColumn("n_allowed", F.size(F.array_intersect(keys, allowed)))
+        .withColumn("n_other", F.size(F.array_except(keys, allowed)))
+        .drop("_errors", *[f"_f_{c}" for c in LISTING_COLUMNS])
+    )
     error = (
         F.when(F.col("json_text").isNull(), F.lit(ERR_NO_JSON))
         .when(F.col("_v").isNull(), F.lit(ERR_BAD_JSON))
@@ -207,8 +240,11 @@ def clean_attempts(replies: DataFrame, text_col: str = "raw_text") -> DataFrame:
         df.withColumn("error", error)
         .withColumn("valid", F.col("error").isNull())
         .withColumn("parsed", F.when(F.col("valid"), F.col("parsed")))
+        .withColumn("n_allowed", F.when(F.col("_v").isNotNull(), F.col("n_allowed")))
+        .withColumn("n_other", F.when(F.col("_v").isNotNull(), F.col("n_other")))
         .withColumnRenamed("_errs", "errors")
-        .drop("_v")
+        .withColumnRenamed("_v", "v")
+        .drop("_rep")
     )
 
 
@@ -236,7 +272,7 @@ def first_valid(
         F.first("_win").alias("_win"),
         F.min_by(F.struct("raw_text", "prompt_text", "parsed"), by_win).alias("_w"),
         F.sum(F.when(F.col("_win").isNull() | (F.col("attempt") <= F.col("_win")), F.col("runtime_s"))).alias("_rt"),
-        F.max_by("error", "attempt").alias("last_error"),
+        F.max_by("error", "attempt").alias("_last_error"),
         F.max("attempt").alias("attempts_tried"),
     ).select(
         key,
@@ -246,7 +282,7 @@ def first_valid(
         F.col("_w.prompt_text").alias("prompt_text"),
         F.col("_w.raw_text").alias("raw_text"),
         F.col("_w.parsed").alias("parsed"),
-        "last_error",
+        F.when(F.col("_win").isNull(), F.col("_last_error")).alias("last_error"),
         "attempts_tried",
     )
 

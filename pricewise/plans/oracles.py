@@ -130,7 +130,7 @@ numd AS (""" + _NUMERIC_DEFAULTS + ")\n"
 
 oracle("r1_numeric", with_eval() + _COUNTS + "SELECT field, position, round(d, 6) AS \"default\" FROM numd")
 oracle("r2_mode", with_eval() + _COUNTS + "SELECT \"column\", value FROM rk WHERE rank = 1")
-oracle("r3_topk", with_eval() + _COUNTS + "SELECT \"column\", rank, value, n FROM rk WHERE rank <= 10")
+oracle("r3_topk", with_eval() + _COUNTS + "SELECT \"column\", CAST(rank AS INT) AS rank, value, n FROM rk WHERE rank <= 10")
 oracle("r4_schema", with_eval() + _COUNTS + """
 SELECT 'numeric_default' AS section, field, position, printf('%.6f', d) AS value FROM numd
 UNION ALL SELECT 'allowed', "column", position, value FROM vocab
@@ -181,3 +181,63 @@ imp AS (SELECT feature, avg(rmse - b) AS m, stddev_pop(rmse - b) AS s FROM per_r
 oracle("v8_permutation", _PERM + "SELECT feature, round(m, 4) AS importance_mean, round(s, 4) AS importance_std FROM imp")
 oracle("v9_topk", _PERM + "SELECT feature, round(m, 4) AS importance_mean FROM imp ORDER BY m DESC, feature LIMIT 20")
 oracle("v10_sample", with_eval() + "SELECT listing_key FROM hold ORDER BY md5('42||' || listing_key), listing_key LIMIT 400")
+
+# --------------------------------------------------------------------------- E1–E19
+from .oracle_extract import cleaned_cte  # noqa: E402
+from ..schema import TEXT_FIELDS as _TEXT, LISTING_COLUMNS as _LC  # noqa: E402
+
+_E = cte_sql("raw_outputs").rstrip() + cleaned_cte()
+_FV = _E + """,
+w AS (SELECT *, min(CASE WHEN valid THEN attempt END) OVER (PARTITION BY image_path) AS win FROM att WHERE attempt <= 2),
+fv AS (SELECT image_path, win IS NOT NULL AS success, CAST(coalesce(win, 0) AS INT) AS attempts_used,
+         CAST(sum(runtime_s) FILTER (WHERE win IS NULL OR attempt <= win) AS DOUBLE) AS runtime_s,
+         CASE WHEN win IS NULL THEN arg_max(error, attempt) END AS last_error, max(attempt) AS attempts_tried
+       FROM w GROUP BY image_path, win),
+win_row AS (SELECT image_path, raw_text FROM w WHERE attempt = win),
+rec AS (
+  SELECT fv.image_path, regexp_extract(fv.image_path, '[^/]*$', 0) AS image_file, fv.success,
+    CASE WHEN NOT fv.success THEN 'no valid JSON after ' || CAST(fv.attempts_tried AS VARCHAR)
+         || ' attempt(s); last error: ' || fv.last_error END AS error,
+    CASE WHEN fv.success THEN fv.runtime_s ELSE 0.0 END AS runtime_s,
+    CASE WHEN fv.success THEN fv.attempts_used ELSE 0 END AS attempts_used,
+    '' AS prompt_text, wr.raw_text, a.price
+  FROM fv LEFT JOIN win_row wr ON wr.image_path = fv.image_path
+          LEFT JOIN att a ON a.image_path = fv.image_path AND a.attempt = fv.attempts_used)
+"""
+
+
+def _e(cols: str) -> str:
+    return _E + f"SELECT image_path, attempt, {cols} FROM att"
+
+
+oracle("e1_json_text", _e("json_text"))
+oracle("e2_parse", _e("parse_ok"))
+oracle("e3_project", _e("CAST(n_allowed AS INT) AS n_allowed, CAST(n_other AS INT) AS n_other"))
+oracle("e4_alias", _e("model"))
+oracle("e5_materials", _e("material_1, material_2"))
+oracle("e6_dimensions", _e("width, depth, height"))
+oracle("e7_seats", _e("seat_number"))
+oracle("e8_currency", """SELECT doc_id, CASE WHEN contains(text, '£') THEN 'GBP' WHEN contains(text, '€') THEN 'EUR'
+  WHEN contains(text, '$') THEN 'USD' END AS currency FROM documents""")
+oracle("e9_number", _e("price, discount_amount"))
+from .oracle_extract import as_int as _as_int  # noqa: E402
+oracle("e10_int", _E.replace("att AS (SELECT image_path, attempt, raw_text,",
+                             "att AS (SELECT image_path, attempt, raw_text, "
+                             f"CASE WHEN parse_ok THEN {_as_int('$.seat_number')} END AS seat_int, "
+                             f"CASE WHEN parse_ok THEN {_as_int('$.product_count')} END AS count_int,")
+       + "SELECT image_path, attempt, seat_int, count_int FROM att")
+oracle("e11_bool", _e("reclining, pull_out_bed, storage"))
+oracle("e12_count", _e("product_count"))
+oracle("e13_arrays", _e(", ".join(
+    f"array_to_string({f}, '|') AS {f}_text, CAST(len({f}) AS INT) AS {f}_n" for f in ("additional_features", "evidence"))))
+oracle("e14_text", _e(", ".join(_TEXT)))
+oracle("e15_schema", _e(", ".join(
+    f"array_to_string({c}, '|') AS {c}" if c in ("additional_features", "evidence") else c for c in _LC)))
+oracle("e16_validate", _e("valid, error"))
+oracle("e17_first_valid", _FV + "SELECT image_path, success, attempts_used, runtime_s, last_error FROM fv")
+oracle("e18_route", _FV + "SELECT * FROM rec")
+oracle("e19_summary", _FV + """
+SELECT count(*) AS total_images, count(*) FILTER (WHERE success) AS successful_extractions,
+  count(*) FILTER (WHERE NOT success) AS failed_extractions,
+  coalesce(CAST(count(*) FILTER (WHERE success) AS DOUBLE) / nullif(count(*), 0), 0.0) AS success_rate,
+  coalesce(sum(runtime_s), 0.0) AS runtime_s FROM rec""")

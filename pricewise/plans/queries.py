@@ -267,3 +267,140 @@ def v9_topk(spark, sf):
 def v10_sample(spark, sf):
     from ..operators import evaluate as EV
     return EV.seeded_sample(holdout_capped(spark, sf), KEY, 400, seed=SEED).select(KEY)
+
+
+# --------------------------------------------------------------------------- E1–E19
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Model replies per listing and attempt (``image_path`` = listing key)."""
+    return TD.raw_outputs(spark, sf).withColumnRenamed(KEY, "image_path")
+
+
+def cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import extract as EX
+    return EX.clean_attempts(replies(spark, sf))
+
+
+def _parsed(spark, sf, *fields):
+    return cleaned(spark, sf).select("image_path", "attempt", *[F.col(f"parsed.{f}").alias(f) for f in fields])
+
+
+@query("e1_json_text")
+def e1_json_text(spark, sf):
+    return cleaned(spark, sf).select("image_path", "attempt", "json_text")
+
+
+@query("e2_parse")
+def e2_parse(spark, sf):
+    return cleaned(spark, sf).select("image_path", "attempt", F.col("v").isNotNull().alias("parse_ok"))
+
+
+@query("e3_project")
+def e3_project(spark, sf):
+    return cleaned(spark, sf).select("image_path", "attempt", "n_allowed", "n_other")
+
+
+@query("e4_alias")
+def e4_alias(spark, sf):
+    return _parsed(spark, sf, "model")
+
+
+@query("e5_materials")
+def e5_materials(spark, sf):
+    return _parsed(spark, sf, "material_1", "material_2")
+
+
+@query("e6_dimensions")
+def e6_dimensions(spark, sf):
+    return _parsed(spark, sf, "width", "depth", "height")
+
+
+@query("e7_seats")
+def e7_seats(spark, sf):
+    return _parsed(spark, sf, "seat_number")
+
+
+@query("e8_currency")
+def e8_currency(spark, sf):
+    from ..operators import extract as EX
+    docs = TD.read_table(spark, sf, "documents")
+    return docs.select("doc_id", EX.currency_from_text(F.col("text")).alias("currency"))
+
+
+@query("e9_number")
+def e9_number(spark, sf):
+    return _parsed(spark, sf, "price", "discount_amount")
+
+
+@query("e10_int")
+def e10_int(spark, sf):
+    from ..functions.coerce import as_int
+    c = cleaned(spark, sf)
+    v = F.col("v")
+    return c.select("image_path", "attempt",
+                    as_int(F.try_variant_get(v, "$.seat_number", "variant")).alias("seat_int"),
+                    as_int(F.try_variant_get(v, "$.product_count", "variant")).alias("count_int"))
+
+
+@query("e11_bool")
+def e11_bool(spark, sf):
+    return _parsed(spark, sf, "reclining", "pull_out_bed", "storage")
+
+
+@query("e12_count")
+def e12_count(spark, sf):
+    return _parsed(spark, sf, "product_count")
+
+
+@query("e13_arrays")
+def e13_arrays(spark, sf):
+    c = cleaned(spark, sf)
+    return c.select("image_path", "attempt", *[
+        x for f in ("additional_features", "evidence")
+        for x in (F.array_join(F.col(f"parsed.{f}"), "|").alias(f"{f}_text"), F.size(F.col(f"parsed.{f}")).alias(f"{f}_n"))
+    ]).withColumn("additional_features_n", F.when(F.col("additional_features_text").isNotNull(), F.col("additional_features_n"))) \
+      .withColumn("evidence_n", F.when(F.col("evidence_text").isNotNull(), F.col("evidence_n")))
+
+
+@query("e14_text")
+def e14_text(spark, sf):
+    from ..schema import TEXT_FIELDS
+    return _parsed(spark, sf, *TEXT_FIELDS)
+
+
+@query("e15_schema")
+def e15_schema(spark, sf):
+    from ..schema import LISTING_COLUMNS
+    c = cleaned(spark, sf)
+    cols = [F.array_join(F.col(f"parsed.{f}"), "|").alias(f) if f in ("additional_features", "evidence")
+            else F.col(f"parsed.{f}").alias(f) for f in LISTING_COLUMNS]
+    return c.select("image_path", "attempt", *cols)
+
+
+@query("e16_validate")
+def e16_validate(spark, sf):
+    return cleaned(spark, sf).select("image_path", "attempt", "valid", "error")
+
+
+@query("e17_first_valid")
+def e17_first_valid(spark, sf):
+    from ..operators import extract as EX
+    fv = EX.first_valid(cleaned(spark, sf), key="image_path", retry=1)
+    return fv.select("image_path", "success", "attempts_used", "runtime_s", "last_error")
+
+
+def _records(spark, sf):
+    from ..operators import extract as EX
+    return EX.extract_records(replies(spark, sf), key="image_path", retry=1)
+
+
+@query("e18_route")
+def e18_route(spark, sf):
+    r = _records(spark, sf)
+    return r.select("image_path", "image_file", "success", "error", "runtime_s", "attempts_used",
+                    "prompt_text", "raw_text", F.col("parsed_json.price").alias("price"))
+
+
+@query("e19_summary")
+def e19_summary(spark, sf):
+    from ..operators import extract as EX
+    return EX.summary(_records(spark, sf))
