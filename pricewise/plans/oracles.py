@@ -241,3 +241,41 @@ SELECT count(*) AS total_images, count(*) FILTER (WHERE success) AS successful_e
   count(*) FILTER (WHERE NOT success) AS failed_extractions,
   coalesce(CAST(count(*) FILTER (WHERE success) AS DOUBLE) / nullif(count(*), 0), 0.0) AS success_rate,
   coalesce(sum(runtime_s), 0.0) AS runtime_s FROM rec""")
+
+# --------------------------------------------------------------------------- L1–L7
+from ..operators.ledger import BLOCK_SIGNALS as _SIG  # noqa: E402
+from .oracle_extract import strip as _strip  # noqa: E402
+
+_LEDGER = cte_sql("ledger").rstrip() + """,
+wl AS (SELECT CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos, url FROM pages QUALIFY pos <= 1000),
+lt AS (SELECT pos, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id
+       FROM ledger GROUP BY pos)
+"""
+oracle("l1_pending", _LEDGER + "SELECT pos, url FROM wl WHERE pos NOT IN (SELECT pos FROM lt WHERE status IN ('ok', 'skipped'))")
+oracle("l2_latest", _LEDGER + "SELECT pos, event_id, status FROM lt")
+oracle("l3_counts", _LEDGER + """,
+st AS (SELECT * FROM (VALUES ('ok'), ('failed'), ('blocked'), ('skipped'), ('timeout')) t(metric)),
+ev AS (SELECT CASE WHEN status IN ('ok', 'failed', 'blocked', 'skipped', 'timeout') THEN status ELSE 'failed' END AS metric,
+              count(*) AS n FROM ledger GROUP BY 1)
+SELECT st.metric, coalesce(ev.n, 0) AS n FROM st LEFT JOIN ev USING (metric)
+UNION ALL SELECT 'done', count(*) FILTER (WHERE status IN ('ok', 'skipped')) FROM lt""")
+oracle("l4_blocked", """
+WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN html || '<p>Cloudflare: Ray ID 8f2a</p>'
+  WHEN 1 THEN html || '<p>Protected by CLOUDFLARE</p>' WHEN 2 THEN html || '<p>Ray ID only</p>' ELSE html END AS html FROM pages)
+SELECT page_id, contains(lower(html), 'cloudflare') AND (""" + " OR ".join(
+    f"contains(lower(html), '{s}')" for s in _SIG) + ") AS blocked FROM p")
+oracle("l5_outcome", """
+WITH e AS (SELECT event_id, event_type = 'view' AS t, event_type = 'error' AS f, value > 5 AS s, event_type = 'purchase' AS b,
+  CAST(200 + (event_id % 4) * 100 + event_id % 7 AS INT) AS h, CAST(round(value * 1000) AS BIGINT) AS bytes, value FROM events)
+SELECT event_id,
+  CASE WHEN t THEN 'timeout' WHEN f OR NOT s THEN 'failed' WHEN b THEN 'blocked' ELSE 'ok' END AS status,
+  CASE WHEN h >= 500 THEN 'server_error' WHEN h >= 400 THEN 'client_error' WHEN h IS NOT NULL THEN 'ok' END AS http_class,
+  CASE WHEN s AND NOT t AND NOT f THEN round_even(bytes / 1024.0, 1) END AS screenshot_kb,
+  round_even(value, 2) AS duration_s,
+  CASE WHEN t THEN false ELSE b END AS cloudflare_blocked
+FROM e""")
+oracle("l6_key", "SELECT CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos, "
+       "printf('screenshot_%02d.png', row_number() OVER (ORDER BY page_id)) AS file_name FROM pages QUALIFY pos <= 1000")
+_S = _strip("replace(text, chr(10), ' ')")
+oracle("l7_preview", f"""
+SELECT doc_id, CASE WHEN length({_S}) <= 180 THEN {_S} ELSE substr({_S}, 1, 177) || '...' END AS preview FROM documents""")

@@ -404,3 +404,72 @@ def e18_route(spark, sf):
 def e19_summary(spark, sf):
     from ..operators import extract as EX
     return EX.summary(_records(spark, sf))
+
+
+# --------------------------------------------------------------------------- L1–L7
+def _worklist(spark, sf):
+    return RD.worklist(TD.read_table(spark, sf, "pages"), order_col="page_id", limit=1000)
+
+
+@query("l1_pending")
+def l1_pending(spark, sf):
+    from ..operators import ledger as LG
+    return LG.pending(_worklist(spark, sf), TD.ledger(spark, sf))
+
+
+@query("l2_latest")
+def l2_latest(spark, sf):
+    from ..operators import ledger as LG
+    return LG.latest(TD.ledger(spark, sf)).select("pos", "event_id", "status")
+
+
+@query("l3_counts")
+def l3_counts(spark, sf):
+    from ..operators import ledger as LG
+    return LG.status_counts(TD.ledger(spark, sf))
+
+
+def pages_with_checks(spark, sf):
+    """Every page; some get a bot-check phrase appended (derived from the page itself)."""
+    p = TD.read_table(spark, sf, "pages")
+    k = F.col("page_id") % 4
+    html = (F.when(k == 0, F.concat("html", F.lit("<p>Cloudflare: Ray ID 8f2a</p>")))
+            .when(k == 1, F.concat("html", F.lit("<p>Protected by CLOUDFLARE</p>")))
+            .when(k == 2, F.concat("html", F.lit("<p>Ray ID only</p>")))
+            .otherwise(F.col("html")))
+    return p.select("page_id", html.alias("html"))
+
+
+@query("l4_blocked")
+def l4_blocked(spark, sf):
+    from ..operators import ledger as LG
+    return pages_with_checks(spark, sf).select("page_id", LG.is_blocked_page(F.col("html")).alias("blocked"))
+
+
+@query("l5_outcome")
+def l5_outcome(spark, sf):
+    from ..operators import ledger as LG
+    ev = TD.read_table(spark, sf, "events")
+    c = LG.classify_outcome(
+        timed_out=F.col("event_type") == "view",
+        failed=F.col("event_type") == "error",
+        screenshot_saved=F.col("value") > 5,
+        blocked=F.col("event_type") == "purchase",
+        http_status=(F.lit(200) + (F.col("event_id") % 4) * 100 + F.col("event_id") % 7).cast("int"),
+        size_bytes=F.round(F.col("value") * 1000).cast("bigint"),
+        duration_s=F.col("value"),
+    )
+    return ev.select("event_id", *[v.alias(k) for k, v in c.items()])
+
+
+@query("l6_key")
+def l6_key(spark, sf):
+    from ..operators import ledger as LG
+    return _worklist(spark, sf).select("pos", LG.artefact_name(F.col("pos")).alias("file_name"))
+
+
+@query("l7_preview")
+def l7_preview(spark, sf):
+    from ..operators import ledger as LG
+    docs = TD.read_table(spark, sf, "documents")
+    return docs.select("doc_id", LG.preview(F.col("text")).alias("preview"))
