@@ -85,3 +85,98 @@ def schema_table(numeric: DataFrame, vocab: DataFrame, top: DataFrame, defaults:
     dflt = defaults.select(F.lit("categorical_default").alias("section"), F.col("column").alias("field"),
                            F.lit(0).alias("position"), "value")
     return num.unionByName(allowed).unionByName(tops).unionByName(dflt)
+
+
+# --------------------------------------------------------------------------- R5–R10
+# Text accepted for boolean-valued fields.
+TRUE_TEXT = ["true", "1", "yes"]
+FALSE_TEXT = ["false", "0", "no"]
+
+
+def baseline_row(numeric: DataFrame, defaults: DataFrame) -> dict:
+    """Baseline feature values (R1 + R2): one small dict on the driver,
+    bounded by the number of features."""
+    base = {r["field"]: r["default"] for r in numeric.collect()}
+    base.update({r["column"]: r["value"] for r in defaults.collect()})
+    return base
+
+
+def explode_overrides(scenarios: DataFrame, id_col: str = "scenario_id") -> DataFrame:
+    """Categorical overrides as rows ``(scenario_id, field, value)``."""
+    return scenarios.select(id_col, F.explode("categorical").alias("field", "value"))
+
+
+def coerce_values(overrides: DataFrame, vocab: DataFrame) -> DataFrame:
+    """R7 + R8: exact match first; boolean fields also take true/1/yes and
+    false/0/no (trimmed, any case); then membership in the allowed values.
+    Adds ``coerced`` and ``allowed``."""
+    from ..functions.coerce import py_strip
+    kinds = vocab.groupBy("column").agg(F.max(F.col("value_type") == "boolean").alias("is_bool"))
+    levels = vocab.select(F.col("column").alias("field"), F.col("value").alias("_lv"), F.lit(True).alias("_hit"))
+    x = overrides.join(F.broadcast(kinds.withColumnRenamed("column", "field")), "field", "left")
+    exact = x.join(levels.withColumnRenamed("_lv", "value"), ["field", "value"], "left")
+    w = F.lower(py_strip(F.col("value")))
+    coerced = (
+        F.when(F.col("_hit"), F.col("value"))
+        .when(F.col("is_bool") & w.isin(*TRUE_TEXT), F.lit("true"))
+        .when(F.col("is_bool") & w.isin(*FALSE_TEXT), F.lit("false"))
+        .otherwise(F.col("value"))
+    )
+    c = exact.withColumn("coerced", coerced).drop("_hit", "is_bool")
+    checked = c.join(levels.withColumnRenamed("_lv", "coerced"), ["field", "coerced"], "left")
+    return checked.withColumn("allowed", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+
+
+def validate(scenarios: DataFrame, numeric_fields: list[str], vocab: DataFrame, id_col: str = "scenario_id") -> DataFrame:
+    """R5–R8 per scenario: ``errors`` (array, empty when valid) and the
+    coerced categorical map. Rejected scenarios stay in the table."""
+    cat_fields = [r["column"] for r in vocab.select("column").distinct().collect()]  # bounded by #features
+    num_keys = F.map_keys(F.col("numeric"))
+    nonpos = F.map_keys(F.map_filter("numeric", lambda k, v: (v <= 0) | F.isnan(v) | v.isNull()))
+    unknown_num = F.array_except(num_keys, F.array(*[F.lit(f) for f in numeric_fields]))
+    unknown_cat = F.array_except(F.map_keys(F.col("categorical")), F.array(*[F.lit(f) for f in cat_fields]))
+    base = scenarios.select(
+        id_col, "numeric", "categorical",
+        F.array_sort(nonpos).alias("nonpositive"),
+        F.array_sort(unknown_num).alias("unknown_numeric"),
+        F.array_sort(unknown_cat).alias("unknown_categorical"),
+    )
+    ov = coerce_values(explode_overrides(scenarios, id_col), vocab.where(F.col("column").isin(cat_fields)))
+    known = ov.where(F.col("field").isin(cat_fields))
+    per = known.groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "coerced"))).alias("coerced"),
+        F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.col("field")))).alias("not_allowed"),
+    )
+    out = base.join(per, id_col, "left")
+    msg = lambda arr, fmt: F.transform(F.coalesce(arr, F.array().cast("array<string>")), lambda f: F.format_string(fmt, f))
+    errors = F.concat(
+        msg(F.col("unknown_numeric"), "Unknown numeric field '%s'."),
+        msg(F.col("nonpositive"), "Numeric field '%s' must be greater than 0."),
+        msg(F.col("unknown_categorical"), "Unknown categorical field '%s'."),
+        msg(F.col("not_allowed"), "Invalid categorical value for field '%s'."),
+    )
+    return out.withColumn("errors", errors).withColumn(
+        "coerced", F.coalesce(F.col("coerced"), F.create_map().cast("map<string,string>")))
+
+
+def overlay(validated: DataFrame, baseline: dict, numeric_fields: list[str], categorical_fields: list[str],
+            id_col: str = "scenario_id") -> DataFrame:
+    """Baseline row with the overrides applied (numeric map, coerced categorical map)."""
+    cols = [F.coalesce(F.col("numeric")[f], F.lit(baseline.get(f)).cast("double")).alias(f) for f in numeric_fields]
+    cols += [F.coalesce(F.col("coerced")[f], F.lit(baseline.get(f)).cast("string")).alias(f) for f in categorical_fields]
+    return validated.select(id_col, "errors", *cols)
+
+
+def score_scenarios(overlaid: DataFrame, model, lineage: dict, id_col: str = "scenario_id") -> DataFrame:
+    """Price for valid scenarios (with model version, run id, split id);
+    rejected rows keep their errors and a null price."""
+    scored = model.transform(overlaid)
+    ok = F.size("errors") == 0
+    return scored.select(
+        id_col,
+        F.when(ok, F.col("prediction")).alias("predicted_price"),
+        F.lit(lineage.get("model_version")).cast("string").alias("model_version"),
+        F.lit(lineage.get("train_run_id")).cast("string").alias("train_run_id"),
+        F.lit(lineage.get("data_split_id")).cast("string").alias("data_split_id"),
+        "errors",
+    )

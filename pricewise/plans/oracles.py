@@ -279,3 +279,66 @@ oracle("l6_key", "SELECT CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS
 _S = _strip("replace(text, chr(10), ' ')")
 oracle("l7_preview", f"""
 SELECT doc_id, CASE WHEN length({_S}) <= 180 THEN {_S} ELSE substr({_S}, 1, 177) || '...' END AS preview FROM documents""")
+
+# --------------------------------------------------------------------------- P1, P4
+oracle("p1_unwrap", with_eval() + """
+SELECT listing_key, CASE WHEN line_number = 2 THEN 'id_' || listing_key END AS id,
+  CASE WHEN line_number % 2 = 0 THEN 'shots/' || listing_key || '.png' END AS image_path,
+  price, currency, material_1, seat_number, width, reclining
+FROM splitted WHERE holdout""")
+oracle("p4_predictions", with_eval() + """,
+lines AS (SELECT listing_key || '|0' AS o, true AS rec, listing_key, line_number, seat_number, width FROM splitted WHERE holdout
+          UNION ALL SELECT listing_key || '|1', false, NULL, NULL, NULL, NULL FROM splitted WHERE holdout AND line_number = 6),
+pos AS (SELECT *, row_number() OVER (ORDER BY o) - 1 AS input_index FROM lines),
+recs AS (SELECT *, row_number() OVER (ORDER BY o) - 1 AS n FROM pos WHERE rec)
+SELECT round(seat_number * width, 4) AS predicted_price, input_index,
+  CASE WHEN line_number % 2 = 0 THEN 'shots/' || listing_key || '.png' END AS image_path,
+  coalesce(CASE WHEN line_number = 2 THEN 'id_' || listing_key END, 'row_' || CAST(n AS VARCHAR)) AS id
+FROM recs""")
+
+# --------------------------------------------------------------------------- R5–R9
+_SCEN = with_eval() + _COUNTS + """,
+req AS (SELECT listing_key AS scenario_id, line_number, width, seat_number, storage, material_1 FROM splitted WHERE holdout),
+num AS (
+  SELECT scenario_id, 'width' AS field, CASE WHEN line_number = 1 THEN 0.0 ELSE width END AS v FROM req WHERE line_number <> 6
+  UNION ALL SELECT scenario_id, 'legs', 4.0 FROM req WHERE line_number = 5
+  UNION ALL SELECT scenario_id, 'seat_number', CAST(seat_number AS DOUBLE) FROM req WHERE line_number NOT IN (5, 6)),
+cat AS (
+  SELECT scenario_id, 'material_1' AS field, CASE WHEN line_number = 2 THEN 'PLAID' ELSE material_1 END AS value
+    FROM req WHERE line_number <> 6
+  UNION ALL SELECT scenario_id, 'colour_9', 'red' FROM req WHERE line_number = 3
+  UNION ALL SELECT scenario_id, 'reclining', CASE WHEN line_number = 4 THEN ' Yes ' ELSE CAST(storage AS VARCHAR) END
+    FROM req WHERE line_number NOT IN (3, 6)),
+kinds AS (SELECT "column" AS field, bool_or(value_type = 'boolean') AS is_bool FROM vocab GROUP BY 1),
+co AS (
+  SELECT c.scenario_id, c.field, c.value,
+    CASE WHEN EXISTS (SELECT 1 FROM vocab v WHERE v."column" = c.field AND v.value = c.value) THEN c.value
+         WHEN k.is_bool AND lower(trim(c.value)) IN ('true', '1', 'yes') THEN 'true'
+         WHEN k.is_bool AND lower(trim(c.value)) IN ('false', '0', 'no') THEN 'false'
+         ELSE c.value END AS coerced
+  FROM cat c LEFT JOIN kinds k ON k.field = c.field),
+al AS (SELECT co.*, EXISTS (SELECT 1 FROM vocab v WHERE v."column" = co.field AND v.value = co.coerced) AS allowed FROM co),
+bad AS (
+  SELECT scenario_id FROM num WHERE v <= 0 OR isnan(v)
+  UNION SELECT scenario_id FROM num WHERE field NOT IN (""" + ", ".join(f"'{c}'" for c in NUMERIC_FEATURES) + """)
+  UNION SELECT scenario_id FROM al WHERE NOT allowed
+  UNION SELECT scenario_id FROM cat WHERE field NOT IN (SELECT DISTINCT "column" FROM vocab))
+"""
+oracle("r5_positive", _SCEN + """
+SELECT r.scenario_id, coalesce(string_agg(n.field, ',' ORDER BY n.field), '') AS nonpositive
+FROM req r LEFT JOIN num n ON n.scenario_id = r.scenario_id AND (n.v <= 0 OR isnan(n.v)) GROUP BY r.scenario_id""")
+oracle("r6_unknown", _SCEN + """,
+un AS (SELECT scenario_id, 0 AS g, field FROM num WHERE field NOT IN (""" + ", ".join(f"'{c}'" for c in NUMERIC_FEATURES) + """)
+       UNION ALL SELECT scenario_id, 1, field FROM cat WHERE field NOT IN (SELECT DISTINCT "column" FROM vocab))
+SELECT r.scenario_id, coalesce(string_agg(u.field, ',' ORDER BY u.g, u.field), '') AS unknown_fields
+FROM req r LEFT JOIN un u ON u.scenario_id = r.scenario_id GROUP BY r.scenario_id""")
+oracle("r7_coerce", _SCEN + "SELECT scenario_id, field, value, coerced FROM co")
+oracle("r8_allowed", _SCEN + "SELECT scenario_id, field, allowed FROM al")
+_BASE_NUM = {c: f"(SELECT d FROM numd WHERE field = '{c}')" for c in NUMERIC_FEATURES}
+_BASE_CAT = {c: f"(SELECT value FROM rk WHERE \"column\" = '{c}' AND rank = 1)" for c in CATEGORICAL_FEATURES}
+oracle("r9_overlay", _SCEN + "SELECT r.scenario_id, " + ", ".join(
+    [f"round(coalesce((SELECT v FROM num n WHERE n.scenario_id = r.scenario_id AND n.field = '{c}'), {_BASE_NUM[c]}), 6) AS {c}"
+     for c in NUMERIC_FEATURES]
+    + [f"coalesce((SELECT coerced FROM co WHERE co.scenario_id = r.scenario_id AND co.field = '{c}'), {_BASE_CAT[c]}) AS {c}"
+       for c in CATEGORICAL_FEATURES if c not in ("colour_2", "colour_3")]  # always null in the view: no vocabulary
+) + " FROM req r WHERE r.scenario_id NOT IN (SELECT scenario_id FROM bad)")

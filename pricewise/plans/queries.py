@@ -473,3 +473,232 @@ def l7_preview(spark, sf):
     from ..operators import ledger as LG
     docs = TD.read_table(spark, sf, "documents")
     return docs.select("doc_id", LG.preview(F.col("text")).alias("preview"))
+
+
+# --------------------------------------------------------------------------- T2–T5, S9, S10, V13 (model-backed: rows-only)
+ML_ROUNDS = 10
+
+
+def _fit_single(spark, sf):
+    from .flagship import fit_single
+    return fit_single(spark, sf, max_rounds=ML_ROUNDS)
+
+
+@query("t5_gbt")
+def t5_gbt(spark, sf):
+    """Fit, save the bundle (S9), load it back and score the capped hold-out."""
+    from ..operators import train as TR
+    from ..session import scratch_path
+    sp, vocab, model = _fit_single(spark, sf)
+    path = scratch_path(spark, "bundle")
+    res = TR.TrainResult(model, vocab, float("nan"), float("nan"), {}, [], [], {"model_version": "t5"})
+    TR.save_bundle(res, path, spark)
+    b = TR.load_bundle(spark, path)
+    hold = FE.apply_vocabulary(FE.price_cap(sp.where(F.col("holdout")), CAP), b.vocab)
+    return b.model.transform(hold).select(KEY, "price", F.col("prediction").alias("predicted_price"))
+
+
+def _search(spark, sf, n_iter):
+    from ..operators import train as TR
+    from ..operators.folds import split_id
+    sp = split_listings(spark, sf)
+    train = sp.where(~F.col("holdout"))
+    vocab = FE.vocabulary_dict(FE.vocabulary(train))
+    cfg = TR.TrainConfig(n_iter=n_iter, price_cap=CAP, max_rounds=5, parallelism=4)
+    return sp, TR.train_price_model(train, KEY, cfg, vocab, data_split_id=split_id(sp, [KEY, "stratum"]))
+
+
+@query("t2_baseline")
+def t2_baseline(spark, sf):
+    """Baseline CV RMSE (default settings) next to the searched CV RMSE."""
+    _, r = _search(spark, sf, n_iter=1)
+    return spark.createDataFrame([(r.baseline_cv_rmse, r.cv_rmse)], "baseline_cv_rmse double, cv_rmse double")
+
+
+@query("t3_search")
+def t3_search(spark, sf):
+    """Every draw of the random search with its mean fold RMSE; the best is flagged."""
+    _, r = _search(spark, sf, n_iter=2)
+    best = min(range(len(r.cv_metrics)), key=r.cv_metrics.__getitem__)
+    rows = [(i, d["learning_rate"], d["max_iter"], d["_rounds"], -1 if d["max_depth"] is None else d["max_depth"],
+             d["min_samples_leaf"], d["max_leaf_nodes"], d["l2_regularization"], m, i == best)
+            for i, (d, m) in enumerate(zip(r.all_draws, r.cv_metrics))]
+    return spark.createDataFrame(rows, "draw int, learning_rate double, max_iter int, rounds_used int, max_depth int, "
+                                       "min_samples_leaf int, max_leaf_nodes int, l2_regularization double, "
+                                       "cv_rmse double, best boolean")
+
+
+@query("s10_run_log")
+def s10_run_log(spark, sf):
+    from ..operators import evaluate as EV
+    from ..operators import train as TR
+    sp, vocab, model = _fit_single(spark, sf)
+    hold = FE.apply_vocabulary(FE.price_cap(sp.where(F.col("holdout")), CAP), vocab)
+    m = EV.metrics(model.transform(hold)).first()
+    return TR.run_log_rows(spark, "evaluation", {"price_cap": CAP, "max_rounds": ML_ROUNDS},
+                           {"holdout_rmse": m["rmse"], "holdout_r2": m["r2"], "holdout_size": m["n"]},
+                           {"stage": "evaluation"})
+
+
+@query("v13_lineage")
+def v13_lineage(spark, sf):
+    from ..operators import evaluate as EV
+    from ..operators.folds import split_id
+    sp = split_listings(spark, sf)
+    lin = EV.resolve_lineage({"model_version": "model-explicit"}, {"train_run_id": "run-saved"},
+                             lambda: split_id(sp, [KEY, "stratum"]))
+    return spark.createDataFrame([(lin["train_run_id"], lin["model_version"], lin["data_split_id"])],
+                                 "train_run_id string, model_version string, data_split_id string")
+
+
+# --------------------------------------------------------------------------- P1–P4, S2, S4
+def holdout_entries(spark, sf) -> DataFrame:
+    """Batch-inference entries from the hold-out: even lines as extraction
+    records (listing under parsed_json), odd lines as bare listings; ids on line 2."""
+    from ..schema import INPUT_SCHEMA
+    hold = split_listings(spark, sf).where(F.col("holdout"))
+    parsed = F.struct(*[F.col(c) for c in hold.columns if c in INPUT_SCHEMA["parsed_json"].dataType.fieldNames()])
+    wrapped = F.when(F.col("line_number") % 2 == 0, F.to_json(F.struct(
+        F.when(F.col("line_number") == 2, F.concat(F.lit("id_"), F.col(KEY))).alias("id"),
+        F.concat(F.lit("shots/"), F.col(KEY), F.lit(".png")).alias("image_path"),
+        parsed.alias("parsed_json"),
+    ))).otherwise(F.to_json(F.struct(F.lit(None).cast("string").alias("id"), *[F.col(c) for c in hold.columns
+                                                                                 if c in INPUT_SCHEMA.fieldNames()])))
+    return hold.select(KEY, "line_number", wrapped.alias("value"))
+
+
+@query("p1_unwrap")
+def p1_unwrap(spark, sf):
+    from ..operators import inference as IN
+    from ..schema import INPUT_SCHEMA
+    e = holdout_entries(spark, sf).select(KEY, F.from_json("value", INPUT_SCHEMA).alias("entry"))
+    u = IN.unwrap(e)
+    return u.select(KEY, "id", "image_path", *[c for c in u.columns if c in
+                                              ("price", "currency", "material_1", "seat_number", "width", "reclining")])
+
+
+def _write_input_file(spark, sf) -> str:
+    """Hold-out entries as one JSONL input (ordered by key), with a blank line after every line-6 record."""
+    from ..session import scratch_path
+    ent = holdout_entries(spark, sf)
+    rk = F.col(KEY)
+    lines = ent.select(F.concat(rk, F.lit("|0")).alias("_o"), "value").unionByName(
+        ent.where(F.col("line_number") == 6).select(F.concat(rk, F.lit("|1")).alias("_o"), F.lit("").alias("value")))
+    path = scratch_path(spark, "inference-input")
+    lines.orderBy("_o").select("value").write.text(path)
+    return path
+
+
+@query("p4_predictions")
+def p4_predictions(spark, sf):
+    from ..operators import inference as IN
+    path = _write_input_file(spark, sf)
+    entries = RD.read_inference_input(spark, path)
+    scorer = IN.ExpressionScorer(F.col("seat_number") * F.col("width"))
+    return IN.predict_records(entries, scorer, vocab=None).select(
+        F.round("predicted_price", 4).alias("predicted_price"), "input_index", "image_path", "id")
+
+
+@query("p3_score")
+def p3_score(spark, sf):
+    """Model scoring of every hold-out row (no price cap)."""
+    from ..operators import inference as IN
+    sp, vocab, model = _fit_single(spark, sf)
+    hold = sp.where(F.col("holdout"))
+    return IN.score(hold, model, vocab, keep=[KEY]).select(KEY, F.col("prediction").alias("predicted_price"))
+
+
+@query("s2_read_input")
+def s2_read_input(spark, sf):
+    """JSONL input with physical line index (blank lines counted)."""
+    path = _write_input_file(spark, sf)
+    return RD.read_inference_input(spark, path).select("input_index", "entry.id", "entry.parsed_json.price")
+
+
+@query("s4_list_images")
+def s4_list_images(spark, sf):
+    """File listing (metadata only) of the table directory, sorted by path."""
+    return RD.list_images(spark, sf, glob="*.parquet").select(
+        F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), "length")
+
+
+# --------------------------------------------------------------------------- R5–R10
+def scenario_requests(spark, sf) -> DataFrame:
+    """One what-if request per hold-out listing, with rejects mixed in by line number."""
+    hold = split_listings(spark, sf).where(F.col("holdout"))
+    ln = F.col("line_number")
+    width = F.when(ln == 1, F.lit(0.0)).otherwise(F.col("width"))
+    numeric = F.when(ln == 6, F.create_map().cast("map<string,double>")).when(
+        ln == 5, F.create_map(F.lit("width"), width, F.lit("legs"), F.lit(4.0))).otherwise(
+        F.create_map(F.lit("width"), width, F.lit("seat_number"), F.col("seat_number").cast("double")))
+    material = F.when(ln == 2, F.lit("PLAID")).otherwise(F.col("material_1"))
+    recl = F.when(ln == 4, F.lit(" Yes ")).otherwise(F.col("storage").cast("string"))
+    categorical = F.when(ln == 6, F.create_map().cast("map<string,string>")).when(
+        ln == 3, F.create_map(F.lit("colour_9"), F.lit("red"), F.lit("material_1"), material)).otherwise(
+        F.create_map(F.lit("material_1"), material, F.lit("reclining"), recl))
+    return hold.select(F.col(KEY).alias("scenario_id"), numeric.alias("numeric"), categorical.alias("categorical"))
+
+
+def _scenario_context(spark, sf):
+    from ..operators import scenarios as SC
+    from ..schema import NUMERIC_FEATURES
+    train, vocab, counts = _baseline_tables(spark, sf)
+    nonempty = vocab  # vocabulary rows exist only for non-empty columns
+    v = SC.validate(scenario_requests(spark, sf), NUMERIC_FEATURES, nonempty)
+    return train, vocab, counts, v
+
+
+@query("r5_positive")
+def r5_positive(spark, sf):
+    _, _, _, v = _scenario_context(spark, sf)
+    return v.select("scenario_id", F.array_join("nonpositive", ",").alias("nonpositive"))
+
+
+@query("r6_unknown")
+def r6_unknown(spark, sf):
+    _, _, _, v = _scenario_context(spark, sf)
+    return v.select("scenario_id", F.array_join(F.concat("unknown_numeric", "unknown_categorical"), ",").alias("unknown_fields"))
+
+
+@query("r7_coerce")
+def r7_coerce(spark, sf):
+    from ..operators import scenarios as SC
+    _, vocab, _ = _baseline_tables(spark, sf)
+    ov = SC.coerce_values(SC.explode_overrides(scenario_requests(spark, sf)), vocab)
+    return ov.select("scenario_id", "field", "value", "coerced")
+
+
+@query("r8_allowed")
+def r8_allowed(spark, sf):
+    from ..operators import scenarios as SC
+    _, vocab, _ = _baseline_tables(spark, sf)
+    ov = SC.coerce_values(SC.explode_overrides(scenario_requests(spark, sf)), vocab)
+    return ov.select("scenario_id", "field", "allowed")
+
+
+def _overlay(spark, sf):
+    from ..operators import scenarios as SC
+    from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+    train, vocab, counts, v = _scenario_context(spark, sf)
+    base = SC.baseline_row(SC.numeric_defaults(train), SC.categorical_defaults(counts))
+    cats = [c for c in CATEGORICAL_FEATURES if c in base]
+    return SC.overlay(v, base, NUMERIC_FEATURES, cats)
+
+
+@query("r9_overlay")
+def r9_overlay(spark, sf):
+    o = _overlay(spark, sf).where(F.size("errors") == 0).drop("errors")
+    return o.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in o.dtypes])
+
+
+@query("r10_scenarios")
+def r10_scenarios(spark, sf):
+    from ..operators import scenarios as SC
+    from ..schema import CATEGORICAL_FEATURES
+    _, vocab, model = _fit_single(spark, sf)
+    o = _overlay(spark, sf)
+    # booleans travel as text in the overlay; the fitted pipeline casts them to text anyway
+    o = o.select("scenario_id", "errors", *[F.col(c) for c in o.columns if c not in ("scenario_id", "errors")])
+    o = FE.apply_vocabulary(o, vocab, [c for c in CATEGORICAL_FEATURES if c in o.columns])
+    return SC.score_scenarios(o, model, {"model_version": "model-r10", "train_run_id": None, "data_split_id": None}) \
+        .select("scenario_id", "predicted_price", "model_version", F.array_join("errors", " | ").alias("errors"))
