@@ -702,3 +702,25 @@ def r10_scenarios(spark, sf):
     o = FE.apply_vocabulary(o, vocab, [c for c in CATEGORICAL_FEATURES if c in o.columns])
     return SC.score_scenarios(o, model, {"model_version": "model-r10", "train_run_id": None, "data_split_id": None}) \
         .select("scenario_id", "predicted_price", "model_version", F.array_join("errors", " | ").alias("errors"))
+
+
+# --------------------------------------------------------------------------- V11, V12 (model-backed: rows-only)
+def _shap(spark, sf):
+    from ..operators import evaluate as EV
+    from ..schema import FEATURES
+    sp, vocab, model = _fit_single(spark, sf)
+    hold = FE.apply_vocabulary(FE.price_cap(sp.where(F.col("holdout")), CAP), vocab)
+    explain = EV.seeded_sample(hold, KEY, 400, seed=SEED, salt="explain")
+    background = EV.seeded_sample(hold, KEY, 100, seed=SEED, salt="background")
+    return EV.shapley_values(explain, background, KEY, FEATURES, model.transform, n_perm=10, seed=SEED)
+
+
+@query("v11_shapley")
+def v11_shapley(spark, sf):
+    return _shap(spark, sf)
+
+
+@query("v12_shap_topk")
+def v12_shap_topk(spark, sf):
+    from ..operators import evaluate as EV
+    return EV.shap_importance(_shap(spark, sf), 20)
