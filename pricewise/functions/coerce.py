@@ -128,3 +128,55 @@ def is_truthy(v: Column) -> Column:
         .when(t.startswith("OBJECT"), F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) > 0)
         .otherwise(F.lit(True))
     )
+
+
+# --------------------------------------------------------------------------- (type, text) forms
+# The same rules over two precomputed columns per value: ``t`` = schema_of_variant,
+# ``s`` = the value cast to string (JSON text for objects and arrays, canonical
+# number text, SQL null for JSON null). Computing the pair once per key keeps the
+# per-field expressions small enough for whole-stage code generation.
+def as_number_ts(t: Column, s: Column) -> Column:
+    return F.when(is_number_type(t), _finite(s.try_cast("double"))).when(t == "STRING", number_from_text(s))
+
+
+def as_int_ts(t: Column, s: Column) -> Column:
+    digits = F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), "-?[0-9]+", 0)
+    d = s.try_cast("double")
+    return (
+        F.when(t == "BIGINT", s.try_cast("bigint"))
+        .when(is_number_type(t), F.when(_finite(d).isNotNull(), d.try_cast("bigint")))
+        .when(t == "STRING", F.nullif(digits, F.lit("")).try_cast("bigint"))
+    )
+
+
+def as_bool_ts(t: Column, s: Column) -> Column:
+    return F.when(t == "BOOLEAN", s == F.lit("true")).when(t == "STRING", bool_from_text(s))
+
+
+def as_text_ts(t: Column, s: Column) -> Column:
+    return F.when(t == "STRING", F.nullif(py_strip(s), F.lit(""))).when(t.isNotNull() & (t != "VOID"), s)
+
+
+def is_blank_ts(t: Column, s: Column) -> Column:
+    return t.isNull() | (t == "VOID") | ((t == "STRING") & (s == F.lit("")))
+
+
+def is_absent_ts(t: Column) -> Column:
+    return t.isNull() | (t == "VOID")
+
+
+def is_truthy_ts(t: Column, s: Column) -> Column:
+    return (
+        F.when(is_absent_ts(t), F.lit(False))
+        .when(t == "BOOLEAN", s == F.lit("true"))
+        .when(is_number_type(t), s.try_cast("double") != 0)
+        .when(t == "STRING", s != F.lit(""))
+        .when(t.startswith("ARRAY"), s != F.lit("[]"))
+        .when(t.startswith("OBJECT"), s != F.lit("{}"))
+        .otherwise(F.lit(True))
+    )
+
+
+def text_of_ts(t: Column, s: Column) -> Column:
+    """Python str() of a JSON value: strings verbatim, others as their text."""
+    return F.when(t.isNotNull(), F.coalesce(s, F.lit("null")))

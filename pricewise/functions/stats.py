@@ -62,7 +62,16 @@ def exact_quantiles_multi(
     Only O(columns × probs) numbers and O(n / accuracy) distinct values per
     target reach the driver; no task ever holds all values of a column."""
     names = list(columns)
-    vals = df.select(*[finite_or_null(columns[c].cast("double")).alias(f"c{i}") for i, c in enumerate(names)])
+    # the four passes read only this narrow projection: keep it (lineage stays, so a lost
+    # executor recomputes its blocks) instead of re-running the upstream plan four times
+    vals = df.select(*[finite_or_null(columns[c].cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).persist()
+    try:
+        return _exact_quantiles(vals, names, probs, accuracy, df.sparkSession)
+    finally:
+        vals.unpersist()
+
+
+def _exact_quantiles(vals: DataFrame, names: list[str], probs: Sequence[float], accuracy: int, spark) -> dict:
     counts = vals.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))]).first()
     plan: dict[int, tuple[int, list, list]] = {}
     aggs = []
@@ -91,7 +100,6 @@ def exact_quantiles_multi(
     below = vals.agg(*[
         F.count_if(F.col(f"c{i}") < F.lit(lo)).alias(f"b{t}") for t, i, _, lo, _ in brackets
     ]).first()
-    spark = df.sparkSession
     bounds = spark.createDataFrame(
         [(t, i, lo, hi, int(r - below[f"b{t}"])) for t, i, r, lo, hi in brackets],
         "t int, ci int, lo double, hi double, k long",

@@ -137,77 +137,106 @@ def non_string_items(v: Column) -> Column:
 
 
 _AUX_KEYS = ["name", "description", "delivery", "specifications"]
+_SPEC_KEYS = ["materials", "material", "sofa_sizes", "size", "seater", "dimensions"]
+_DIM_KEYS = ["width", "depth", "height"]
+
+
+def _ts(v: Column, path: str, name: str) -> dict[str, Column]:
+    """(type, text) pair of one value: the only two reads of that value."""
+    x = F.try_variant_get(v, path, "variant")
+    return {f"_t_{name}": F.schema_of_variant(x), f"_s_{name}": F.try_variant_get(v, path, "string")}
 
 
 def normalize(df: DataFrame, v: str = "_v") -> DataFrame:
     """E3–E15 as one column per listing field, plus ``_errors``.
 
-    Staged projections: (1) the raw variant of every key used, (2) values
-    that several rules share (specs, material parts, seat text), (3) the
-    typed fields. Each stage is a separate projection, so the shared values
-    are computed once per row instead of inside every conditional branch."""
+    Staged projections: (1) the type and text of every key used (one read of
+    each value), (2) values several rules share (material parts, seat text),
+    (3) the typed fields. Small per-field expressions keep the stages inside
+    whole-stage code generation."""
+    from ..functions.coerce import (
+        as_bool_ts, as_int_ts, as_number_ts, as_text_ts, is_absent_ts, is_blank_ts, is_truthy_ts, text_of_ts,
+    )
     V = F.col(v)
-    stage1 = {f"_g_{k}": _get(V, k) for k in LISTING_COLUMNS + _AUX_KEYS}
+    stage1: dict[str, Column] = {}
+    for k in LISTING_COLUMNS + _AUX_KEYS:
+        stage1.update(_ts(V, f"$.{k}", k))
+    for k in _SPEC_KEYS:
+        stage1.update(_ts(V, f"$.specifications.{k}", f"spec_{k}"))
+    for k in _DIM_KEYS:
+        stage1.update(_ts(V, f"$.specifications.dimensions.{k}", f"dim_{k}"))
+    for k in ARRAY_FIELDS:
+        stage1[f"_g_{k}"] = _get(V, k)
     df = df.withColumns(stage1)
-    g = {k: F.col(f"_g_{k}") for k in LISTING_COLUMNS + _AUX_KEYS}
-    specs = g["specifications"]
-    spec_obj = F.coalesce(vtype(specs).startswith("OBJECT"), F.lit(False))
-    s1, s2, s3 = _get(specs, "sofa_sizes"), _get(specs, "size"), _get(specs, "seater")
-    mats_a, mats_b = _get(specs, "materials"), _get(specs, "material")
-    dims = _get(specs, "dimensions")
+
+    def t(n):
+        return F.col(f"_t_{n}")
+
+    def s(n):
+        return F.col(f"_s_{n}")
+
+    spec_obj = F.coalesce(t("specifications").startswith("OBJECT"), F.lit(False))
+    dims_obj = spec_obj & F.coalesce(t("spec_dimensions").startswith("OBJECT"), F.lit(False))
+    mats_first = is_truthy_ts(t("spec_materials"), s("spec_materials"))
+    mats = F.when(mats_first, _get(V, "specifications.materials")).otherwise(_get(V, "specifications.material"))
+    mats_truthy = mats_first | is_truthy_ts(t("spec_material"), s("spec_material"))
+    sizes = (
+        F.when(is_truthy_ts(t("spec_sofa_sizes"), s("spec_sofa_sizes")), _get(V, "specifications.sofa_sizes"))
+        .when(is_truthy_ts(t("spec_size"), s("spec_size")), _get(V, "specifications.size"))
+        .otherwise(_get(V, "specifications.seater"))
+    )
     df = df.withColumns({
         "_spec_obj": spec_obj,
-        "_dims": F.when(spec_obj & F.coalesce(vtype(dims).startswith("OBJECT"), F.lit(False)), dims),
-        "_mats": F.when(spec_obj, F.when(is_truthy(mats_a), mats_a).otherwise(mats_b)),
-        "_sizes": F.when(spec_obj, F.when(is_truthy(s1), s1).when(is_truthy(s2), s2).otherwise(s3)),
+        "_dims_obj": dims_obj,
+        "_use_mats": spec_obj & is_blank_ts(t("material_1"), s("material_1")) & F.coalesce(mats_truthy, F.lit(False)),
+        "_parts": F.when(spec_obj, material_parts(mats)),
+        "_seat_fb": F.when(spec_obj, seats_from_variant(sizes)),
     })
-    df = df.withColumns({
-        "_use_mats": F.col("_spec_obj") & is_blank(g["material_1"]) & F.coalesce(is_truthy(F.col("_mats")), F.lit(False)),
-        "_parts": material_parts(F.col("_mats")),
-        "_seat_fb": seats_from_variant(F.col("_sizes")),
-    })
-    parts, use_mats, dims_c = F.col("_parts"), F.col("_use_mats"), F.col("_dims")
+    parts, use_mats = F.col("_parts"), F.col("_use_mats")
 
     out: dict[str, Column] = {}
     # E8 currency (before text normalisation, only when absent or JSON null)
-    hint = F.concat(_or_empty(g["description"]), F.lit(" "), _or_empty(g["delivery"]))
-    out["currency"] = F.when(_absent_or_null(g["currency"]), currency_from_text(hint)).otherwise(as_text(g["currency"]))
+    hint = F.concat(
+        F.when(is_truthy_ts(t("description"), s("description")), text_of_ts(t("description"), s("description"))).otherwise(F.lit("")),
+        F.lit(" "),
+        F.when(is_truthy_ts(t("delivery"), s("delivery")), text_of_ts(t("delivery"), s("delivery"))).otherwise(F.lit("")),
+    )
+    out["currency"] = F.when(is_absent_ts(t("currency")), currency_from_text(hint)).otherwise(as_text_ts(t("currency"), s("currency")))
     # E4 model <- name
-    name = g["name"]
-    out["model"] = F.when(is_blank(g["model"]) & (F.coalesce(vtype(name), F.lit("")) == "STRING"),
-                          F.nullif(py_strip(v_string(name)), F.lit(""))).otherwise(as_text(g["model"]))
+    out["model"] = F.when(is_blank_ts(t("model"), s("model")) & (F.coalesce(t("name"), F.lit("")) == "STRING"),
+                          F.nullif(py_strip(s("name")), F.lit(""))).otherwise(as_text_ts(t("model"), s("model")))
     # E5 materials
-    out["material_1"] = F.when(use_mats, F.nullif(py_strip(F.get(parts, 0)), F.lit(""))).otherwise(as_text(g["material_1"]))
+    out["material_1"] = F.when(use_mats, F.nullif(py_strip(F.get(parts, 0)), F.lit(""))).otherwise(as_text_ts(t("material_1"), s("material_1")))
     out["material_2"] = F.when(use_mats & (F.size(parts) > 1), F.nullif(py_strip(F.get(parts, 1)), F.lit(""))) \
-        .otherwise(as_text(g["material_2"]))
+        .otherwise(as_text_ts(t("material_2"), s("material_2")))
     for f in TEXT_FIELDS:
-        out.setdefault(f, as_text(g[f]))                                   # E14
+        out.setdefault(f, as_text_ts(t(f), s(f)))                            # E14
     # E6 dimensions, E9 numbers
     for f in NUMBER_FIELDS:
-        src = g[f]
-        if f in ("width", "depth", "height"):
-            src = F.when(dims_c.isNotNull() & _absent_or_null(g[f]), _get(dims_c, f)).otherwise(g[f])
-        out[f] = as_number(src)
+        if f in _DIM_KEYS:
+            fb = F.col("_dims_obj") & is_absent_ts(t(f))
+            out[f] = F.when(fb, as_number_ts(t(f"dim_{f}"), s(f"dim_{f}"))).otherwise(as_number_ts(t(f), s(f)))
+        else:
+            out[f] = as_number_ts(t(f), s(f))
     # E7 seats, E10 integers
-    out["seat_number"] = F.when(F.col("_spec_obj") & _absent_or_null(g["seat_number"]), F.col("_seat_fb")) \
-        .otherwise(as_int(g["seat_number"]))
+    out["seat_number"] = F.when(F.col("_spec_obj") & is_absent_ts(t("seat_number")), F.col("_seat_fb")) \
+        .otherwise(as_int_ts(t("seat_number"), s("seat_number")))
     # E12 product count
-    pc = as_int(g["product_count"])
+    pc = as_int_ts(t("product_count"), s("product_count"))
     out["product_count"] = F.when(pc >= 1, pc).otherwise(F.lit(1).cast("bigint"))
     for f in BOOL_FIELDS:
-        out[f] = as_bool(g[f])                                             # E11
+        out[f] = as_bool_ts(t(f), s(f))                                      # E11
     for f in ARRAY_FIELDS:
-        out[f] = string_array(g[f])                                        # E13
-    # E16 validation errors (the only failure left after E3–E15)
+        out[f] = string_array(F.col(f"_g_{f}"))                              # E13
     errors = F.filter(
-        F.array(*[F.when(non_string_items(g[f]), F.lit(f"{f}: items must be strings")) for f in ARRAY_FIELDS]),
+        F.array(*[F.when(non_string_items(F.col(f"_g_{f}")), F.lit(f"{f}: items must be strings")) for f in ARRAY_FIELDS]),
         lambda x: x.isNotNull(),
     )
     fields = {f"_f_{c}": out[c].cast(LISTING_SCHEMA[c].dataType) for c in LISTING_COLUMNS}
     fields["_errors"] = errors
     df = df.withColumns(fields)
-    helper = [f"_g_{k}" for k in LISTING_COLUMNS + _AUX_KEYS] + ["_spec_obj", "_dims", "_mats", "_sizes",
-                                                                  "_use_mats", "_parts", "_seat_fb"]
+    helper = [c for c in df.columns if c.startswith(("_t_", "_s_", "_g_"))] + [
+        "_spec_obj", "_dims_obj", "_use_mats", "_parts", "_seat_fb"]
     return df.drop(*helper)
 
 
@@ -327,3 +356,10 @@ def summary(records: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.count_if(F.col("success")), F.count(F.lit(1))), F.lit(0.0)).cast("double").alias("success_rate"),
         F.coalesce(F.sum("runtime_s"), F.lit(0.0)).alias("runtime_s"),
     )
+
+
+def write_records(records: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One extraction table holding successes and failures, partitioned by
+    ``success`` (so "successes only" / "failures only" are partition reads).
+    Refuses to replace an existing table unless ``overwrite``."""
+    records.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("success").json(path)

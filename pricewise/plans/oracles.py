@@ -253,6 +253,7 @@ lt AS (SELECT pos, arg_max(status, (ts, event_id)) AS status, arg_max(event_id,
 """
 oracle("l1_pending", _LEDGER + "SELECT pos, url FROM wl WHERE pos NOT IN (SELECT pos FROM lt WHERE status IN ('ok', 'skipped'))")
 oracle("l2_latest", _LEDGER + "SELECT pos, event_id, status FROM lt")
+oracle("l2_latest_stream", _LEDGER + "SELECT pos, event_id, status FROM lt")
 oracle("l3_counts", _LEDGER + """,
 st AS (SELECT * FROM (VALUES ('ok'), ('failed'), ('blocked'), ('skipped'), ('timeout')) t(metric)),
 ev AS (SELECT CASE WHEN status IN ('ok', 'failed', 'blocked', 'skipped', 'timeout') THEN status ELSE 'failed' END AS metric,

@@ -724,3 +724,17 @@ def v11_shapley(spark, sf):
 def v12_shap_topk(spark, sf):
     from ..operators import evaluate as EV
     return EV.shap_importance(_shap(spark, sf), 20)
+
+
+# --------------------------------------------------------------------------- streaming variant of L2
+@query("l2_latest_stream")
+def l2_latest_stream(spark, sf):
+    """L2 maintained by a stream over outcome files (one file per micro-batch);
+    must equal the batch ``l2_latest``."""
+    from ..session import scratch_path
+    from ..streaming import ledger_stream as LS
+    led = TD.ledger(spark, sf)
+    src = scratch_path(spark, "ledger-src")
+    LS.write_outcome_files(led, src, files=4)
+    out = LS.run_to_completion(spark, src, led.schema, key="pos", max_files_per_trigger=1)
+    return out.select("pos", "event_id", "status")

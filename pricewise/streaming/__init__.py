@@ -1,0 +1 @@
+"""Structured Streaming variants: ledger refresh and scenario scoring (foreachBatch, availableNow)."""
