@@ -56,7 +56,7 @@ oracle("f7_cap", cte_sql("listings") + "SELECT listing_key, price FROM listings
 
 # --------------------------------------------------------------------------- D
 oracle("d1_strata", with_split() + """
-SELECT stratum, count(*) AS n, sum(CAST(round(price * 100) AS BIGINT)) AS price_cents,
+SELECT stratum, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS price_cents,
        min(price) AS min_price, max(price) AS max_price
 FROM strata GROUP BY stratum""")
 oracle("d2_holdout", with_split() + "SELECT listing_key, stratum, holdout FROM splitted")
