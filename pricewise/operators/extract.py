@@ -363,3 +363,9 @@ def write_records(records: DataFrame, path: str, overwrite: bool = False) -> Non
     ``success`` (so "successes only" / "failures only" are partition reads).
     Refuses to replace an existing table unless ``overwrite``."""
     records.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("success").json(path)
+
+
+def read_written_records(spark, path: str) -> DataFrame:
+    """Read an S8 table back with the declared record schema (``success`` typed as boolean)."""
+    from ..schema import RECORD_SCHEMA
+    return spark.read.schema(RECORD_SCHEMA).json(path)

@@ -170,9 +170,9 @@ def f9_align(spark, sf):
 
 
 # --------------------------------------------------------------------------- R1–R4
-def _baseline_tables(spark, sf):
+def _baseline_tables(spark, sf, sp=None):
     from ..operators import scenarios as SC
-    train = train_side(spark, sf)
+    train = (sp if sp is not None else split_listings(spark, sf)).where(~F.col("holdout"))
     vocab = FE.vocabulary(train)
     counts = SC.level_counts(train, vocab)
     return train, vocab, counts
@@ -623,9 +623,9 @@ def s4_list_images(spark, sf):
 
 
 # --------------------------------------------------------------------------- R5–R10
-def scenario_requests(spark, sf) -> DataFrame:
+def scenario_requests(spark, sf, sp=None) -> DataFrame:
     """One what-if request per hold-out listing, with rejects mixed in by line number."""
-    hold = split_listings(spark, sf).where(F.col("holdout"))
+    hold = (sp if sp is not None else split_listings(spark, sf)).where(F.col("holdout"))
     ln = F.col("line_number")
     width = F.when(ln == 1, F.lit(0.0)).otherwise(F.col("width"))
     numeric = F.when(ln == 6, F.create_map().cast("map<string,double>")).when(
@@ -639,12 +639,13 @@ def scenario_requests(spark, sf) -> DataFrame:
     return hold.select(F.col(KEY).alias("scenario_id"), numeric.alias("numeric"), categorical.alias("categorical"))
 
 
-def _scenario_context(spark, sf):
+def _scenario_context(spark, sf, sp=None):
     from ..operators import scenarios as SC
     from ..schema import NUMERIC_FEATURES
-    train, vocab, counts = _baseline_tables(spark, sf)
+    sp = sp if sp is not None else split_listings(spark, sf)
+    train, vocab, counts = _baseline_tables(spark, sf, sp)
     nonempty = vocab  # vocabulary rows exist only for non-empty columns
-    v = SC.validate(scenario_requests(spark, sf), NUMERIC_FEATURES, nonempty)
+    v = SC.validate(scenario_requests(spark, sf, sp), NUMERIC_FEATURES, nonempty)
     return train, vocab, counts, v
 
 
@@ -663,23 +664,25 @@ def r6_unknown(spark, sf):
 @query("r7_coerce")
 def r7_coerce(spark, sf):
     from ..operators import scenarios as SC
-    _, vocab, _ = _baseline_tables(spark, sf)
-    ov = SC.coerce_values(SC.explode_overrides(scenario_requests(spark, sf)), vocab)
+    sp = split_listings(spark, sf)
+    _, vocab, _ = _baseline_tables(spark, sf, sp)
+    ov = SC.coerce_values(SC.explode_overrides(scenario_requests(spark, sf, sp)), vocab)
     return ov.select("scenario_id", "field", "value", "coerced")
 
 
 @query("r8_allowed")
 def r8_allowed(spark, sf):
     from ..operators import scenarios as SC
-    _, vocab, _ = _baseline_tables(spark, sf)
-    ov = SC.coerce_values(SC.explode_overrides(scenario_requests(spark, sf)), vocab)
+    sp = split_listings(spark, sf)
+    _, vocab, _ = _baseline_tables(spark, sf, sp)
+    ov = SC.coerce_values(SC.explode_overrides(scenario_requests(spark, sf, sp)), vocab)
     return ov.select("scenario_id", "field", "allowed")
 
 
-def _overlay(spark, sf):
+def _overlay(spark, sf, sp=None):
     from ..operators import scenarios as SC
     from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-    train, vocab, counts, v = _scenario_context(spark, sf)
+    train, vocab, counts, v = _scenario_context(spark, sf, sp)
     base = SC.baseline_row(SC.numeric_defaults(train), SC.categorical_defaults(counts))
     cats = [c for c in CATEGORICAL_FEATURES if c in base]
     return SC.overlay(v, base, NUMERIC_FEATURES, cats)
@@ -695,8 +698,8 @@ def r9_overlay(spark, sf):
 def r10_scenarios(spark, sf):
     from ..operators import scenarios as SC
     from ..schema import CATEGORICAL_FEATURES
-    _, vocab, model = _fit_single(spark, sf)
-    o = _overlay(spark, sf)
+    sp, vocab, model = _fit_single(spark, sf)
+    o = _overlay(spark, sf, sp)
     # booleans travel as text in the overlay; the fitted pipeline casts them to text anyway
     o = o.select("scenario_id", "errors", *[F.col(c) for c in o.columns if c not in ("scenario_id", "errors")])
     o = FE.apply_vocabulary(o, vocab, [c for c in CATEGORICAL_FEATURES if c in o.columns])

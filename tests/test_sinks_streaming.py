@@ -22,7 +22,7 @@ def test_extraction_sink(spark):
     rec = EX.extract_records(df)
     path = scratch_path(spark, "records")
     EX.write_records(rec, path)
-    back = spark.read.json(path)
+    back = EX.read_written_records(spark, path)
     assert back.where("success").count() == 1 and back.where("NOT success").count() == 1
     with pytest.raises(Exception):
         EX.write_records(rec, path)
