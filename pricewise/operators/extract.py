@@ -158,15 +158,22 @@ def normalize(df: DataFrame, v: str = "_v") -> DataFrame:
         as_bool_ts, as_int_ts, as_number_ts, as_text_ts, is_absent_ts, is_blank_ts, is_truthy_ts, text_of_ts,
     )
     V = F.col(v)
+
+    def obj(path: str, keys: list[str]) -> Column:
+        # one object → struct<key: variant> cast reads all keys of a level at once
+        return F.try_variant_get(V, path, "struct<" + ",".join(f"`{k}`:variant" for k in keys) + ">")
+
+    top, spec, dim = LISTING_COLUMNS + _AUX_KEYS, _SPEC_KEYS, _DIM_KEYS
+    df = df.withColumns({"_o_top": obj("$", top), "_o_spec": obj("$.specifications", spec),
+                         "_o_dim": obj("$.specifications.dimensions", dim)})
     stage1: dict[str, Column] = {}
-    for k in LISTING_COLUMNS + _AUX_KEYS:
-        stage1.update(_ts(V, f"$.{k}", k))
-    for k in _SPEC_KEYS:
-        stage1.update(_ts(V, f"$.specifications.{k}", f"spec_{k}"))
-    for k in _DIM_KEYS:
-        stage1.update(_ts(V, f"$.specifications.dimensions.{k}", f"dim_{k}"))
+    for prefix, src, keys in (("", "_o_top", top), ("spec_", "_o_spec", spec), ("dim_", "_o_dim", dim)):
+        for k in keys:
+            x = F.col(src)[k]
+            stage1[f"_t_{prefix}{k}"] = F.schema_of_variant(x)
+            stage1[f"_s_{prefix}{k}"] = x.cast("string")
     for k in ARRAY_FIELDS:
-        stage1[f"_g_{k}"] = _get(V, k)
+        stage1[f"_g_{k}"] = F.col("_o_top")[k]
     df = df.withColumns(stage1)
 
     def t(n):
@@ -235,7 +242,7 @@ def normalize(df: DataFrame, v: str = "_v") -> DataFrame:
     fields = {f"_f_{c}": out[c].cast(LISTING_SCHEMA[c].dataType) for c in LISTING_COLUMNS}
     fields["_errors"] = errors
     df = df.withColumns(fields)
-    helper = [c for c in df.columns if c.startswith(("_t_", "_s_", "_g_"))] + [
+    helper = [c for c in df.columns if c.startswith(("_t_", "_s_", "_g_", "_o_"))] + [
         "_spec_obj", "_dims_obj", "_use_mats", "_parts", "_seat_fb"]
     return df.drop(*helper)
 
