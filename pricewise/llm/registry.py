@@ -2,18 +2,55 @@
 operator, with production parameters, to its whole table."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
-from .common import bound_batches, table
+from . import bpe, licenses, pii, quality, token_counts, toxicity
+from .common import table
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return licenses.digest(licenses.scan(_documents(spark, sf_dir)))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).drop("text")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), RANKS)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    return token_counts.answers(token_counts.histogram(docs, RANKS, public_tokenizers.PATTERN))
 
 
 QUERIES = {
     "op3_licenses": op3_licenses,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES = {
     "op3_licenses": licenses.oracle(),
