@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text is the set of its distinct terms (lower-cased runs of letters), hashed
-into ``2**TERM_BITS`` ids. The score is the logistic of
+A text is the set of its distinct terms (lower-cased runs of letters, and the first
+``PREFIXES`` bytes of longer ones), hashed into ``2**TERM_BITS`` ids. The score is the logistic of
 
     bias + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 
@@ -31,10 +31,14 @@ from pyspark.sql import types as T
 from .common import bound_batches, slices, texts_bytes
 
 TERM_BITS = 32
+PREFIXES = (4, 5)  # bytes
 FACTORS = 8
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
 LEAST_DOCS = 3
+SELECT_SHRINK = 0.015
+FINAL_SHRINK = 1e-3
+FACTOR_SHRINK = 0.02
 CUT = 0.3
 HELD_OUT = 2
 
@@ -43,7 +47,12 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 
 
 def terms(text: bytes) -> set[bytes]:
-    return set(text.translate(_FOLD).split())
+    """Distinct words, and the beginnings of the longer ones, which inflected forms share."""
+    words = set(text.translate(_FOLD).split())
+    out = set(words)
+    for n in PREFIXES:
+        out.update([w[:n] + b"-" for w in words if len(w) > n])
+    return out
 
 
 def term_id(term: bytes) -> int:
@@ -96,20 +105,25 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, rounds: int = 60, rate: float = 0.5, shrink: float = 4e-3,
-        factor_shrink: float = 4e-3, seed: int = 7) -> Machine:
-    """Train on texts with labels 0/1, both labels with the same total weight.
-
-    Full-batch proximal AdaGrad. A weight stays zero unless the mean gradient of
-    its term exceeds ``shrink``, a factor row unless its norm exceeds ``factor_shrink``.
-    """
+def fit(texts: list[bytes], y: np.ndarray, seed: int = 7) -> Machine:
+    """Train on texts with labels 0/1: first with strong shrinkage and both labels
+    of the same weight, which selects terms; then again on the selected terms, with
+    little shrinkage and the labels' own weights, which sets the scale."""
     sets = [np.unique(np.fromiter(map(term_id, terms(x)), dtype=np.int64)) for x in texts]
     ids, df = np.unique(np.concatenate(sets), return_counts=True)
     ids = ids[df >= LEAST_DOCS]
+    even = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    chosen = _descend(sets, y, ids, even, rounds=30, shrink=SELECT_SHRINK, seed=seed)
+    return _descend(sets, y, chosen.ids, np.full(len(y), 1 / len(y)), rounds=150, shrink=FINAL_SHRINK, seed=seed)
+
+
+def _descend(sets: list[np.ndarray], y: np.ndarray, ids: np.ndarray, mass: np.ndarray, rounds: int, shrink: float,
+             seed: int, rate: float = 0.5) -> Machine:
+    """Full-batch proximal AdaGrad. A weight stays zero unless the mean gradient of
+    its term exceeds ``shrink``, a factor row unless its norm exceeds ``FACTOR_SHRINK``."""
     rows = [np.flatnonzero(np.isin(ids, h, assume_unique=True)) for h in sets]
     at, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
     ends = np.cumsum(lengths)
-    mass = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     rng = np.random.default_rng(seed)
     m = Machine(ids, 0.0, np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), FACTORS)))
     gw, gv, gb = np.full(len(ids), 1e-12), np.full(len(ids), 1e-12), 1e-12
@@ -129,7 +143,7 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 60, rate: float = 0.5,
         norm = np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12)
         m = Machine(ids, m.bias - rate / np.sqrt(gb) * db,
                     np.sign(w) * np.maximum(np.abs(w) - lw * shrink, 0.0),
-                    v * np.maximum(1 - lv * factor_shrink / norm, 0.0)[:, None])
+                    v * np.maximum(1 - lv * FACTOR_SHRINK / norm, 0.0)[:, None])
     live = (m.weight != 0) | (m.factor != 0).any(axis=1)
     return Machine(ids[live], float(m.bias), m.weight[live], m.factor[live])
 
