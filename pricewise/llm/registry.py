@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, pii, quality, token_counts, toxicity
+from . import bpe, jaccard, licenses, pii, quality, token_counts, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), RANKS)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(_documents(spark, sf_dir), size=4, percent=85)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
     return token_counts.answers(token_counts.histogram(docs, RANKS, public_tokenizers.PATTERN))
@@ -50,8 +54,10 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
 }
 ORACLES = {
     "op3_licenses": licenses.oracle(),
+    "op8_ngram_jaccard": jaccard.oracle(),
 }
