@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, pii, quality, token_counts, toxicity
+from . import bpe, decontaminate, jaccard, licenses, pii, quality, repeats, token_counts, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,6 +53,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.answers(token_counts.histogram(docs, RANKS, public_tokenizers.PATTERN))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_licenses": op3_licenses,
@@ -61,8 +67,10 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
+    "op10_repeats": op10_repeats,
 }
 ORACLES = {
     "op3_licenses": licenses.oracle(),
     "op8_ngram_jaccard": jaccard.oracle(),
+    "op10_repeats": repeats.oracle(),
 }
