@@ -249,6 +249,19 @@ class Pieces(dict):
         return out
 
 
+def split(texts: list[str]) -> list[tuple[list[bytes], np.ndarray]]:
+    """Pieces of each text and their byte offsets in it."""
+    points, starts, first = token_starts(texts)
+    at = byte_starts(points)
+    data = "".join(texts).encode("utf-8", "replace")
+    place = np.flatnonzero(starts)
+    bounds = at[np.append(place, len(points))]
+    cut = np.append(np.searchsorted(place, first), len(place))
+    edge = bounds.tolist()
+    parts = [data[a:b] for a, b in zip(edge, edge[1:])]
+    return [(parts[a:b], bounds[a:b] - at[f]) for a, b, f in zip(cut.tolist(), cut[1:].tolist(), first.tolist())]
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -260,18 +273,6 @@ class Codec:
             self.tokens[i] = t
         self.decimal = [b"%d" % i for i in range(len(self.tokens))]
 
-    def split(self, texts: list[str]) -> list[tuple[list[bytes], np.ndarray]]:
-        """Pieces of each text and their byte offsets in it."""
-        points, starts, first = token_starts(texts)
-        at = byte_starts(points)
-        data = "".join(texts).encode("utf-8", "replace")
-        place = np.flatnonzero(starts)
-        bounds = at[np.append(place, len(points))]
-        cut = np.append(np.searchsorted(place, first), len(place))
-        edge = bounds.tolist()
-        parts = [data[a:b] for a, b in zip(edge, edge[1:])]
-        return [(parts[a:b], bounds[a:b] - at[f]) for a, b, f in zip(cut.tolist(), cut[1:].tolist(), first.tolist())]
-
     def encode(self, pieces: list[bytes]) -> np.ndarray:
         """Ids of the pieces of a text."""
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), dtype="<u4")
@@ -302,11 +303,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         codec = Codec(path)
         for batch in batches:
             for part in slices(batch, text_col):
-                split = codec.split(_clean(texts_str(part, text_col)))
+                found = split(_clean(texts_str(part, text_col)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n) for n in names]
-                    + [pa.array([codec.encode(p).astype(np.int32) for p, _ in split], pa.list_(pa.int32())),
-                       pa.array([o for _, o in split], pa.list_(pa.int64()))], names=names + ["ids", "offsets"])
+                    + [pa.array([codec.encode(p).astype(np.int32) for p, _ in found], pa.list_(pa.int32())),
+                       pa.array([o for _, o in found], pa.list_(pa.int64()))], names=names + ["ids", "offsets"])
 
     return docs.mapInArrow(run, schema)
 
@@ -343,7 +344,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, text_col):
                 count, ids_hash, data_hash = [], [], []
-                for pieces, _ in codec.split(_clean(texts_str(part, text_col))):
+                for pieces, _ in split(_clean(texts_str(part, text_col))):
                     ids = codec.encode(pieces).tolist()
                     count.append(len(ids))
                     ids_hash.append(hashlib.sha256(codec.listed(ids)).hexdigest())

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, pii, quality, repeats, token_counts, toxicity
+from . import bpe, decontaminate, jaccard, licenses, pii, quality, repeats, token_counts, token_store, toxicity
 from .common import table
+from pricewise.session import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -20,6 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "tokens")
+    token_store.write(_documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.checksums(spark, out)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(_documents(spark, sf_dir)))
 
@@ -60,6 +67,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_token_store": op2_token_store,
     "op3_licenses": op3_licenses,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
