@@ -23,6 +23,7 @@ Links are found in two steps, so that a bucket of many near copies does not
 emit all pairs: every node is compared with one node of its buckets, verified
 pairs form components, and then all pairs of a bucket across components are
 compared. Pairs inside a component need no test, as only components are asked for.
+Before whole sets are compared, parity bits bound the overlap of a pair from above.
 
 Null and empty texts have the empty set, which links with nothing. A row without
 ``doc_id`` takes part, but names no component. Equal 64-bit hashes of different
@@ -36,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import holds, repeated
 from .common import bound_batches, materialise, slices, texts_bytes
 
 BUCKETS = 1 << 20
+PARITY_BITS = 1024
 CHUNK = 1 << 14
 #: A bucket is frequent beyond the even share by this many standard deviations.
 DEVIATIONS = 6.0
@@ -118,8 +121,16 @@ def _pairs(often: np.ndarray, groups: int, need: int) -> np.ndarray:
     return _mix(_mix(lo * _M1 + np.uint64(groups)) ^ (hi * _M2))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits of a set: how many of its tokens fall on each, modulo 2. Two
+    sets differ in at least as many tokens as their bits differ in places."""
+    odd = np.bincount(((tokens >> np.uint64(20)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node of every row; token level by hash bucket), in one pass."""
+    """(doc_id, n_shingles, node, parity bits of every row; token level by hash
+    bucket), in one pass."""
     spark = docs.sparkSession
     bound_batches(spark)
 
@@ -130,20 +141,21 @@ def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFra
                 sets = [token_set(t, size) for t in texts_bytes(part, text_col)]
                 for s in sets:
                     np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-                yield _rows(part.column("doc_id"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets])
+                yield _rows(part.column("doc_id"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets],
+                            [parity(s) if len(s) else None for s in sets])
         for k in range(BUCKETS // CHUNK) if counts.any() else ():
-            yield _rows(pa.nulls(1, pa.int64()), [None], [None], k, counts[k * CHUNK:(k + 1) * CHUNK])
+            yield _rows(pa.nulls(1, pa.int64()), [None], [None], [None], k, counts[k * CHUNK:(k + 1) * CHUNK])
 
-    def _rows(ids, n, node, chunk=None, counts=None):
+    def _rows(ids, n, node, bits, chunk=None, counts=None):
         m = len(n)
         blob = None if counts is None else counts.astype("<i8").tobytes()
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([chunk] * m, pa.int32()),
-             pa.array([blob] * m, pa.binary())], names=["doc_id", "n_shingles", "node", "chunk", "counts"])
+            [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array([chunk] * m, pa.int32()),
+             pa.array([blob] * m, pa.binary())], names=["doc_id", "n_shingles", "node", "bits", "chunk", "counts"])
 
     every = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, chunk int, counts binary"), "profile")
-    return (every.where("chunk IS NULL").select("doc_id", "n_shingles", "node"),
+        run, "doc_id long, n_shingles long, node long, bits array<long>, chunk int, counts binary"), "profile")
+    return (every.where("chunk IS NULL").select("doc_id", "n_shingles", "node", "bits"),
             _levels(every.where("chunk IS NOT NULL").select("chunk", "counts")))
 
 
@@ -214,13 +226,30 @@ def sets_of(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "node long, tokens array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link."""
+def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose parity bits allow a link: with sizes n and m and d places
+    that differ, at most (n + m - d) / 2 tokens are shared."""
+    both = (pairs.join(marks.select(F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("n_shingles").alias("na")), "a")
+            .join(marks.select(F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("n_shingles").alias("nb")), "b"))
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("na") + F.col("nb")
+    return both.where((total - differ) * (100 + percent) >= 2 * percent * total).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, percent: int, text_col: str, name: str) -> DataFrame:
+    """The pairs ``a, b`` that link, by their whole sets; only the texts of their nodes are read."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    # one row of each node; of rows without id all
+    ids = (rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
+           .select("_id").distinct())
+    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    sets = materialise(sets_of(chosen, size, text_col), f"{name}-sets")
+    sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
     shared = F.size(F.array_intersect("ta", "tb"))
     total = F.size("ta") + F.size("tb")
-    return both.where(shared * (100 + percent) >= percent * total).select("a", "b")
+    return materialise(both.where(shared * (100 + percent) >= percent * total).select("a", "b"), f"{name}-links")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -248,37 +277,51 @@ def _fits(n, m, percent):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _shared(sigs: DataFrame) -> DataFrame:
+    """The signature rows whose signature two nodes have. Most have one: a bitmap
+    drops those before anything is dealt out by signature."""
+
+    def keys(batches):
+        for batch in batches:
+            yield batch.column("sig").to_numpy().view(np.uint64), batch.column("node").to_numpy()
+
+    bitmap, _ = repeated(sigs.select("sig", "node"), keys, hot=1 << 62)
+    known = sigs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(known.value, batch.column("sig").to_numpy().view(np.uint64))))
+
+    left = materialise(sigs.mapInArrow(keep, sigs.schema), "signatures-left")
+    several = left.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head <> _last")
+    return materialise(left.join(several.drop("_last"), "sig"), "signatures-shared")
+
+
 def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, the
     smallest doc_id among documents reachable by links."""
     rows, level = profile(docs, size, text_col)
-    sigs = materialise(signature_rows(docs, level, size, percent, text_col), "signatures")
-    heads = (sigs.groupBy("sig").agg(F.min(F.struct("n", "node")).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-             .where("lo <> hi").select("sig", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")))
-    shared = materialise(sigs.join(heads, "sig"), "shared")
-    ids = rows.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
-    chosen = docs.join(ids.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    sets = materialise(sets_of(chosen, size, text_col).dropDuplicates(["node"]), "sets")
+    shared = _shared(materialise(signature_rows(docs, level, size, percent, text_col), "signatures"))
+    marks = materialise(rows.where("node IS NOT NULL").join(shared.select("node").distinct(), "node", "left_semi")
+                        .groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "marks")
 
     # first every node with the head it shares most signatures with
-    votes = (shared.where((F.col("node") != F.col("head")) & _fits(F.col("n"), F.col("head_n"), percent))
-             .groupBy("node", "head").agg(F.count("*").alias("votes")))
+    votes = shared.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("votes"))
     first = votes.groupBy("node").agg(F.max_by("head", F.struct("votes", "head")).alias("head"))
-    first = materialise(_ordered(first.select(F.col("node").alias("x"), F.col("head").alias("y"))), "pairs-1")
-    links = materialise(verified(first, sets, percent), "links-1")
+    first = materialise(plausible(_ordered(first.select(F.col("node").alias("x"), F.col("head").alias("y"))), marks, percent), "pairs-1")
+    links = verified(first, docs, rows, size, percent, text_col, "step-1")
     label = components(links, "components-1")
 
     # then what shares a signature across components
-    member = (shared.select("sig", "node", "n").distinct().join(label, "node", "left")
-              .select("sig", "node", "n", F.coalesce("comp", "node").alias("comp")))
-    member = materialise(member, "members")
+    member = materialise(shared.select("sig", "node", "n").distinct().join(label, "node", "left")
+                         .select("sig", "node", "n", F.coalesce("comp", "node").alias("comp")), "members")
     open_ = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     member = member.join(open_, "sig", "left_semi")
     x = member.select("sig", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
     y = member.select("sig", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
     cross = x.join(y, "sig").where((F.col("xc") < F.col("yc")) & _fits(F.col("xn"), F.col("yn"), percent))
     cross = _ordered(cross).join(first, ["a", "b"], "left_anti")
-    more = verified(materialise(cross, "pairs-2"), sets, percent)
+    more = verified(materialise(plausible(cross, marks, percent), "pairs-2"), docs, rows, size, percent, text_col, "step-2")
     label = components(links.union(more), "components-2")
 
     named = rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
