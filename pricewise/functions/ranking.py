@@ -65,6 +65,76 @@ def global_row_number(
     )
 
 
+#: Rows of a hash bucket that may be read to find a cut.
+LEAF_ROWS = 2_000
+_DIGITS = 3
+
+
+def hash_cuts(df: DataFrame, hash_col: str, key: str, ranks_of, group: str | None = None) -> dict:
+    """The rows that hold given ranks in the order of (hash, key), per group, without
+    moving a row: ``{group: [(hash, key) of each rank]}``.
+
+    ``ranks_of(group, n)`` gives the 1-based ranks wanted in a group of ``n`` rows.
+    Rows are counted by the first hexadecimal digits of the hash (partial
+    aggregation, a few thousand counts); the bucket of each rank is counted again by
+    three more digits until it is small, and only its rows are read. A caller then
+    compares rows with the cut, so a rank test needs no sort and no shuffle.
+    """
+    g = F.col(group) if group else F.lit(0)
+    h = F.col(hash_col)
+    rows = df.select(g.alias("_g"), h.alias("_hash"), F.col(key).alias("_key"))
+
+    def counted(source: DataFrame, digits: int) -> dict:
+        out: dict = {}
+        agg = source.groupBy("_g", F.substring("_hash", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        for r in agg.collect():
+            out.setdefault(r["_g"], []).append((r["_p"], r["_n"]))
+        return {k: sorted(v) for k, v in out.items()}
+
+    def locate(buckets: list, rank: int) -> tuple[str, int, int]:
+        for prefix, n in buckets:
+            if rank <= n:
+                return prefix, rank, n
+            rank -= n
+        raise ValueError("rank beyond the rows")
+
+    digits = _DIGITS
+    top = counted(rows, digits)
+    ranks = {k: list(ranks_of(k, sum(n for _, n in b))) for k, b in top.items()}
+    at = {(k, r): locate(top[k], r) for k, rs in ranks.items() for r in rs}
+    while any(n > LEAF_ROWS for _, _, n in at.values()) and digits < 32:
+        digits += _DIGITS
+        open_ = {(k, p) for (k, _), (p, _, n) in at.items() if n > LEAF_ROWS}
+        deeper = counted(rows.where(_in_buckets(open_)), digits)
+        at = {(k, r): locate([b for b in deeper[k] if b[0].startswith(p)], left) if n > LEAF_ROWS else (p, left, n)
+              for (k, r), (p, left, n) in at.items()}
+    found: dict = {}
+    if at:
+        leaves = {(k, p) for (k, _), (p, _, _) in at.items()}
+        for r in rows.where(_in_buckets(leaves)).collect():
+            found.setdefault(r["_g"], []).append((r["_hash"], r["_key"]))
+    out: dict = {k: [] for k in top}
+    for (k, r), (p, left, _) in at.items():
+        own = sorted((x for x in found[k] if x[0].startswith(p)), key=lambda x: (x[0], x[1] is not None, x[1]))
+        out[k].append(own[left - 1])
+    return out
+
+
+def _in_buckets(buckets: set) -> Column:
+    """Rows of the given (group, hash prefix) buckets."""
+    any_ = F.lit(False)
+    for k, p in sorted(buckets):
+        any_ = any_ | ((F.col("_g") == F.lit(k)) & F.col("_hash").startswith(p))
+    return any_
+
+
+def not_after(hash_col: str, key: str, cut: tuple) -> Column:
+    """Is a row at or before a cut in the order of (hash, key), nulls first?"""
+    h, k = F.col(hash_col), F.col(key)
+    same = k.isNull() if cut[1] is None else (k.isNull() | (k <= F.lit(cut[1])))
+    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & same)
+
+
 def row_number_within(
     df: DataFrame,
     group_cols: Sequence[str],

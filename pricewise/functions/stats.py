@@ -4,27 +4,22 @@ Exact quantiles
 ---------------
 ``percentile`` keeps every distinct value of the column on one reducer, which
 does not survive 100 TB. ``exact_quantiles`` gets the same numbers (NumPy's
-default linear interpolation) in four bounded passes, shared by all columns:
-
-1. ``count`` and ``approx_percentile`` at bracket probabilities around every
-   needed order statistic (rank error of the sketch is at most n / accuracy);
-2. per target, the number of rows strictly below its lower bracket value, and
-   the distinct values inside the bracket with their counts (aggregated, so a
-   value repeated by a third of all rows is still one row);
-3. a running sum over those few values finds the exact order statistic.
-
-If a bracket misses (it cannot, by the sketch's guarantee, but the check is
-cheap), the exact ``percentile`` aggregate is used as a fallback.
+default linear interpolation) from bucket counts: the range of the column is cut
+into ``BUCKETS`` parts, rows are counted per part (partial aggregation, with the
+smallest and largest value), and the part that holds a wanted rank is cut again,
+until it holds one distinct value. Wide ranges are cut on a logarithmic scale, so
+a few rounds do for any distribution. Each round is one pass shared by all columns
+and ranks; nothing but counts leaves the tasks, however often a value occurs.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-APPROX_ACCURACY = 1_000_000
+BUCKETS = 4096
 
 
 def is_finite(c: Column) -> Column:
@@ -46,89 +41,58 @@ def _order_stat_targets(n: int, probs: Sequence[float]) -> list[tuple[float, int
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = APPROX_ACCURACY) -> list[float] | None:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float] | None:
     """Linear-interpolated quantiles over the finite values of ``col`` (None if there are none)."""
-    return exact_quantiles_multi(df, {col: F.col(col)}, probs, accuracy)[col]
+    return exact_quantiles_multi(df, {col: F.col(col)}, probs)[col]
 
 
-def exact_quantiles_multi(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probs: Sequence[float],
-    accuracy: int = APPROX_ACCURACY,
-) -> dict[str, list[float] | None]:
-    """Exact quantiles of several columns in four passes shared by all of them.
-
-    Only O(columns × probs) numbers and O(n / accuracy) distinct values per
-    target reach the driver; no task ever holds all values of a column."""
+def exact_quantiles_multi(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of several columns, in passes shared by all of them."""
     names = list(columns)
-    # the four passes read only this narrow projection: keep it (lineage stays, so a lost
-    # executor recomputes its blocks) instead of re-running the upstream plan four times
-    vals = df.select(*[finite_or_null(columns[c].cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).persist()
-    try:
-        return _exact_quantiles(vals, names, probs, accuracy, df.sparkSession)
-    finally:
-        vals.unpersist()
-
-
-def _exact_quantiles(vals: DataFrame, names: list[str], probs: Sequence[float], accuracy: int, spark) -> dict:
-    counts = vals.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    plan: dict[int, tuple[int, list, list]] = {}
-    aggs = []
-    for i in range(len(names)):
-        n = counts[f"n{i}"]
-        if not n:
-            continue
-        targets = _order_stat_targets(n, probs)
-        ranks = sorted({r for _, lo, hi, _ in targets for r in (lo, hi)})
-        slack = n // accuracy + 2
-        lo_p = [max(0.0, (r - slack) / max(n - 1, 1)) for r in ranks]
-        hi_p = [min(1.0, (r + slack) / max(n - 1, 1)) for r in ranks]
-        plan[i] = (n, targets, ranks)
-        aggs += [
-            F.percentile_approx(f"c{i}", F.array(*[F.lit(p) for p in lo_p]), accuracy).alias(f"lo{i}"),
-            F.percentile_approx(f"c{i}", F.array(*[F.lit(p) for p in hi_p]), accuracy).alias(f"hi{i}"),
-        ]
-    out: dict[str, list[float] | None] = {c: None for c in names}
-    if not plan:
-        return out
-    approx = vals.agg(*aggs).first()
-    brackets = []  # (target id, column index, rank, lo, hi)
-    for i, (_, _, ranks) in plan.items():
-        for r, lo, hi in zip(ranks, approx[f"lo{i}"], approx[f"hi{i}"]):
-            brackets.append((len(brackets), i, r, float(lo), float(hi)))
-    below = vals.agg(*[
-        F.count_if(F.col(f"c{i}") < F.lit(lo)).alias(f"b{t}") for t, i, _, lo, _ in brackets
-    ]).first()
-    bounds = spark.createDataFrame(
-        [(t, i, lo, hi, int(r - below[f"b{t}"])) for t, i, r, lo, hi in brackets],
-        "t int, ci int, lo double, hi double, k long",
-    )
-    long = vals.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ci"), F.col(f"c{i}").alias("v")) for i in plan
-    ])).alias("x")).select("x.ci", "x.v").where(F.col("v").isNotNull())
-    inside = (
-        long.join(F.broadcast(bounds), (long.ci == bounds.ci) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        .groupBy("t", "k", "v").agg(F.count(F.lit(1)).alias("c"))
-    )
-    w = Window.partitionBy("t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        inside.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") > F.col("k"))
-        .groupBy("t").agg(F.min("v").alias("v")).collect()
-    )
-    got = {r["t"]: r["v"] for r in found}
-    for i, (n, targets, ranks) in plan.items():
-        ts = {r: t for t, ci, r, _, _ in brackets if ci == i}
-        if any(ts[r] not in got for r in ranks):  # bracket missed: exact aggregate fallback
-            res = vals.agg(F.percentile(f"c{i}", F.array(*[F.lit(float(q)) for q in probs]))).first()[0]
-            out[names[i]] = [float(x) for x in res]
-            continue
-        value_at = {r: got[ts[r]] for r in ranks}
-        out[names[i]] = [
-            value_at[lo] + (value_at[hi] - value_at[lo]) * frac if frac else value_at[lo]
-            for _, lo, hi, frac in targets
-        ]
-    return out
+    vals = df.select(*[finite_or_null(columns[c].cast("double")).alias(f"c{i}") for i, c in enumerate(names)])
+    stats = vals.agg(*[x for i in range(len(names)) for x in (
+        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
+    targets = {i: _order_stat_targets(stats[f"n{i}"], probs) for i in range(len(names)) if stats[f"n{i}"]}
+    found: dict[tuple[int, int], float] = {}
+    # (column, lo, hi) -> {rank: rank inside the part}
+    open_ = {(i, stats[f"lo{i}"], stats[f"hi{i}"]): {r: r for _, lo, hi, _ in t for r in (lo, hi)} for i, t in targets.items()}
+    while open_:
+        parts = sorted(open_)
+        for i, lo, hi in [p for p in parts if p[1] == p[2]]:
+            found.update({(i, r): lo for r in open_[(i, lo, hi)]})
+        parts = [p for p in parts if p[1] < p[2]]
+        if not parts:
+            break
+        buckets = F.explode(F.array(*[
+            F.when(F.col(f"c{i}").between(lo, hi), F.struct(
+                F.lit(t).alias("t"), _bucket(F.col(f"c{i}"), lo, hi).alias("b"), F.col(f"c{i}").alias("v")))
+            for t, (i, lo, hi) in enumerate(parts)]))
+        counts: dict[int, list] = {}
+        for r in (vals.select(buckets.alias("x")).where("x IS NOT NULL").groupBy("x.t", "x.b")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()):
+            counts.setdefault(r["t"], []).append((r["lo"], r["hi"], r["n"]))
+        nxt: dict = {}
+        for t, (i, lo, hi) in enumerate(parts):
+            for rank, inside in open_[(i, lo, hi)].items():
+                for a, b, n in sorted(counts[t]):
+                    if inside < n:
+                        nxt.setdefault((i, a, b), {})[rank] = inside
+                        break
+                    inside -= n
+        open_ = nxt
+    return {c: [found[i, lo] + (found[i, hi] - found[i, lo]) * frac if frac else found[i, lo] for _, lo, hi, frac in targets[i]]
+            if i in targets else None for i, c in enumerate(names)}
+
+
+def _bucket(v: Column, lo: float, hi: float) -> Column:
+    """Number of the part of [lo, hi] that holds ``v``; never falls as ``v`` grows."""
+    if lo > 0 and hi > 4 * lo or hi < 0 and lo < 4 * hi or lo <= 0 <= hi and max(-lo, hi) > 1e6:
+        v = F.signum(v) * F.log1p(F.abs(v))
+        lo, hi = (math.copysign(math.log1p(abs(x)), x) for x in (lo, hi))
+    width = (hi - lo) / BUCKETS
+    if not 0 < width < math.inf:  # neighbouring doubles
+        return F.when(v > F.lit(lo), 1).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((v - F.lit(lo)) / F.lit(width)))).cast("int")
 
 
 # Acklam's rational approximation of the standard normal quantile.

@@ -14,13 +14,16 @@ from ..functions.stats import exact_quantiles_multi
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 DEFAULT_TOP_K = 10
+#: Levels of a vocabulary that may be broadcast, and copies of a larger one.
+MAX_BROADCAST_LEVELS = 200_000
+SALTS = 32
 
 
 # --------------------------------------------------------------------------- R1
 def numeric_defaults(train: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
     """Median of positive values; else median of all; else 1.0 (no price cap).
 
-    Medians are exact (``exact_quantiles_multi``: four passes for all columns)."""
+    Medians are exact (``exact_quantiles_multi``, all columns at once)."""
     cols = [c for c in columns if c in train.columns]
     exprs = {}
     for c in cols:
@@ -72,19 +75,25 @@ def categorical_defaults(counts: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- R4
-def schema_table(numeric: DataFrame, vocab: DataFrame, top: DataFrame, defaults: DataFrame) -> DataFrame:
+def schema_table(numeric: DataFrame, vocab: DataFrame, top: DataFrame, defaults: DataFrame,
+                 lineage: dict | None = None, top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """The serving schema as one long table ``(section, field, position, value)``.
 
-    Sections: numeric (default, bound 0 exclusive), allowed (non-empty
-    vocabularies only), top, categorical_default."""
+    Sections: numeric_default, numeric_above (the exclusive lower bound 0), allowed
+    (non-empty vocabularies only), top, top_k (the K of ``top``), categorical_default,
+    lineage (model version, training run, split)."""
     num = numeric.select(F.lit("numeric_default").alias("section"), "field", "position",
                          F.format_string("%.6f", "default").alias("value"))
+    above = numeric.select(F.lit("numeric_above").alias("section"), "field", "position", F.lit("0").alias("value"))
     allowed = vocab.select(F.lit("allowed").alias("section"), F.col("column").alias("field"), "position", "value")
     tops = top.select(F.lit("top").alias("section"), F.col("column").alias("field"),
                       (F.col("rank") - 1).alias("position"), "value")
     dflt = defaults.select(F.lit("categorical_default").alias("section"), F.col("column").alias("field"),
                            F.lit(0).alias("position"), "value")
-    return num.unionByName(allowed).unionByName(tops).unionByName(dflt)
+    names = ["model_version", "train_run_id", "data_split_id"]
+    rest = [("top_k", "", 0, str(top_k))] + [("lineage", n, i, (lineage or {}).get(n)) for i, n in enumerate(names)]
+    fixed = numeric.sparkSession.createDataFrame(rest, "section string, field string, position int, value string")
+    return num.unionByName(above).unionByName(allowed).unionByName(tops).unionByName(dflt).unionByName(fixed)
 
 
 # --------------------------------------------------------------------------- R5–R10
@@ -106,27 +115,56 @@ def explode_overrides(scenarios: DataFrame, id_col: str = "scenario_id") -> Data
     return scenarios.select(id_col, F.explode("categorical").alias("field", "value"))
 
 
-def coerce_values(overrides: DataFrame, vocab: DataFrame) -> DataFrame:
+def _with_levels(rows: DataFrame, levels: DataFrame, on: list[str], n_levels: int, salt_by: str) -> DataFrame:
+    """Left join with the vocabulary levels. A few (field, value) pairs hold most rows:
+    a vocabulary within ``MAX_BROADCAST_LEVELS`` goes to the rows, a larger one is
+    repeated ``SALTS`` times and the rows of a pair are spread over the copies."""
+    if n_levels <= MAX_BROADCAST_LEVELS:
+        return rows.join(F.broadcast(levels), on, "left")
+    salted = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+            .join(salted, [*on, "_salt"], "left").drop("_salt"))
+
+
+def coerce_values(overrides: DataFrame, vocab: DataFrame, id_col: str = "scenario_id") -> DataFrame:
     """R7 + R8: exact match first; boolean fields also take true/1/yes and
-    false/0/no (trimmed, any case); then membership in the allowed values.
+    false/0/no (trimmed, any case); fields whose levels are all numbers take a
+    number in any notation; then membership in the allowed values.
     Adds ``coerced`` and ``allowed``."""
     from ..functions.coerce import py_strip
-    kinds = vocab.groupBy("column").agg(F.max(F.col("value_type") == "boolean").alias("is_bool"))
-    levels = vocab.select(F.col("column").alias("field"), F.col("value").alias("_lv"), F.lit(True).alias("_hit"))
-    x = overrides.join(F.broadcast(kinds.withColumnRenamed("column", "field")), "field", "left")
-    exact = x.join(levels.withColumnRenamed("_lv", "value"), ["field", "value"], "left")
-    w = F.lower(py_strip(F.col("value")))
+    number = F.col("value").try_cast("double")
+    kinds = vocab.groupBy(F.col("column").alias("field")).agg(
+        F.max(F.col("value_type") == "boolean").alias("is_bool"), F.bool_and(number.isNotNull()).alias("is_number"))
+    n = vocab.count()
+    levels = vocab.select(F.col("column").alias("field"), "value", F.lit(True).alias("_hit"))
+    by_number = levels.groupBy("field", number.alias("_number")).agg(F.min("value").alias("_level")).where("_number IS NOT NULL")
+    x = overrides.join(F.broadcast(kinds), "field", "left")  # one row per field
+    x = _with_levels(x, levels, ["field", "value"], n, id_col)
+    text = py_strip(F.col("value"))
+    x = _with_levels(x.withColumn("_number", F.when(F.col("is_number"), text.try_cast("double"))), by_number, ["field", "_number"], n, id_col)
+    w = F.lower(text)
     coerced = (
         F.when(F.col("_hit"), F.col("value"))
         .when(F.col("is_bool") & w.isin(*TRUE_TEXT), F.lit("true"))
         .when(F.col("is_bool") & w.isin(*FALSE_TEXT), F.lit("false"))
-        .otherwise(F.col("value"))
+        .otherwise(F.coalesce("_level", "value"))
     )
-    c = exact.withColumn("coerced", coerced).drop("_hit", "is_bool")
-    checked = c.join(levels.withColumnRenamed("_lv", "coerced"), ["field", "coerced"], "left")
+    c = x.withColumn("coerced", coerced).drop("_hit", "is_bool", "is_number", "_number", "_level")
+    checked = _with_levels(c, levels.withColumnRenamed("value", "coerced"), ["field", "coerced"], n, id_col)
     return checked.withColumn("allowed", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
 
 
+def single_overrides(requests: DataFrame, id_col: str = "scenario_id") -> DataFrame:
+    """R10, the short request form (``numeric_field, numeric_value, categorical_field,
+    categorical_value``, any of them null) as the maps that ``validate`` takes."""
+    def one(field: str, value: str, kind: str):
+        return F.when(F.col(field).isNotNull() & F.col(value).isNotNull(),
+                      F.create_map(F.col(field), F.col(value).cast(kind))).otherwise(
+            F.create_map().cast(f"map<string,{kind}>"))
+    return requests.select(id_col, one("numeric_field", "numeric_value", "double").alias("numeric"),
+                           one("categorical_field", "categorical_value", "string").alias("categorical"))
+
+
 def validate(scenarios: DataFrame, numeric_fields: list[str], vocab: DataFrame, id_col: str = "scenario_id") -> DataFrame:
     """R5–R8 per scenario: ``errors`` (array, empty when valid) and the
     coerced categorical map. Rejected scenarios stay in the table."""
@@ -141,7 +179,7 @@ def validate(scenarios: DataFrame, numeric_fields: list[str], vocab: DataFrame,
         F.array_sort(unknown_num).alias("unknown_numeric"),
         F.array_sort(unknown_cat).alias("unknown_categorical"),
     )
-    ov = coerce_values(explode_overrides(scenarios, id_col), vocab.where(F.col("column").isin(cat_fields)))
+    ov = coerce_values(explode_overrides(scenarios, id_col), vocab, id_col)
     known = ov.where(F.col("field").isin(cat_fields))
     per = known.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("field", "coerced"))).alias("coerced"),
@@ -150,10 +188,10 @@ def validate(scenarios: DataFrame, numeric_fields: list[str], vocab: DataFrame,
     out = base.join(per, id_col, "left")
     msg = lambda arr, fmt: F.transform(F.coalesce(arr, F.array().cast("array<string>")), lambda f: F.format_string(fmt, f))
     errors = F.concat(
-        msg(F.col("unknown_numeric"), "Unknown numeric field '%s'."),
-        msg(F.col("nonpositive"), "Numeric field '%s' must be greater than 0."),
-        msg(F.col("unknown_categorical"), "Unknown categorical field '%s'."),
-        msg(F.col("not_allowed"), "Invalid categorical value for field '%s'."),
+        msg(F.col("unknown_numeric"), "no number can be set for %s"),
+        msg(F.col("nonpositive"), "%s takes numbers above zero"),
+        msg(F.col("unknown_categorical"), "no level can be set for %s"),
+        msg(F.col("not_allowed"), "%s has no such level"),
     )
     return out.withColumn("errors", errors).withColumn(
         "coerced", F.coalesce(F.col("coerced"), F.create_map().cast("map<string,string>")))

@@ -1,7 +1,7 @@
 """Price-stratified, seeded train / hold-out split.
 
 Every input row lands in exactly one side (one boolean column, no second
-pass). Randomness is ``md5(seed | key)`` ranks, so the split is the same for
+pass). Randomness is the order of ``md5(seed | key)``, so the split is the same for
 any partitioning and any number of executors.
 """
 from __future__ import annotations
@@ -11,20 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import row_number_within, seeded_hash
+from ..functions.ranking import hash_cuts, not_after, seeded_hash
 from ..functions.stats import exact_quantiles, is_finite
 
 DEFAULT_HOLDOUT = 0.15
 DEFAULT_SEED = 42
 STRATUM_PROBS = (0.2, 0.4, 0.6, 0.8)
-CUT_DECIMALS = 6
 
 
 def price_cuts(df: DataFrame, price_col: str = "price", probs: Sequence[float] = STRATUM_PROBS) -> list[float] | None:
-    """D1 (cuts): exact linear-interpolated percentiles over finite prices,
-    rounded to 6 places so float noise between engines cannot move a row."""
-    q = exact_quantiles(df, price_col, probs)
-    return None if q is None else [round(x, CUT_DECIMALS) for x in q]
+    """D1 (cuts): exact linear-interpolated percentiles over finite prices."""
+    return exact_quantiles(df, price_col, probs)
 
 
 def assign_strata(df: DataFrame, cuts: Sequence[float] | None, price_col: str = "price") -> DataFrame:
@@ -38,9 +35,9 @@ def assign_strata(df: DataFrame, cuts: Sequence[float] | None, price_col: str =
     return df.withColumn("stratum", F.when(is_finite(p), n_le).otherwise(F.lit(-1)).cast("int"))
 
 
-def holdout_size_expr(n: F.Column, size: float) -> F.Column:
+def holdout_size(n: int, size: float) -> int:
     """max(1, round-half-even(n × size))."""
-    return F.greatest(F.lit(1), F.rint(n * F.lit(size)).cast("long"))
+    return max(1, round(n * size))
 
 
 def mark_holdout(
@@ -49,19 +46,20 @@ def mark_holdout(
     size: float = DEFAULT_HOLDOUT,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """D2 + D3: per stratum pick max(1, rint(n × size)) rows by seeded rank; the
-    rest is train. Adds ``holdout`` (boolean) and ``split`` ('holdout'/'train').
+    """D2 + D3: per stratum the max(1, rint(n × size)) rows with the smallest seeded
+    hash are hold-out; the rest is train. Adds ``holdout`` (boolean) and ``split``
+    ('holdout'/'train').
 
-    Ranking inside a stratum uses ``row_number_within`` (range-partitioned
-    global numbering minus stratum offsets), so a stratum holding a third of all
-    rows is still spread over every task."""
+    The hold-out test is a threshold: ``hash_cuts`` finds, from counts of hash
+    buckets, the row that holds the last hold-out rank of each stratum, and each row
+    is compared with it. No row is sorted or shuffled, whatever a stratum's size."""
     df = strata.withColumn("_h", seeded_hash(seed, key))
-    counts = df.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_number_within(df, ["stratum"], ["_h", key], out="_rk")
-    out = ranked.join(F.broadcast(counts), "stratum").withColumn(
-        "holdout", F.col("_rk") <= holdout_size_expr(F.col("_n"), size)
-    )
-    return out.withColumn("split", F.when(F.col("holdout"), "holdout").otherwise("train")).drop("_h", "_rk", "_n")
+    cuts = hash_cuts(df, "_h", key, lambda _, n: [holdout_size(n, size)], group="stratum")
+    inside = F.lit(False)
+    for stratum, (cut,) in sorted(cuts.items()):
+        inside = inside | ((F.col("stratum") == F.lit(stratum)) & not_after("_h", key, cut))
+    return df.withColumn("holdout", inside).withColumn(
+        "split", F.when(F.col("holdout"), "holdout").otherwise("train")).drop("_h")
 
 
 def split(

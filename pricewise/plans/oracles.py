@@ -19,11 +19,11 @@ FEATURE_COLS = (
     "storage, seat_number, height, width, depth, product_count"
 )
 
-# Split chain: exact percentiles (rounded to 6), strata, seeded ranks, hold-out flag.
+# Split chain: exact percentiles, strata, seeded ranks, hold-out flag.
 SPLIT_CTES = """,
 fin AS (SELECT price FROM listings WHERE price IS NOT NULL AND isfinite(price)),
-cuts AS (SELECT round(quantile_cont(price, 0.2), 6) AS c1, round(quantile_cont(price, 0.4), 6) AS c2,
-                round(quantile_cont(price, 0.6), 6) AS c3, round(quantile_cont(price, 0.8), 6) AS c4 FROM fin),
+cuts AS (SELECT quantile_cont(price, 0.2) AS c1, quantile_cont(price, 0.4) AS c2,
+                quantile_cont(price, 0.6) AS c3, quantile_cont(price, 0.8) AS c4 FROM fin),
 strata AS (
   SELECT l.*, CASE WHEN l.price IS NULL OR NOT isfinite(l.price) THEN -1
     ELSE CAST(l.price >= c.c1 AS INT) + CAST(l.price >= c.c2 AS INT) + CAST(l.price >= c.c3 AS INT)
@@ -83,11 +83,33 @@ def with_eval() -> str:
 oracle("t1_folds", with_eval() + """
 SELECT listing_key, CAST(ntile(5) OVER (ORDER BY md5('1001||' || listing_key), listing_key) - 1 AS INT) AS fold
 FROM train WHERE price < 90000.0""")
-oracle("t6_fingerprint", with_eval() + """
-SELECT CASE WHEN holdout THEN 'holdout' ELSE 'train' END AS split, count(*) AS n,
-  substr(sha256(CAST(count(*) AS VARCHAR) || '|' || CAST(sum(CAST(('0x' || substr(md5(
-    concat_ws('|', listing_key, CAST(stratum AS VARCHAR))), 1, 15)) AS BIGINT)) AS VARCHAR)), 1, 16) AS fingerprint
-FROM splitted GROUP BY 1""")
+def _split_text() -> str:
+    """Every scalar field with its length in front, as T6 writes it."""
+    doubles = {"price", "discount_amount", "height", "width", "depth"}
+    parts = []
+    for c in ["listing_key", *LISTING_SCALARS.split(", "), "stratum"]:
+        t = f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)" if c in doubles else f"CAST({c} AS VARCHAR)"
+        parts.append(f"coalesce(length({t}) || ':' || {t}, '-')")
+    return " || '|' || ".join(parts)
+
+
+_FINGERPRINTS = with_eval() + f""",
+prints AS (SELECT CASE WHEN holdout THEN 'holdout' ELSE 'train' END AS split, count(*) AS n,
+  substr(sha256(CAST(count(*) AS VARCHAR) || '|' || CAST(sum(CAST(('0x' || substr(md5({_split_text()}), 1, 15)) AS BIGINT)) AS VARCHAR)), 1, 16)
+    AS fingerprint
+FROM splitted GROUP BY 1)
+"""
+oracle("t6_fingerprint", _FINGERPRINTS + "SELECT split, n, fingerprint FROM prints")
+oracle("v13_lineage", _FINGERPRINTS + """
+SELECT 'run-1' AS train_run_id, 'model-explicit' AS model_version,
+  substr(sha256(string_agg(split || ':' || fingerprint, '|' ORDER BY split)), 1, 16) AS data_split_id FROM prints""")
+oracle("s10_run_log", with_eval() + """,
+m AS (SELECT count(*) AS n, sqrt(avg((price - prediction) * (price - prediction))) AS rmse,
+  1.0 - sum((price - prediction) * (price - prediction)) / (var_pop(price) * count(*)) AS r2 FROM scored)
+SELECT 'training' AS stage, 'train_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM train
+UNION ALL SELECT 'evaluation', 'holdout_size', CAST(n AS DOUBLE) FROM m
+UNION ALL SELECT 'evaluation', 'holdout_rmse', round(rmse, 4) FROM m
+UNION ALL SELECT 'evaluation', 'holdout_r2', round(r2, 4) FROM m""")
 
 # --------------------------------------------------------------------------- F
 oracle("f1_flatten", cte_sql("listings") + """
@@ -107,10 +129,11 @@ def _vocab_sql(src: str) -> str:
 
 
 oracle("f6_vocab", with_eval() + _vocab_sql("train"))
-oracle("f4_known", with_eval() + "SELECT listing_key, " + ", ".join(
-    f"CASE WHEN CAST(h.{c} AS VARCHAR) IN (SELECT CAST({c} AS VARCHAR) FROM train WHERE {c} IS NOT NULL) "
-    f"THEN CAST(h.{c} AS VARCHAR) END AS {c}" for c in CATEGORICAL_FEATURES
-) + " FROM splitted h WHERE h.holdout")
+oracle("f4_known", with_eval() + ", " + ",\n".join(
+    f"lv_{c} AS (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM train WHERE {c} IS NOT NULL)" for c in CATEGORICAL_FEATURES
+) + "\nSELECT listing_key, " + ", ".join(f"lv_{c}.v AS {c}" for c in CATEGORICAL_FEATURES)
+    + " FROM splitted h " + " ".join(f"LEFT JOIN lv_{c} ON lv_{c}.v = CAST(h.{c} AS VARCHAR)" for c in CATEGORICAL_FEATURES)
+    + " WHERE h.holdout")
 oracle("f9_align", cte_sql("listings") + f"SELECT {FEATURE_COLS} FROM listings")
 
 # --------------------------------------------------------------------------- R1–R4
@@ -131,11 +154,16 @@ numd AS (""" + _NUMERIC_DEFAULTS + ")\n"
 oracle("r1_numeric", with_eval() + _COUNTS + "SELECT field, position, round(d, 6) AS \"default\" FROM numd")
 oracle("r2_mode", with_eval() + _COUNTS + "SELECT \"column\", value FROM rk WHERE rank = 1")
 oracle("r3_topk", with_eval() + _COUNTS + "SELECT \"column\", CAST(rank AS INT) AS rank, value, n FROM rk WHERE rank <= 10")
-oracle("r4_schema", with_eval() + _COUNTS + """
+oracle("r4_schema", _FINGERPRINTS + _COUNTS + """
 SELECT 'numeric_default' AS section, field, position, printf('%.6f', d) AS value FROM numd
+UNION ALL SELECT 'numeric_above', field, position, '0' FROM numd
 UNION ALL SELECT 'allowed', "column", position, value FROM vocab
 UNION ALL SELECT 'top', "column", CAST(rank - 1 AS INT), value FROM rk WHERE rank <= 10
-UNION ALL SELECT 'categorical_default', "column", 0, value FROM rk WHERE rank = 1""")
+UNION ALL SELECT 'categorical_default', "column", 0, value FROM rk WHERE rank = 1
+UNION ALL SELECT 'top_k', '', 0, '10'
+UNION ALL SELECT 'lineage', 'model_version', 0, 'model-1'
+UNION ALL SELECT 'lineage', 'train_run_id', 1, 'run-1'
+UNION ALL SELECT 'lineage', 'data_split_id', 2, substr(sha256(string_agg(split || ':' || fingerprint, '|' ORDER BY split)), 1, 16) FROM prints""")
 
 # --------------------------------------------------------------------------- V2–V10
 oracle("v2_metrics", with_eval() + """
@@ -166,13 +194,12 @@ FROM q, line""")
 _NUM_LIST = ", ".join(NUMERIC_FEATURES)
 _PERM = with_eval() + f""",
 base AS (SELECT listing_key, price, {_NUM_LIST}, row_number() OVER (ORDER BY listing_key) AS j FROM hold),
-grid AS (SELECT f.feature, CAST(r.range AS INT) AS rep FROM (VALUES {", ".join(f"('{c}')" for c in NUMERIC_FEATURES)}) f(feature), range(10) r),
-blown AS (SELECT base.*, grid.feature, grid.rep FROM base, grid),
-hr AS (SELECT feature, rep, {_NUM_LIST}, row_number() OVER (PARTITION BY feature, rep
-        ORDER BY md5('1001||' || feature || '|' || CAST(rep AS VARCHAR) || '|' || listing_key), listing_key) AS j FROM blown),
-perm AS (SELECT b.listing_key, b.price, b.feature, b.rep, {", ".join(
-    f"CASE WHEN b.feature = '{c}' THEN h.{c} ELSE b.{c} END AS {c}" for c in NUMERIC_FEATURES)}
-  FROM blown b JOIN hr h ON b.feature = h.feature AND b.rep = h.rep AND b.j = h.j),
+reps AS (SELECT CAST(range AS INT) AS rep FROM range(10)),
+hr AS (SELECT rep, {_NUM_LIST}, row_number() OVER (PARTITION BY rep
+        ORDER BY md5('1001||' || CAST(rep AS VARCHAR) || '|' || listing_key), listing_key) AS j FROM base, reps),
+perm AS ({" UNION ALL ".join(
+    f"SELECT b.price, '{c}' AS feature, h.rep, " + ", ".join(f"{'h' if c == d else 'b'}.{d}" for d in NUMERIC_FEATURES)
+    + " FROM base b JOIN hr h ON b.j = h.j" for c in NUMERIC_FEATURES)}),
 per_rep AS (SELECT feature, rep, sqrt(avg((price - seat_number * width) * (price - seat_number * width))) AS rmse
             FROM perm GROUP BY feature, rep),
 base_rmse AS (SELECT sqrt(avg((price - seat_number * width) * (price - seat_number * width))) AS b FROM base),
@@ -247,7 +274,7 @@ from ..operators.ledger import BLOCK_SIGNALS as _SIG  # noqa: E402
 from .oracle_extract import strip as _strip  # noqa: E402
 
 _LEDGER = cte_sql("ledger").rstrip() + """,
-wl AS (SELECT CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos, url FROM pages QUALIFY pos <= 1000),
+wl AS (SELECT CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos, url FROM pages),
 lt AS (SELECT pos, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id
        FROM ledger GROUP BY pos)
 """
@@ -276,7 +303,7 @@ SELECT event_id,
   CASE WHEN t THEN false ELSE b END AS cloudflare_blocked
 FROM e""")
 oracle("l6_key", "SELECT CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS pos, "
-       "printf('screenshot_%02d.png', row_number() OVER (ORDER BY page_id)) AS file_name FROM pages QUALIFY pos <= 1000")
+       "printf('screenshot_%02d.png', row_number() OVER (ORDER BY page_id)) AS file_name FROM pages")
 _S = _strip("replace(text, chr(10), ' ')")
 oracle("l7_preview", f"""
 SELECT doc_id, CASE WHEN length({_S}) <= 180 THEN {_S} ELSE substr({_S}, 1, 177) || '...' END AS preview FROM documents""")
@@ -297,7 +324,15 @@ SELECT round(seat_number * width, 4) AS predicted_price, input_index,
   coalesce(CASE WHEN line_number = 2 THEN 'id_' || listing_key END, 'row_' || CAST(n AS VARCHAR)) AS id
 FROM recs""")
 
-# --------------------------------------------------------------------------- R5–R9
+oracle("p3_score", with_eval() + "SELECT listing_key, round(seat_number * width, 4) AS predicted_price FROM splitted WHERE holdout")
+oracle("s2_read_input", with_eval() + """,
+lines AS (SELECT listing_key || '|0' AS o, true AS rec, listing_key, line_number, price FROM splitted WHERE holdout
+          UNION ALL SELECT listing_key || '|1', false, NULL, NULL, NULL FROM splitted WHERE holdout AND line_number = 6),
+pos AS (SELECT *, row_number() OVER (ORDER BY o) - 1 AS input_index FROM lines)
+SELECT input_index, CASE WHEN line_number = 2 THEN 'id_' || listing_key END AS id,
+  CASE WHEN line_number % 2 = 0 THEN price END AS price FROM pos WHERE rec""")
+
+# --------------------------------------------------------------------------- R5–R10
 _SCEN = with_eval() + _COUNTS + """,
 req AS (SELECT listing_key AS scenario_id, line_number, width, seat_number, storage, material_1 FROM splitted WHERE holdout),
 num AS (
@@ -343,3 +378,25 @@ oracle("r9_overlay", _SCEN + "SELECT r.scenario_id, " + ", ".join(
     + [f"coalesce((SELECT coerced FROM co WHERE co.scenario_id = r.scenario_id AND co.field = '{c}'), {_BASE_CAT[c]}) AS {c}"
        for c in CATEGORICAL_FEATURES if c not in ("colour_2", "colour_3")]  # always null in the view: no vocabulary
 ) + " FROM req r WHERE r.scenario_id NOT IN (SELECT scenario_id FROM bad)")
+_ERRORS = """
+  SELECT scenario_id, field FROM num WHERE v <= 0 OR isnan(v)
+  UNION ALL SELECT scenario_id, field FROM num WHERE field NOT IN (""" + ", ".join(f"'{c}'" for c in NUMERIC_FEATURES) + """)
+  UNION ALL SELECT scenario_id, field FROM al WHERE NOT allowed AND field IN (SELECT DISTINCT "column" FROM vocab)
+  UNION ALL SELECT scenario_id, field FROM cat WHERE field NOT IN (SELECT DISTINCT "column" FROM vocab)"""
+_SHORT = (_SCEN.replace(" FROM splitted WHERE holdout),", " FROM splitted WHERE holdout\n"
+                        "  UNION ALL SELECT listing_key || '|short', 10 + line_number, width, seat_number, storage, material_1"
+                        " FROM splitted WHERE holdout AND line_number >= 4),", 1)
+          .replace("FROM req WHERE line_number <> 6\n  UNION ALL SELECT scenario_id, 'legs', 4.0 FROM req WHERE line_number = 5",
+                   "FROM req WHERE line_number <> 6 AND line_number < 10 OR line_number = 14\n"
+                   "  UNION ALL SELECT scenario_id, 'legs', 4.0 FROM req WHERE line_number = 5\n"
+                   "  UNION ALL SELECT scenario_id, 'legs', width FROM req WHERE line_number = 15", 1)
+          .replace("FROM req WHERE line_number NOT IN (5, 6)),", "FROM req WHERE line_number NOT IN (5, 6) AND line_number < 10),", 1)
+          .replace("FROM req WHERE line_number NOT IN (3, 6)),", "FROM req WHERE line_number NOT IN (3, 6) AND line_number < 10),", 1))
+oracle("r10_scenarios", _SHORT.replace(with_eval(), _FINGERPRINTS, 1) + ", errs AS (SELECT scenario_id, count(*) AS n FROM (" + _ERRORS + """) GROUP BY 1)
+SELECT r.scenario_id, CASE WHEN e.n IS NULL THEN round(
+    coalesce((SELECT v FROM num n WHERE n.scenario_id = r.scenario_id AND n.field = 'seat_number'), (SELECT d FROM numd WHERE field = 'seat_number'))
+    * coalesce((SELECT v FROM num n WHERE n.scenario_id = r.scenario_id AND n.field = 'width'), (SELECT d FROM numd WHERE field = 'width')), 4) END AS predicted_price,
+  'model-1' AS model_version, 'run-1' AS train_run_id,
+  (SELECT substr(sha256(string_agg(split || ':' || fingerprint, '|' ORDER BY split)), 1, 16) FROM prints) AS data_split_id,
+  CAST(coalesce(e.n, 0) AS INT) AS n_errors
+FROM req r LEFT JOIN errs e ON e.scenario_id = r.scenario_id""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import split as SP
+from ..schema import ARRAY_FIELDS, LISTING_COLUMNS
 from ..sources import readers as RD
 from ..sources import testdata as TD
 
@@ -121,10 +122,14 @@ def t1_folds(spark, sf):
     return assign_folds(tr.select(KEY), KEY, k=5, seed=FOLD_SEED).select(KEY, "fold")
 
 
+#: Every scalar field of a listing in the split, and where it went.
+SPLIT_FIELDS = [KEY, *[c for c in LISTING_COLUMNS if c not in ARRAY_FIELDS], "stratum"]
+
+
 @query("t6_fingerprint")
 def t6_fingerprint(spark, sf):
     from ..operators.folds import fingerprint
-    return fingerprint(split_listings(spark, sf), [KEY, "stratum"], by=["split"])
+    return fingerprint(split_listings(spark, sf), SPLIT_FIELDS, by=["split"])
 
 
 # --------------------------------------------------------------------------- F1, F3, F4, F6, F9
@@ -141,11 +146,6 @@ def f1_flatten(spark, sf):
     return FE.flatten(nested)
 
 
-@query("f3_types")
-def f3_types(spark, sf):
-    return FE.column_kinds(FE.drop_unused(listings(spark, sf).drop(KEY, "part_key", "line_number")))
-
-
 def train_vocabulary(spark, sf):
     return FE.vocabulary(train_side(spark, sf))
 
@@ -202,9 +202,12 @@ def r3_topk(spark, sf):
 @query("r4_schema")
 def r4_schema(spark, sf):
     from ..operators import scenarios as SC
-    train, vocab, counts = _baseline_tables(spark, sf)
+    from ..operators.folds import split_id
+    sp = split_listings(spark, sf)
+    train, vocab, counts = _baseline_tables(spark, sf, sp)
+    lineage = {"model_version": "model-1", "train_run_id": "run-1", "data_split_id": split_id(sp, SPLIT_FIELDS)}
     return SC.schema_table(SC.numeric_defaults(train), vocab, SC.top_values(counts, 10),
-                           SC.categorical_defaults(counts))
+                           SC.categorical_defaults(counts), lineage, top_k=10)
 
 
 # --------------------------------------------------------------------------- V2–V10
@@ -333,12 +336,13 @@ def e9_number(spark, sf):
 
 @query("e10_int")
 def e10_int(spark, sf):
-    from ..functions.coerce import as_int
+    """The integer rule alone, before the seat and count rules that build on it."""
+    from ..functions.coerce import as_int_ts
     c = cleaned(spark, sf)
     v = F.col("v")
-    return c.select("image_path", "attempt",
-                    as_int(F.try_variant_get(v, "$.seat_number", "variant")).alias("seat_int"),
-                    as_int(F.try_variant_get(v, "$.product_count", "variant")).alias("count_int"))
+    return c.select("image_path", "attempt", *[
+        as_int_ts(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")), F.try_variant_get(v, f"$.{f}", "string")).alias(out)
+        for f, out in (("seat_number", "seat_int"), ("product_count", "count_int"))])
 
 
 @query("e11_bool")
@@ -408,7 +412,8 @@ def e19_summary(spark, sf):
 
 # --------------------------------------------------------------------------- L1–L7
 def _worklist(spark, sf):
-    return RD.worklist(TD.read_table(spark, sf, "pages"), order_col="page_id", limit=1000)
+    """Every page; the limit belongs to S3 alone."""
+    return RD.worklist(TD.read_table(spark, sf, "pages"), order_col="page_id", limit=0)
 
 
 @query("l1_pending")
@@ -476,12 +481,9 @@ def l7_preview(spark, sf):
 
 
 # --------------------------------------------------------------------------- T2–T5, S9, S10, V13 (model-backed: rows-only)
-ML_ROUNDS = 10
-
-
 def _fit_single(spark, sf):
     from .flagship import fit_single
-    return fit_single(spark, sf, max_rounds=ML_ROUNDS)
+    return fit_single(spark, sf)
 
 
 @query("t5_gbt")
@@ -504,8 +506,10 @@ def _search(spark, sf, n_iter):
     sp = split_listings(spark, sf)
     train = sp.where(~F.col("holdout"))
     vocab = FE.vocabulary_dict(FE.vocabulary(train))
-    cfg = TR.TrainConfig(n_iter=n_iter, price_cap=CAP, max_rounds=5, parallelism=4)
-    return sp, TR.train_price_model(train, KEY, cfg, vocab, data_split_id=split_id(sp, [KEY, "stratum"]))
+    # a small search space; every draw runs all its rounds
+    space = TR.SearchSpace(max_iter=(3, 8), max_depth=(3, 5))
+    cfg = TR.TrainConfig(n_iter=n_iter, price_cap=CAP, baseline_rounds=5, space=space)
+    return sp, TR.train_price_model(train, KEY, cfg, vocab, data_split_id=split_id(sp, SPLIT_FIELDS))
 
 
 @query("t2_baseline")
@@ -520,33 +524,48 @@ def t3_search(spark, sf):
     """Every draw of the random search with its mean fold RMSE; the best is flagged."""
     _, r = _search(spark, sf, n_iter=2)
     best = min(range(len(r.cv_metrics)), key=r.cv_metrics.__getitem__)
-    rows = [(i, d["learning_rate"], d["max_iter"], d["_rounds"], -1 if d["max_depth"] is None else d["max_depth"],
+    rows = [(i, d["learning_rate"], d["max_iter"], -1 if d["max_depth"] is None else d["max_depth"],
              d["min_samples_leaf"], d["max_leaf_nodes"], d["l2_regularization"], m, i == best)
             for i, (d, m) in enumerate(zip(r.all_draws, r.cv_metrics))]
-    return spark.createDataFrame(rows, "draw int, learning_rate double, max_iter int, rounds_used int, max_depth int, "
+    return spark.createDataFrame(rows, "draw int, learning_rate double, max_iter int, max_depth int, "
                                        "min_samples_leaf int, max_leaf_nodes int, l2_regularization double, "
                                        "cv_rmse double, best boolean")
 
 
-@query("s10_run_log")
-def s10_run_log(spark, sf):
+def _written_runs(spark, sf) -> str:
+    """A ``runs`` table with a training and an evaluation row of the split, appended one by one."""
     from ..operators import evaluate as EV
     from ..operators import train as TR
-    sp, vocab, model = _fit_single(spark, sf)
-    hold = FE.apply_vocabulary(FE.price_cap(sp.where(F.col("holdout")), CAP), vocab)
-    m = EV.metrics(model.transform(hold)).first()
-    return TR.run_log_rows(spark, "evaluation", {"price_cap": CAP, "max_rounds": ML_ROUNDS},
-                           {"holdout_rmse": m["rmse"], "holdout_r2": m["r2"], "holdout_size": m["n"]},
-                           {"stage": "evaluation"})
+    from ..operators.folds import split_id
+    from ..session import scratch_path
+    sp = split_listings(spark, sf)
+    split = split_id(sp, SPLIT_FIELDS)
+    path = scratch_path(spark, "runs")
+    n = SP.split_counts(sp).first()
+    TR.append_run_log(TR.run_log_rows(spark, "training", {"price_cap": CAP}, {"train_rows": n["train"]},
+                                      {"train_run_id": "run-1", "model_version": "model-1", "data_split_id": split}), path)
+    m = EV.metrics(expression_scorer(FE.price_cap(sp.where(F.col("holdout")), CAP))).first()
+    TR.append_run_log(TR.run_log_rows(spark, "evaluation", {"price_cap": CAP},
+                                      {"holdout_rmse": m["rmse"], "holdout_r2": m["r2"], "holdout_size": m["n"]},
+                                      {"train_run_id": "run-1"}), path)
+    return path
+
+
+@query("s10_run_log")
+def s10_run_log(spark, sf):
+    """The run rows as they are read back (without their time)."""
+    runs = spark.read.parquet(_written_runs(spark, sf))
+    return runs.select("stage", F.explode("metrics").alias("metric", "value")).select(
+        "stage", "metric", F.round("value", 4).alias("value"))
 
 
 @query("v13_lineage")
 def v13_lineage(spark, sf):
+    """Explicit model version, run and split id from the newest training row."""
     from ..operators import evaluate as EV
-    from ..operators.folds import split_id
-    sp = split_listings(spark, sf)
-    lin = EV.resolve_lineage({"model_version": "model-explicit"}, {"train_run_id": "run-saved"},
-                             lambda: split_id(sp, [KEY, "stratum"]))
+    from ..operators import train as TR
+    lin = EV.resolve_lineage({"model_version": "model-explicit"}, TR.newest_run(spark, _written_runs(spark, sf), "training"),
+                             lambda: None)
     return spark.createDataFrame([(lin["train_run_id"], lin["model_version"], lin["data_split_id"])],
                                  "train_run_id string, model_version string, data_split_id string")
 
@@ -601,11 +620,13 @@ def p4_predictions(spark, sf):
 
 @query("p3_score")
 def p3_score(spark, sf):
-    """Model scoring of every hold-out row (no price cap)."""
+    """Scoring of every hold-out row (no price cap) with the training vocabulary applied."""
     from ..operators import inference as IN
-    sp, vocab, model = _fit_single(spark, sf)
-    hold = sp.where(F.col("holdout"))
-    return IN.score(hold, model, vocab, keep=[KEY]).select(KEY, F.col("prediction").alias("predicted_price"))
+    sp = split_listings(spark, sf)
+    vocab = FE.vocabulary_dict(FE.vocabulary(sp.where(~F.col("holdout"))))
+    scorer = IN.ExpressionScorer(F.col("seat_number") * F.col("width"))
+    return IN.score(sp.where(F.col("holdout")), scorer, vocab, keep=[KEY]).select(
+        KEY, F.round("prediction", 4).alias("predicted_price"))
 
 
 @query("s2_read_input")
@@ -615,13 +636,6 @@ def s2_read_input(spark, sf):
     return RD.read_inference_input(spark, path).select("input_index", "entry.id", "entry.parsed_json.price")
 
 
-@query("s4_list_images")
-def s4_list_images(spark, sf):
-    """File listing (metadata only) of the table directory, sorted by path."""
-    return RD.list_images(spark, sf, glob="*.parquet").select(
-        F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), "length")
-
-
 # --------------------------------------------------------------------------- R5–R10
 def scenario_requests(spark, sf, sp=None) -> DataFrame:
     """One what-if request per hold-out listing, with rejects mixed in by line number."""
@@ -696,15 +710,27 @@ def r9_overlay(spark, sf):
 
 @query("r10_scenarios")
 def r10_scenarios(spark, sf):
+    """Both request forms, scored by an expression; lineage from the newest training run."""
+    from ..operators import inference as IN
     from ..operators import scenarios as SC
-    from ..schema import CATEGORICAL_FEATURES
-    sp, vocab, model = _fit_single(spark, sf)
-    o = _overlay(spark, sf, sp)
-    # booleans travel as text in the overlay; the fitted pipeline casts them to text anyway
-    o = o.select("scenario_id", "errors", *[F.col(c) for c in o.columns if c not in ("scenario_id", "errors")])
-    o = FE.apply_vocabulary(o, vocab, [c for c in CATEGORICAL_FEATURES if c in o.columns])
-    return SC.score_scenarios(o, model, {"model_version": "model-r10", "train_run_id": None, "data_split_id": None}) \
-        .select("scenario_id", "predicted_price", "model_version", F.array_join("errors", " | ").alias("errors"))
+    from ..operators import train as TR
+    from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+    sp = split_listings(spark, sf)
+    train, vocab, counts = _baseline_tables(spark, sf, sp)
+    hold = sp.where(F.col("holdout"))
+    short = SC.single_overrides(hold.where("line_number >= 4").select(
+        F.concat(F.col(KEY), F.lit("|short")).alias("scenario_id"),
+        F.when(F.col("line_number") == 4, "width").otherwise("legs").alias("numeric_field"),
+        F.when(F.col("line_number") < 6, F.col("width")).alias("numeric_value"),
+        F.lit("material_1").alias("categorical_field"), F.col("material_1").alias("categorical_value")))
+    requests = scenario_requests(spark, sf, sp).unionByName(short)
+    v = SC.validate(requests, NUMERIC_FEATURES, vocab)
+    base = SC.baseline_row(SC.numeric_defaults(train), SC.categorical_defaults(counts))
+    o = SC.overlay(v, base, NUMERIC_FEATURES, [c for c in CATEGORICAL_FEATURES if c in base])
+    lineage = TR.newest_run(spark, _written_runs(spark, sf), "training")
+    return SC.score_scenarios(o, IN.ExpressionScorer(F.col("seat_number") * F.col("width")), lineage).select(
+        "scenario_id", F.round("predicted_price", 4).alias("predicted_price"), "model_version", "train_run_id", "data_split_id",
+        F.size("errors").alias("n_errors"))
 
 
 # --------------------------------------------------------------------------- V11, V12 (model-backed: rows-only)

@@ -3,8 +3,9 @@ validated, overlaid on the baseline and scored per micro-batch (R5–R10).
 
 Each micro-batch is a static DataFrame, so the batch operators apply as they
 are (``foreachBatch``); the fitted model, vocabulary and baseline are fixed for
-the life of the query. Output is appended, rejected requests included with
-their errors.
+the life of the query. Each batch writes its own folder ``batch=<id>`` of the
+output, so a replayed batch replaces its rows; rejected requests are included
+with their errors.
 """
 from __future__ import annotations
 
@@ -37,7 +38,7 @@ def start_scenario_stream(
         v = SC.validate(batch, NUMERIC_FEATURES, vocab_table)
         o = SC.overlay(v, baseline, NUMERIC_FEATURES, cats)
         o = FE.apply_vocabulary(o, vocab, cats)
-        SC.score_scenarios(o, model, lineage).write.mode("append").parquet(out_dir)
+        SC.score_scenarios(o, model, lineage).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(score_batch)
