@@ -34,10 +34,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import holds, repeated
+from .bitmaps import holds, id_keys, of_ids, repeated
 from .common import bound_batches, materialise, slices, texts_bytes
 
 BUCKETS = 1 << 20
@@ -122,9 +122,12 @@ def _pairs(often: np.ndarray, groups: int, need: int) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """``PARITY_BITS`` bits of a set: how many of its tokens fall on each, modulo 2. Two
-    sets differ in at least as many tokens as their bits differ in places."""
-    odd = np.bincount(((tokens >> np.uint64(20)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """Bits of a set: how many of its tokens fall on each, modulo 2. Two sets differ
+    in at least as many tokens as their bits differ in places. There are as many bits
+    as tokens, rounded down to a power of two, and ``PARITY_BITS`` at least; the two
+    halves of the bits, added, are the bits of half the length."""
+    size = max(PARITY_BITS, 1 << (len(tokens).bit_length() - 1))
+    odd = np.bincount(((tokens >> np.uint64(20)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -148,7 +151,7 @@ def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFra
 
     def _rows(ids, n, node, bits, chunk=None, counts=None):
         m = len(n)
-        blob = None if counts is None else counts.astype("<i8").tobytes()
+        blob = None if counts is None else counts.astype("<u4").tobytes()
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array([chunk] * m, pa.int32()),
              pa.array([blob] * m, pa.binary())], names=["doc_id", "n_shingles", "node", "bits", "chunk", "counts"])
@@ -166,7 +169,7 @@ def _levels(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                c = np.frombuffer(blob, dtype="<i8")
+                c = np.frombuffer(blob, dtype="<u4").astype("<i8")
                 total[k] = total[k] + c if k in total else c
         for k, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.tobytes()], pa.binary())],
@@ -211,11 +214,13 @@ def signature_rows(docs: DataFrame, level: np.ndarray, size: int, percent: int,
     return docs.select(text_col).mapInArrow(run, "sig long, node long, n int")
 
 
-def sets_of(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
-    """``node, tokens`` of every row."""
+def sets_of(docs: DataFrame, wanted: np.ndarray, size: int, text_col: str = "text") -> DataFrame:
+    """``node, tokens`` of the rows whose ids the bitmap ``wanted`` has."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(holds(shared.value, id_keys(batch.column("doc_id")))))
             for part in slices(batch, text_col):
                 sets = [s for s in (token_set(t, size) for t in texts_bytes(part, text_col)) if len(s)]
                 if sets:
@@ -223,7 +228,12 @@ def sets_of(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
                         [pa.array([node_of(s) for s in sets], pa.int64()),
                          pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    return docs.select(text_col).mapInArrow(run, "node long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(run, "node long, tokens array<long>")
+
+
+def _half(bits: str) -> Column:
+    n = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, n), F.slice(bits, n + 1, n), lambda x, y: x.bitwiseXOR(y))
 
 
 def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -231,19 +241,22 @@ def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     that differ, at most (n + m - d) / 2 tokens are shared."""
     both = (pairs.join(marks.select(F.col("node").alias("a"), F.col("bits").alias("ba"), F.col("n_shingles").alias("na")), "a")
             .join(marks.select(F.col("node").alias("b"), F.col("bits").alias("bb"), F.col("n_shingles").alias("nb")), "b"))
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = both.where(_fits(F.col("na"), F.col("nb"), percent))  # so one is at most twice as long
+    a = F.when(F.size("ba") > F.size("bb"), _half("ba")).otherwise(F.col("ba"))
+    b = F.when(F.size("bb") > F.size("ba"), _half("bb")).otherwise(F.col("bb"))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("na") + F.col("nb")
     return both.where((total - differ) * (100 + percent) >= 2 * percent * total).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, percent: int, text_col: str, name: str) -> DataFrame:
-    """The pairs ``a, b`` that link, by their whole sets; only the texts of their nodes are read."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # one row of each node; of rows without id all
-    ids = (rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
-           .select("_id").distinct())
-    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    sets = materialise(sets_of(chosen, size, text_col), f"{name}-sets")
+    """The pairs ``a, b`` that link, by their whole sets. One row of each node is
+    wanted; a bitmap of the wanted ids picks the texts where they are read."""
+    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes")
+    ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+    wanted = of_ids(ids)
+    sets = materialise(sets_of(docs, wanted, size, text_col), f"{name}-sets")
     sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
@@ -299,7 +312,9 @@ def _shared(sigs: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, the
-    smallest doc_id among documents reachable by links."""
+    smallest doc_id among documents reachable by links. ``percent`` is 50 or more."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent from 50 to 100")
     rows, level = profile(docs, size, text_col)
     shared = _shared(materialise(signature_rows(docs, level, size, percent, text_col), "signatures"))
     marks = materialise(rows.where("node IS NOT NULL").join(shared.select("node").distinct(), "node", "left_semi")

@@ -204,3 +204,27 @@ def test_answer_must_overlap():
     whole = items[0][1].encode()
     assert D.search([whole], index)[0]
     assert not D.search([whole.replace(b"iota kappa lambda mu", b"other words stand here")], index, threshold=0.3)[0]
+
+
+def test_parity_bits_never_reject_a_link(spark):
+    """The bound holds for sets of very different length, folded or not."""
+    rng = np.random.default_rng(6)
+    sets, pairs = [], []
+    for n in (3, 900, 1023, 1025, 2047, 2050, 9000):
+        base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        near = np.unique(np.append(base[rng.random(len(base)) > 0.05], rng.integers(0, 1 << 62, n // 20).astype(np.uint64)))
+        far = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        for s in (base, near, far):
+            sets.append(s)
+        k = len(sets) - 3
+        pairs += [(k, k + 1), (k, k + 2)]
+    marks = spark.createDataFrame([(i, len(s), [int(x) for x in J.parity(s)]) for i, s in enumerate(sets)],
+                                  "node long, n_shingles long, bits array<long>")
+    got = {tuple(r) for r in J.plausible(spark.createDataFrame(pairs, "a long, b long"), marks, 80).collect()}
+    linked = set()
+    for a, b in pairs:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            linked.add((a, b))
+    assert len(linked) >= 5 and linked <= got
+    assert not {(a, b) for a, b in got if b == a + 2 and len(sets[a]) > 500}  # unrelated sets are told apart
