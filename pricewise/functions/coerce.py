@@ -1,9 +1,10 @@
-"""Typed values out of loosely typed model output (VARIANT columns).
+"""Typed values out of loosely typed model output.
 
-Model replies may hold a number as 1299, "£1,299.00", "84 inches" or true.
-Each helper dispatches on ``schema_of_variant`` (BIGINT / DECIMAL / DOUBLE are
-numbers, STRING, BOOLEAN, VOID = JSON null, OBJECT / ARRAY) and stays a plain
-column expression, so it runs inside whole-stage codegen.
+Model replies may hold a number as 1299, "£1,299.00", "84 inches" or true. Each
+helper takes two columns of a JSON value: ``t``, its type name (``schema_of_variant``:
+BIGINT / DECIMAL / DOUBLE are numbers, STRING, BOOLEAN, VOID = JSON null, OBJECT,
+ARRAY; null when the key is absent), and ``s``, its text (strings verbatim, others
+as JSON text, null for JSON null).
 """
 from __future__ import annotations
 
@@ -33,57 +34,29 @@ PY_WS_CHARS = (
 
 
 def py_strip(s: Column) -> Column:
-    """Python ``str.strip()``: trims Unicode whitespace, not only spaces."""
-    return F.trim(s, F.lit(PY_WS_CHARS))
+    """Python ``str.strip()``: trims Unicode whitespace, not only spaces. Text that
+    starts and ends with a printable ASCII character, most of it, is taken as it is."""
+    def plain(c: Column) -> Column:
+        return F.ascii(c).between(33, 126)
 
-
-def vtype(v: Column) -> Column:
-    """Type name of a variant value; null when the key is absent."""
-    return F.schema_of_variant(v)
+    return F.when(plain(s) & plain(F.right(s, F.lit(1))), s).otherwise(F.trim(s, F.lit(PY_WS_CHARS)))
 
 
 def is_number_type(t: Column) -> Column:
     return t.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | t.startswith("DECIMAL")
 
 
-def v_string(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-def v_double(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "double")
-
-
-def _finite(c: Column) -> Column:
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
-
-
-def number_from_text(s: Column) -> Column:
-    """Text → double: drop , $ £ €, drop one trailing unit, parse strictly."""
+def number_text(s: Column) -> Column:
+    """Text without , $ £ € and one trailing unit. Text of digits only is taken as it is."""
     t = F.regexp_replace(py_strip(s), NUMBER_JUNK_RE, "")
-    t = py_strip(F.regexp_replace(t, UNIT_SUFFIX_RE, ""))
-    return _finite(F.when(t.rlike(FLOAT_TEXT_RE), t.try_cast("double")))
+    return F.when(s.try_cast("bigint").isNotNull() & ~s.contains(" "), s).otherwise(py_strip(F.regexp_replace(t, UNIT_SUFFIX_RE, "")))
 
 
-def as_number(v: Column) -> Column:
-    """number → double; text → parsed; bool / null / object / array → null."""
-    t = vtype(v)
-    return (
-        F.when(is_number_type(t), _finite(v_double(v)))
-        .when(t == "STRING", number_from_text(v_string(v)))
-    )
-
-
-def as_int(v: Column) -> Column:
-    """bool → null; integer; float → truncated toward zero; text → first -?digits."""
-    t = vtype(v)
-    d = v_double(v)
-    digits = F.regexp_extract(F.replace(v_string(v), F.lit(","), F.lit("")), "-?[0-9]+", 0)
-    return (
-        F.when(t == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-        .when(is_number_type(t), F.when(_finite(d).isNotNull(), d.try_cast("bigint")))
-        .when(t == "STRING", F.nullif(digits, F.lit("")).try_cast("bigint"))
-    )
+def number_of(t: Column, s: Column, cleaned: Column) -> Column:
+    """number → double; text → parsed strictly from its ``number_text``; other types →
+    null. The result may be infinite."""
+    return F.when(is_number_type(t), s.try_cast("double")).when(
+        (t == "STRING") & cleaned.rlike(FLOAT_TEXT_RE), cleaned.try_cast("double"))
 
 
 def bool_from_text(s: Column) -> Column:
@@ -91,52 +64,8 @@ def bool_from_text(s: Column) -> Column:
     return F.when(w.isin(*TRUE_WORDS), F.lit(True)).when(w.isin(*FALSE_WORDS), F.lit(False))
 
 
-def as_bool(v: Column) -> Column:
-    """bool; text true/yes/y/1 or false/no/n/0 (trimmed, any case); numbers → null."""
-    t = vtype(v)
-    return (
-        F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(t == "STRING", bool_from_text(v_string(v)))
-    )
-
-
-def as_text(v: Column) -> Column:
-    """text trimmed, '' → null; JSON null → null; any other value → its JSON text."""
-    t = vtype(v)
-    return (
-        F.when(t == "VOID", F.lit(None).cast("string"))
-        .when(t == "STRING", F.nullif(py_strip(v_string(v)), F.lit("")))
-        .when(t.isNotNull(), F.to_json(v))
-    )
-
-
-def is_blank(v: Column) -> Column:
-    """Python's ``x in (None, "")`` on a variant value (absent counts as None)."""
-    t = vtype(v)
-    return t.isNull() | (t == "VOID") | ((t == "STRING") & (v_string(v) == F.lit("")))
-
-
-def is_truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value."""
-    t = vtype(v)
-    return (
-        F.when(t.isNull() | (t == "VOID"), F.lit(False))
-        .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(is_number_type(t), v_double(v) != 0)
-        .when(t == "STRING", v_string(v) != F.lit(""))
-        .when(t.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-        .when(t.startswith("OBJECT"), F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) > 0)
-        .otherwise(F.lit(True))
-    )
-
-
-# --------------------------------------------------------------------------- (type, text) forms
-# The same rules over two precomputed columns per value: ``t`` = schema_of_variant,
-# ``s`` = the value cast to string (JSON text for objects and arrays, canonical
-# number text, SQL null for JSON null). Computing the pair once per key keeps the
-# per-field expressions small enough for whole-stage code generation.
-def as_number_ts(t: Column, s: Column) -> Column:
-    return F.when(is_number_type(t), _finite(s.try_cast("double"))).when(t == "STRING", number_from_text(s))
+def _finite(c: Column) -> Column:
+    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
 def as_int_ts(t: Column, s: Column) -> Column:
@@ -153,10 +82,6 @@ def as_bool_ts(t: Column, s: Column) -> Column:
     return F.when(t == "BOOLEAN", s == F.lit("true")).when(t == "STRING", bool_from_text(s))
 
 
-def as_text_ts(t: Column, s: Column) -> Column:
-    return F.when(t == "STRING", F.nullif(py_strip(s), F.lit(""))).when(t.isNotNull() & (t != "VOID"), s)
-
-
 def is_blank_ts(t: Column, s: Column) -> Column:
     return t.isNull() | (t == "VOID") | ((t == "STRING") & (s == F.lit("")))
 

@@ -2,16 +2,16 @@
 
 Input is a table of replies ``(image_path, attempt, raw_text[, runtime_s, prompt_text])``
 (the model call itself is outside this library). Every step is a column
-expression over one row; only E17 groups, by image, with at most
-``retry + 1`` rows per group.
+expression over one row; only E17 groups, by image.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.coerce import (
-    PY_WS, as_bool, as_int, as_number, as_text, is_blank, is_truthy, py_strip, v_string, vtype,
+    PY_WS, as_bool_ts, as_int_ts, is_absent_ts, is_blank_ts, is_truthy_ts, number_of, number_text, py_strip, text_of_ts,
 )
 from ..schema import ARRAY_FIELDS, BOOL_FIELDS, LISTING_COLUMNS, LISTING_SCHEMA, NUMBER_FIELDS, TEXT_FIELDS
 
@@ -68,29 +68,30 @@ def strict_parse(text: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- E3–E15
-def _get(v: Column, key: str) -> Column:
-    """One allowed (or auxiliary) key of the parsed object, as VARIANT."""
-    return F.try_variant_get(v, f"$.{key}", "variant")
+def _get(v: Column, path: str) -> Column:
+    """One value of the parsed object, as VARIANT (no cast: casts out of VARIANT are slow)."""
+    return F.try_variant_get(v, f"$.{path}", "variant")
+
+
+def _strings(names) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def _text_of(v: Column) -> Column:
     """Python str() of a JSON value (strings verbatim, others as JSON text)."""
-    return F.when(vtype(v) == "STRING", v_string(v)).otherwise(F.to_json(v))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
 
 
-def _absent_or_null(v: Column) -> Column:
-    t = vtype(v)
-    return t.isNull() | (t == "VOID")
+def _items(text: Column) -> Column:
+    """Texts of the items of a JSON array (strings verbatim, others as JSON text)."""
+    return F.from_json(text, "array<string>")
 
 
-def material_parts(m: Column) -> Column:
-    """E5: material text split on / , ; + or ' and ', or a list; trimmed, blanks removed."""
-    t = vtype(m)
-    from_text = F.filter(F.transform(F.split(v_string(m), MATERIAL_SPLIT_RE), lambda x: py_strip(x)), lambda x: x != "")
-    from_list = F.filter(
-        F.transform(F.try_variant_get(m, "$", "array<variant>"), lambda e: py_strip(_text_of(e))),
-        lambda x: x != "",
-    )
+def material_parts(t: Column, s: Column) -> Column:
+    """E5: material text split on / , ; + or ' and ', or a list; trimmed, blanks removed.
+    ``t`` and ``s`` are the value's type and text."""
+    from_text = F.filter(F.transform(F.split(s, MATERIAL_SPLIT_RE), lambda x: py_strip(x)), lambda x: x != "")
+    from_list = F.filter(F.transform(_items(s), lambda e: py_strip(F.coalesce(e, F.lit("null")))), lambda x: x != "")
     return (
         F.when(t == "STRING", from_text)
         .when(t.startswith("ARRAY"), from_list)
@@ -98,11 +99,9 @@ def material_parts(m: Column) -> Column:
     )
 
 
-def seats_from_variant(sizes: Column) -> Column:
-    """The number before 'seater' in the chosen sizes value (first item of a list)."""
-    first = F.when(vtype(sizes).startswith("ARRAY") & is_truthy(sizes), F.try_variant_get(sizes, "$[0]", "variant")).otherwise(sizes)
-    txt = F.when(vtype(first) == "STRING", F.lower(v_string(first)))
-    return F.nullif(F.regexp_extract(txt, SEATER_RE, 1), F.lit("")).try_cast("bigint")
+def seats_from_text(text: Column) -> Column:
+    """The number before 'seater'."""
+    return F.nullif(F.regexp_extract(F.lower(text), SEATER_RE, 1), F.lit("")).try_cast("bigint")
 
 
 def currency_from_text(text: Column) -> Column:
@@ -114,134 +113,145 @@ def currency_from_text(text: Column) -> Column:
     )
 
 
-def _or_empty(v: Column) -> Column:
-    return F.when(is_truthy(v), _text_of(v)).otherwise(F.lit(""))
-
-
-def string_array(v: Column) -> Column:
+def string_array(t: Column, s: Column, v: Column) -> Column:
     """List kept; null / '' → []; any other scalar → [its text]."""
-    t = vtype(v)
     return (
         F.when(t.startswith("ARRAY"), F.transform(F.try_variant_get(v, "$", "array<variant>"), _text_of))
-        .when(is_blank(v), F.array().cast("array<string>"))
-        .otherwise(F.array(_text_of(v)))
+        .when(is_blank_ts(t, s), F.array().cast("array<string>"))
+        .otherwise(F.array(text_of_ts(t, s)))
     )
 
 
-def non_string_items(v: Column) -> Column:
-    """True when a list holds anything but strings."""
-    return F.when(
-        vtype(v).startswith("ARRAY"),
-        F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.coalesce(vtype(e), F.lit("VOID")) != "STRING"),
-    ).otherwise(F.lit(False))
+def non_string_items(t: Column) -> Column:
+    """True when a list holds anything but strings; ``t`` names its item type."""
+    return F.coalesce(t.startswith("ARRAY") & ~t.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
 
 
 _AUX_KEYS = ["name", "description", "delivery", "specifications"]
 _SPEC_KEYS = ["materials", "material", "sofa_sizes", "size", "seater", "dimensions"]
+_SIZE_KEYS = ["sofa_sizes", "size", "seater"]
 _DIM_KEYS = ["width", "depth", "height"]
 
 
-def _ts(v: Column, path: str, name: str) -> dict[str, Column]:
-    """(type, text) pair of one value: the only two reads of that value."""
-    x = F.try_variant_get(v, path, "variant")
-    return {f"_t_{name}": F.schema_of_variant(x), f"_s_{name}": F.try_variant_get(v, path, "string")}
-
+def normalize(df: DataFrame, v: str = "_v", text: str = "_rep") -> DataFrame:
+    """E3–E15 as one column ``_f_<field>`` per listing field, plus ``_errors``.
 
-def normalize(df: DataFrame, v: str = "_v") -> DataFrame:
-    """E3–E15 as one column per listing field, plus ``_errors``.
-
-    Staged projections: (1) the type and text of every key used (one read of
-    each value), (2) values several rules share (material parts, seat text),
-    (3) the typed fields. Small per-field expressions keep the stages inside
-    whole-stage code generation."""
-    from ..functions.coerce import (
-        as_bool_ts, as_int_ts, as_number_ts, as_text_ts, is_absent_ts, is_blank_ts, is_truthy_ts, text_of_ts,
-    )
+    Every value is read twice at most: its type from the VARIANT and its text from
+    one parse of the JSON object into a struct of strings (likewise for the nested
+    specifications and dimensions). The rules are staged as plain columns, so that an
+    expression that several rules or branches use is computed once, and the cost is
+    the sum over the fields that a query asks for."""
     V = F.col(v)
-    stage1: dict[str, Column] = {}
+    stage: dict[str, Column] = {"_j": F.from_json(F.when(V.isNotNull(), F.col(text)), _strings(LISTING_COLUMNS + _AUX_KEYS))}
     for k in LISTING_COLUMNS + _AUX_KEYS:
-        stage1.update(_ts(V, f"$.{k}", k))
+        stage[f"_t_{k}"] = F.schema_of_variant(_get(V, k))
     for k in _SPEC_KEYS:
-        stage1.update(_ts(V, f"$.specifications.{k}", f"spec_{k}"))
+        stage[f"_t_spec_{k}"] = F.schema_of_variant(_get(V, f"specifications.{k}"))
+    for k in _SIZE_KEYS:
+        stage[f"_t_first_{k}"] = F.schema_of_variant(_get(V, f"specifications.{k}[0]"))
     for k in _DIM_KEYS:
-        stage1.update(_ts(V, f"$.specifications.dimensions.{k}", f"dim_{k}"))
-    for k in ARRAY_FIELDS:
-        stage1[f"_g_{k}"] = _get(V, k)
-    df = df.withColumns(stage1)
+        stage[f"_t_dim_{k}"] = F.schema_of_variant(_get(V, f"specifications.dimensions.{k}"))
+    df = df.withColumns(stage)
 
     def t(n):
         return F.col(f"_t_{n}")
 
     def s(n):
-        return F.col(f"_s_{n}")
+        if n.startswith("spec_"):
+            return F.col("_js")[n[5:]]
+        return F.col("_jd")[n[4:]] if n.startswith("dim_") else F.col("_j")[n]
 
+    # nested objects
     spec_obj = F.coalesce(t("specifications").startswith("OBJECT"), F.lit(False))
+    df = df.withColumn("_js", F.from_json(F.when(spec_obj, s("specifications")), _strings(_SPEC_KEYS)))
     dims_obj = spec_obj & F.coalesce(t("spec_dimensions").startswith("OBJECT"), F.lit(False))
-    mats_first = is_truthy_ts(t("spec_materials"), s("spec_materials"))
-    mats = F.when(mats_first, _get(V, "specifications.materials")).otherwise(_get(V, "specifications.material"))
-    mats_truthy = mats_first | is_truthy_ts(t("spec_material"), s("spec_material"))
-    sizes = (
-        F.when(is_truthy_ts(t("spec_sofa_sizes"), s("spec_sofa_sizes")), _get(V, "specifications.sofa_sizes"))
-        .when(is_truthy_ts(t("spec_size"), s("spec_size")), _get(V, "specifications.size"))
-        .otherwise(_get(V, "specifications.seater"))
-    )
-    df = df.withColumns({
-        "_spec_obj": spec_obj,
-        "_dims_obj": dims_obj,
-        "_use_mats": spec_obj & is_blank_ts(t("material_1"), s("material_1")) & F.coalesce(mats_truthy, F.lit(False)),
-        "_parts": F.when(spec_obj, material_parts(mats)),
-        "_seat_fb": F.when(spec_obj, seats_from_variant(sizes)),
-    })
-    parts, use_mats = F.col("_parts"), F.col("_use_mats")
+    df = df.withColumn("_jd", F.from_json(F.when(dims_obj, s("spec_dimensions")), _strings(_DIM_KEYS)))
+
+    # values that fall back on another one: choose type and text first
+    first_mats = is_truthy_ts(t("spec_materials"), s("spec_materials"))
+    mats = spec_obj & is_blank_ts(t("material_1"), s("material_1")) & (
+        first_mats | is_truthy_ts(t("spec_material"), s("spec_material")))
+    choice = F.when(is_truthy_ts(t("spec_sofa_sizes"), s("spec_sofa_sizes")), 0).when(
+        is_truthy_ts(t("spec_size"), s("spec_size")), 1).otherwise(2)
+    stage = {
+        "_use_mats": mats, "_first_mats": first_mats,
+        "_size_of": F.when(spec_obj & is_absent_ts(t("seat_number")), choice),
+    }
+    for f in NUMBER_FIELDS:
+        if f in _DIM_KEYS:
+            nested = dims_obj & is_absent_ts(t(f))
+            stage[f"_nt_{f}"] = F.when(nested, t(f"dim_{f}")).otherwise(t(f))
+            stage[f"_ns_{f}"] = F.when(nested, s(f"dim_{f}")).otherwise(s(f))
+        else:
+            stage[f"_nt_{f}"], stage[f"_ns_{f}"] = t(f), s(f)
+    df = df.withColumns(stage)
+
+    size = F.col("_size_of")
+    stage = {
+        "_mt": F.when(F.col("_first_mats"), t("spec_materials")).otherwise(t("spec_material")),
+        "_ms": F.when(F.col("_first_mats"), s("spec_materials")).otherwise(s("spec_material")),
+        "_zt": F.when(size == 0, t("spec_sofa_sizes")).when(size == 1, t("spec_size")).when(size == 2, t("spec_seater")),
+        "_zs": F.when(size == 0, s("spec_sofa_sizes")).when(size == 1, s("spec_size")).when(size == 2, s("spec_seater")),
+        "_z0": F.when(size == 0, t("first_sofa_sizes")).when(size == 1, t("first_size")).when(size == 2, t("first_seater")),
+    }
+    for f in NUMBER_FIELDS:  # E9: number text without signs, separators and one unit
+        stage[f"_n_{f}"] = F.when(F.col(f"_nt_{f}") == "STRING", number_text(F.col(f"_ns_{f}")))
+    for f in TEXT_FIELDS:
+        stage[f"_x_{f}"] = F.when(t(f) == "STRING", py_strip(s(f))).when(~is_absent_ts(t(f)), s(f))
+    df = df.withColumns(stage)
+
+    zt = F.col("_zt")
+    stage = {
+        "_parts": F.when(F.col("_use_mats"), material_parts(F.col("_mt"), F.col("_ms"))),
+        "_seat": F.when(zt == "STRING", F.col("_zs")).when(zt.startswith("ARRAY") & (F.col("_z0") == "STRING"), F.get(_items(F.col("_zs")), 0)),
+        "_count": as_int_ts(t("product_count"), s("product_count")),
+    }
+    for f in NUMBER_FIELDS:
+        stage[f"_d_{f}"] = number_of(F.col(f"_nt_{f}"), F.col(f"_ns_{f}"), F.col(f"_n_{f}"))
+    df = df.withColumns(stage)
 
-    out: dict[str, Column] = {}
-    # E8 currency (before text normalisation, only when absent or JSON null)
+    out: dict[str, Column] = {f: F.nullif(F.col(f"_x_{f}"), F.lit("")) for f in TEXT_FIELDS}     # E14
+    # E8 currency, only when absent or JSON null
     hint = F.concat(
         F.when(is_truthy_ts(t("description"), s("description")), text_of_ts(t("description"), s("description"))).otherwise(F.lit("")),
         F.lit(" "),
         F.when(is_truthy_ts(t("delivery"), s("delivery")), text_of_ts(t("delivery"), s("delivery"))).otherwise(F.lit("")),
     )
-    out["currency"] = F.when(is_absent_ts(t("currency")), currency_from_text(hint)).otherwise(as_text_ts(t("currency"), s("currency")))
+    out["currency"] = F.when(is_absent_ts(t("currency")), currency_from_text(hint)).otherwise(out["currency"])
     # E4 model <- name
     out["model"] = F.when(is_blank_ts(t("model"), s("model")) & (F.coalesce(t("name"), F.lit("")) == "STRING"),
-                          F.nullif(py_strip(s("name")), F.lit(""))).otherwise(as_text_ts(t("model"), s("model")))
-    # E5 materials
-    out["material_1"] = F.when(use_mats, F.nullif(py_strip(F.get(parts, 0)), F.lit(""))).otherwise(as_text_ts(t("material_1"), s("material_1")))
-    out["material_2"] = F.when(use_mats & (F.size(parts) > 1), F.nullif(py_strip(F.get(parts, 1)), F.lit(""))) \
-        .otherwise(as_text_ts(t("material_2"), s("material_2")))
-    for f in TEXT_FIELDS:
-        out.setdefault(f, as_text_ts(t(f), s(f)))                            # E14
-    # E6 dimensions, E9 numbers
-    for f in NUMBER_FIELDS:
-        if f in _DIM_KEYS:
-            fb = F.col("_dims_obj") & is_absent_ts(t(f))
-            out[f] = F.when(fb, as_number_ts(t(f"dim_{f}"), s(f"dim_{f}"))).otherwise(as_number_ts(t(f), s(f)))
-        else:
-            out[f] = as_number_ts(t(f), s(f))
-    # E7 seats, E10 integers
-    out["seat_number"] = F.when(F.col("_spec_obj") & is_absent_ts(t("seat_number")), F.col("_seat_fb")) \
-        .otherwise(as_int_ts(t("seat_number"), s("seat_number")))
-    # E12 product count
-    pc = as_int_ts(t("product_count"), s("product_count"))
-    out["product_count"] = F.when(pc >= 1, pc).otherwise(F.lit(1).cast("bigint"))
+                          F.nullif(py_strip(s("name")), F.lit(""))).otherwise(out["model"])
+    # E5 materials (the parts are trimmed and not blank)
+    parts, use_mats = F.col("_parts"), F.col("_use_mats")
+    out["material_1"] = F.when(use_mats, F.get(parts, 0)).otherwise(out["material_1"])
+    out["material_2"] = F.when(use_mats & (F.size(parts) > 1), F.get(parts, 1)).otherwise(out["material_2"])
+    for f in NUMBER_FIELDS:                                                                    # E6, E9
+        d = F.col(f"_d_{f}")
+        out[f] = F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
+    out["seat_number"] = F.when(F.col("_size_of").isNotNull(), seats_from_text(F.col("_seat"))) \
+        .otherwise(as_int_ts(t("seat_number"), s("seat_number")))                              # E7, E10
+    out["product_count"] = F.when(F.col("_count") >= 1, F.col("_count")).otherwise(F.lit(1).cast("bigint"))  # E12
     for f in BOOL_FIELDS:
-        out[f] = as_bool_ts(t(f), s(f))                                      # E11
+        out[f] = as_bool_ts(t(f), s(f))                                                        # E11
     for f in ARRAY_FIELDS:
-        out[f] = string_array(F.col(f"_g_{f}"))                              # E13
+        out[f] = string_array(t(f), s(f), _get(V, f))                                          # E13
     errors = F.filter(
-        F.array(*[F.when(non_string_items(F.col(f"_g_{f}")), F.lit(f"{f}: items must be strings")) for f in ARRAY_FIELDS]),
+        F.array(*[F.when(non_string_items(t(f)), F.lit(f"{f}: items must be strings")) for f in ARRAY_FIELDS]),
         lambda x: x.isNotNull(),
     )
     fields = {f"_f_{c}": out[c].cast(LISTING_SCHEMA[c].dataType) for c in LISTING_COLUMNS}
     fields["_errors"] = errors
-    df = df.withColumns(fields)
-    helper = [c for c in df.columns if c.startswith(("_t_", "_s_", "_g_"))] + [
-        "_spec_obj", "_dims_obj", "_use_mats", "_parts", "_seat_fb"]
-    return df.drop(*helper)
+    keep = [*df.columns, *fields]
+    helpers = ("_t_", "_nt_", "_ns_", "_n_", "_x_", "_d_")
+    single = {"_j", "_js", "_jd", "_use_mats", "_first_mats", "_size_of", "_mt", "_ms", "_zt", "_zs", "_z0", "_parts", "_seat", "_count"}
+    return df.withColumns(fields).select(*[c for c in keep if not c.startswith(helpers) and c not in single])
 
 
 def clean_attempts(replies: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """E1–E16 for every reply row: adds json_text, parsed (struct), errors, valid, error."""
+    """E1–E16 for every reply row: adds json_text, v, n_allowed, n_other, errors, error,
+    valid, one flat column ``f_<field>`` per listing field (null unless valid) and
+    ``parsed``, the struct of them. A query that needs a few fields reads the flat
+    columns: what it does not read is not computed."""
     # each stage is its own projected column, so the expensive text and JSON work
     # runs once per row (an inlined chain would be repeated inside every branch)
     df = (
@@ -249,31 +259,25 @@ def clean_attempts(replies: DataFrame, text_col: str = "raw_text") -> DataFrame:
         .withColumn("_rep", repair(F.col("json_text")))
         .withColumn("_v", strict_parse(F.col("_rep")))
     )
-    df = normalize(df, "_v")
-    parsed = F.struct(*[F.col(f"_f_{c}").alias(c) for c in LISTING_COLUMNS])
-    keys = F.map_keys(F.try_variant_get(F.col("_v"), "$", "map<string,variant>"))
+    df = normalize(df, "_v", "_rep")
+    keys = F.json_object_keys(F.when(F.col("_v").isNotNull(), F.col("_rep")))
     allowed = F.array(*[F.lit(c) for c in LISTING_COLUMNS])
-    df = (
-        df.withColumn("_errs", F.col("_errors")).withColumn("parsed", parsed)
-        # E3 census: how many keys were kept / dropped by the projection
-        .withColumn("n_allowed", F.size(F.array_intersect(keys, allowed)))
-        .withColumn("n_other", F.size(F.array_except(keys, allowed)))
-        .drop("_errors", *[f"_f_{c}" for c in LISTING_COLUMNS])
-    )
     error = (
         F.when(F.col("json_text").isNull(), F.lit(ERR_NO_JSON))
         .when(F.col("_v").isNull(), F.lit(ERR_BAD_JSON))
-        .when(F.size("_errs") > 0, F.concat(F.lit("schema: "), F.array_join("_errs", "; ")))
+        .when(F.size("_errors") > 0, F.concat(F.lit("schema: "), F.array_join("_errors", "; ")))
     )
+    df = df.withColumn("_keys", keys).withColumn("error", error).withColumn("valid", F.col("error").isNull())
+    df = df.withColumns({
+        # E3 census: how many keys were kept / dropped by the projection
+        "n_allowed": F.when(F.col("_v").isNotNull(), F.size(F.array_intersect("_keys", allowed))),
+        "n_other": F.when(F.col("_v").isNotNull(), F.size(F.array_except("_keys", allowed))),
+        **{f"f_{c}": F.when(F.col("valid"), F.col(f"_f_{c}")) for c in LISTING_COLUMNS},
+    })
+    parsed = F.when(F.col("valid"), F.struct(*[F.col(f"f_{c}").alias(c) for c in LISTING_COLUMNS]))
     return (
-        df.withColumn("error", error)
-        .withColumn("valid", F.col("error").isNull())
-        .withColumn("parsed", F.when(F.col("valid"), F.col("parsed")))
-        .withColumn("n_allowed", F.when(F.col("_v").isNotNull(), F.col("n_allowed")))
-        .withColumn("n_other", F.when(F.col("_v").isNotNull(), F.col("n_other")))
-        .withColumnRenamed("_errs", "errors")
-        .withColumnRenamed("_v", "v")
-        .drop("_rep")
+        df.withColumn("parsed", parsed).withColumnRenamed("_errors", "errors").withColumnRenamed("_v", "v")
+        .drop("_rep", "_keys", *[f"_f_{c}" for c in LISTING_COLUMNS])
     )
 
 
@@ -286,28 +290,28 @@ def first_valid(
     """Per key, the first valid attempt among the first ``retry + 1``.
 
     Output: key, success, attempts_used, runtime_s (through the winning
-    attempt), prompt_text, raw_text, parsed, last_error. Groups hold at most
-    ``retry + 1`` rows, so the per-key window and aggregate cannot skew.
+    attempt), prompt_text, raw_text, parsed, last_error. One aggregate, combined
+    map-side; a key has ``retry + 1`` attempts at most.
     """
     df = cleaned.where(F.col("attempt") <= retry + 1)
     if "runtime_s" not in df.columns:
         df = df.withColumn("runtime_s", F.lit(0.0))
     if "prompt_text" not in df.columns:
         df = df.withColumn("prompt_text", F.lit(""))
-    win = F.min(F.when(F.col("valid"), F.col("attempt"))).over(Window.partitionBy(key))
-    df = df.withColumn("_win", win)
     by_win = F.when(F.col("valid"), F.col("attempt"))
-    return df.groupBy(key).agg(
-        F.first("_win").alias("_win"),
+    tries = range(1, retry + 2)
+    done = df.groupBy(key).agg(
+        F.min(by_win).alias("_win"),
         F.min_by(F.struct("raw_text", "prompt_text", "parsed"), by_win).alias("_w"),
-        F.sum(F.when(F.col("_win").isNull() | (F.col("attempt") <= F.col("_win")), F.col("runtime_s"))).alias("_rt"),
+        F.array(*[F.sum(F.when(F.col("attempt") <= a, F.col("runtime_s"))) for a in tries]).alias("_rt"),
         F.max_by("error", "attempt").alias("_last_error"),
         F.max("attempt").alias("attempts_tried"),
-    ).select(
+    )
+    return done.select(
         key,
         F.col("_win").isNotNull().alias("success"),
         F.coalesce(F.col("_win"), F.lit(0)).cast("int").alias("attempts_used"),
-        F.col("_rt").cast("double").alias("runtime_s"),
+        F.get("_rt", F.greatest(F.coalesce("_win", F.lit(retry + 1)), F.lit(1)).cast("int") - 1).cast("double").alias("runtime_s"),
         F.col("_w.prompt_text").alias("prompt_text"),
         F.col("_w.raw_text").alias("raw_text"),
         F.col("_w.parsed").alias("parsed"),

@@ -284,7 +284,7 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed(spark, sf, *fields):
-    return cleaned(spark, sf).select("image_path", "attempt", *[F.col(f"parsed.{f}").alias(f) for f in fields])
+    return cleaned(spark, sf).select("image_path", "attempt", *[F.col(f"f_{f}").alias(f) for f in fields])
 
 
 @query("e1_json_text")
@@ -360,7 +360,7 @@ def e13_arrays(spark, sf):
     c = cleaned(spark, sf)
     return c.select("image_path", "attempt", *[
         x for f in ("additional_features", "evidence")
-        for x in (F.array_join(F.col(f"parsed.{f}"), "|").alias(f"{f}_text"), F.size(F.col(f"parsed.{f}")).alias(f"{f}_n"))
+        for x in (F.array_join(F.col(f"f_{f}"), "|").alias(f"{f}_text"), F.size(F.col(f"f_{f}")).alias(f"{f}_n"))
     ]).withColumn("additional_features_n", F.when(F.col("additional_features_text").isNotNull(), F.col("additional_features_n"))) \
       .withColumn("evidence_n", F.when(F.col("evidence_text").isNotNull(), F.col("evidence_n")))
 
@@ -375,8 +375,8 @@ def e14_text(spark, sf):
 def e15_schema(spark, sf):
     from ..schema import LISTING_COLUMNS
     c = cleaned(spark, sf)
-    cols = [F.array_join(F.col(f"parsed.{f}"), "|").alias(f) if f in ("additional_features", "evidence")
-            else F.col(f"parsed.{f}").alias(f) for f in LISTING_COLUMNS]
+    cols = [F.array_join(F.col(f"f_{f}"), "|").alias(f) if f in ("additional_features", "evidence")
+            else F.col(f"f_{f}").alias(f) for f in LISTING_COLUMNS]
     return c.select("image_path", "attempt", *cols)
 
 
