@@ -1,18 +1,29 @@
 """DuckDB mirror of the extraction rules (E1–E19), generated as SQL text.
 
-Independent of the Spark code path: DuckDB's own JSON reader and RE2
-regexes, driven by the same fixed patterns and word lists.
+Independent of the Spark code path: DuckDB's own JSON reader and RE2 regexes, and
+patterns of its own, written out here from the rules, so that a slip in the
+library's patterns shows as a difference.
 """
 from __future__ import annotations
 
-from ..functions.coerce import (
-    FALSE_WORDS, FLOAT_TEXT_RE, NUMBER_JUNK_RE, PY_STRIP_RE, TRUE_WORDS, UNIT_SUFFIX_RE,
-)
-from ..operators.extract import (
-    ERR_BAD_JSON, ERR_NO_JSON, FENCE_RE, FIRST_OBJ_RE, MATERIAL_SPLIT_RE, SEATER_RE, TRAILING_COMMA_RE,
-)
 from ..schema import LISTING_COLUMNS, TEXT_FIELDS
 
+# White space, fences, braces, separators, units and words of the rules, for RE2.
+SPACE = (r"[\x09-\x0D\x20\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+PY_STRIP_RE = f"^{SPACE}+|{SPACE}+$"
+FENCE_RE = r"(?s)```(?:json)?" + SPACE + r"*(\{.*?\})" + SPACE + "*```"
+FIRST_OBJ_RE = r"(?s)\{.*\}"
+TRAILING_COMMA_RE = "," + SPACE + r"*([}\]])"
+NUMBER_JUNK_RE = "[£€$,]"
+UNIT_SUFFIX_RE = "(?i)" + SPACE + "*(inches|inch|in|cm|mm|'|\")" + SPACE + "*$"
+FLOAT_TEXT_RE = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+MATERIAL_SPLIT_RE = " and |[+,/;]"
+SEATER_RE = r"(\d+)" + SPACE + "*seater"
+TRUE_WORDS = ["1", "true", "y", "yes"]
+FALSE_WORDS = ["0", "false", "n", "no"]
+ERR_NO_JSON = "no JSON object found in model output"
+ERR_BAD_JSON = "invalid JSON"
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

@@ -270,7 +270,8 @@ SELECT count(*) AS total_images, count(*) FILTER (WHERE success) AS successful_e
   coalesce(sum(runtime_s), 0.0) AS runtime_s FROM rec""")
 
 # --------------------------------------------------------------------------- L1–L7
-from ..operators.ledger import BLOCK_SIGNALS as _SIG  # noqa: E402
+# What, beside "cloudflare", a bot-check page says.
+_SIG = ["cf-challenge", "challenge-platform", "checking your browser", "ray id", "security verification", "verify you are human"]
 from .oracle_extract import strip as _strip  # noqa: E402
 
 _LEDGER = cte_sql("ledger").rstrip() + """,
