@@ -20,10 +20,11 @@ group of ``k`` tokens counts ``k - 1``. The prefix is extended until the counts
 also writes the pairs of the class below where a partner may be in it.
 
 Links are found in two steps, so that a bucket of many near copies does not
-emit all pairs: every node is compared with one node of its buckets, verified
+emit all pairs: every node is compared with one head of its buckets, verified
 pairs form components, and then all pairs of a bucket across components are
 compared. Pairs inside a component need no test, as only components are asked for.
-Before whole sets are compared, parity bits bound the overlap of a pair from above.
+Before whole sets are compared, parity bits bound the overlap of a pair from above,
+first inside the join that would make the pair.
 
 Null and empty texts have the empty set, which links with nothing. A row without
 ``doc_id`` takes part, but names no component. Equal 64-bit hashes of different
@@ -42,6 +43,7 @@ from .common import bound_batches, materialise, slices, texts_bytes
 
 BUCKETS = 1 << 20
 PARITY_BITS = 1024
+WORDS = PARITY_BITS // 64
 CHUNK = 1 << 14
 #: A bucket is frequent beyond the even share by this many standard deviations.
 DEVIATIONS = 6.0
@@ -131,6 +133,23 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters of a chunk; a task with little input sends those that are not zero."""
+    at = np.flatnonzero(counts)
+    if 6 * len(at) < 4 * CHUNK - 8:
+        return at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+    return counts.astype("<u4").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if len(blob) == 4 * CHUNK:
+        return np.frombuffer(blob, dtype="<u4").astype(np.int64)
+    n = len(blob) // 6
+    out = np.zeros(CHUNK, dtype=np.int64)
+    out[np.frombuffer(blob, "<u2", n)] = np.frombuffer(blob, "<u4", n, 2 * n)
+    return out
+
+
 def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, node, parity bits of every row; token level by hash
     bucket), in one pass."""
@@ -147,11 +166,10 @@ def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFra
                 yield _rows(part.column("doc_id"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets],
                             [parity(s) if len(s) else None for s in sets])
         for k in range(BUCKETS // CHUNK) if counts.any() else ():
-            yield _rows(pa.nulls(1, pa.int64()), [None], [None], [None], k, counts[k * CHUNK:(k + 1) * CHUNK])
+            yield _rows(pa.nulls(1, pa.int64()), [None], [None], [None], k, _packed(counts[k * CHUNK:(k + 1) * CHUNK]))
 
-    def _rows(ids, n, node, bits, chunk=None, counts=None):
+    def _rows(ids, n, node, bits, chunk=None, blob=None):
         m = len(n)
-        blob = None if counts is None else counts.astype("<u4").tobytes()
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array([chunk] * m, pa.int32()),
              pa.array([blob] * m, pa.binary())], names=["doc_id", "n_shingles", "node", "bits", "chunk", "counts"])
@@ -169,7 +187,7 @@ def _levels(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                c = np.frombuffer(blob, dtype="<u4").astype("<i8")
+                c = _unpacked(blob)
                 total[k] = total[k] + c if k in total else c
         for k, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.tobytes()], pa.binary())],
@@ -236,6 +254,12 @@ def _half(bits: str) -> Column:
     return F.zip_with(F.slice(bits, 1, n), F.slice(bits, n + 1, n), lambda x, y: x.bitwiseXOR(y))
 
 
+def _fold(bits: str, word: int) -> Column:
+    """One word of the bits folded to the shortest length."""
+    return F.aggregate(F.sequence(F.lit(word), F.size(bits) - 1, F.lit(WORDS)), F.lit(0).cast("long"),
+                       lambda s, k: s.bitwiseXOR(F.get(bits, k)))
+
+
 def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose parity bits allow a link: with sizes n and m and d places
     that differ, at most (n + m - d) / 2 tokens are shared."""
@@ -291,8 +315,10 @@ def _fits(n, m, percent):
 
 
 def _shared(sigs: DataFrame) -> DataFrame:
-    """The signature rows whose signature two nodes have. Most have one: a bitmap
-    drops those before anything is dealt out by signature."""
+    """The signature rows whose signature two nodes have, with the head of each
+    signature. Most signatures have one node: a bitmap drops those before anything
+    is dealt out by signature. The head is the node whose signatures are shared most:
+    of a text and its edited copies that is the text, which links with them all."""
 
     def keys(batches):
         for batch in batches:
@@ -306,8 +332,12 @@ def _shared(sigs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(holds(known.value, batch.column("sig").to_numpy().view(np.uint64))))
 
     left = materialise(sigs.mapInArrow(keep, sigs.schema), "signatures-left")
-    several = left.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head <> _last")
-    return materialise(left.join(several.drop("_last"), "sig"), "signatures-shared")
+    several = left.groupBy("sig").agg(F.min("node").alias("_first"), F.max("node").alias("_last"), F.count("*").alias("size"))
+    several = several.where("_first <> _last").select("sig", "size")
+    shared = materialise(left.join(several, "sig").dropDuplicates(["sig", "node"]), "signatures-shared")
+    central = shared.groupBy("node").agg(F.sum("size").alias("central"))
+    heads = shared.join(central, "node").groupBy("sig").agg(F.max_by("node", F.struct("central", "node")).alias("head"))
+    return materialise(shared.drop("size").join(heads, "sig"), "signatures-headed")
 
 
 def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text") -> DataFrame:
@@ -328,13 +358,20 @@ def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text") ->
     label = components(links, "components-1")
 
     # then what shares a signature across components
-    member = materialise(shared.select("sig", "node", "n").distinct().join(label, "node", "left")
+    words = [f"w{i}" for i in range(WORDS)]
+    folded = marks.select("node", *[_fold("bits", i).alias(w) for i, w in enumerate(words)])
+    member = materialise(shared.select("sig", "node", "n").join(label, "node", "left")
                          .select("sig", "node", "n", F.coalesce("comp", "node").alias("comp")), "members")
     open_ = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    member = member.join(open_, "sig", "left_semi")
-    x = member.select("sig", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    y = member.select("sig", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-    cross = x.join(y, "sig").where((F.col("xc") < F.col("yc")) & _fits(F.col("xn"), F.col("yn"), percent))
+    member = member.join(open_, "sig", "left_semi").join(folded, "node")
+    x = member.select("sig", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", *words)])
+    y = member.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "comp", *words)])
+    differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
+    total = F.col("x_n") + F.col("y_n")
+    # the bounds are part of the join: what they exclude is no row of it
+    cross = x.join(y, (x["sig"] == y["sig"]) & (F.col("x_comp") < F.col("y_comp")) & _fits(F.col("x_n"), F.col("y_n"), percent)
+                   & ((total - differ) * (100 + percent) >= 2 * percent * total)).select(
+        F.col("x_node").alias("x"), F.col("y_node").alias("y"))
     cross = _ordered(cross).join(first, ["a", "b"], "left_anti")
     more = verified(materialise(plausible(cross, marks, percent), "pairs-2"), docs, rows, size, percent, text_col, "step-2")
     label = components(links.union(more), "components-2")
