@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 BITS = 27
 #: Keys that a task holds before it sends them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def repeated(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]],
