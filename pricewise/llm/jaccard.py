@@ -17,7 +17,8 @@ signature is enough. A rare token is a signature by itself and counts 1. Frequen
 tokens fall into groups by hash; each pair within a group is a signature, and a
 group of ``k`` tokens counts ``k - 1``. The prefix is extended until the counts pass
 ``t``. The number of groups follows from the size class, a power of two; a set
-also writes the pairs of the class below where a partner may be in it.
+also writes the signatures of the class below where a partner may be in it. Large
+classes use pairs for all tokens.
 
 Links are found in two steps, so that a bucket of many near copies does not
 emit all pairs: every node is compared with one head of its buckets, verified
@@ -43,6 +44,9 @@ from .common import bound_batches, materialise, slices, texts_bytes
 
 BUCKETS = 1 << 20
 PARITY_BITS = 1024
+#: Sets with so many groups (a quarter of their size class) use pairs for rare tokens too:
+#: of the hundreds of tokens that a large set may lack, single ones are shared by chance.
+PAIR_GROUPS = 256
 WORDS = PARITY_BITS // 64
 CHUNK = 1 << 14
 #: A bucket is frequent beyond the even share by this many standard deviations.
@@ -90,14 +94,16 @@ def signatures(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarra
     if n < 2 or 100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n:
         return np.empty(0, dtype=np.uint64)  # any partner would be equal
     t = n - least
-    rare = tokens[level == 0][:t + 1]
-    out = [_mix(rare * _M1)]
-    need = t + 1 - len(rare)
-    if need > 0:
-        often, how = tokens[level > 0], level[level > 0]
-        often = often[np.lexsort((often, how))]
-        for groups in {groups_of(n), groups_of(least)}:
-            out.append(_pairs(often, groups, need))
+    out = []
+    for groups in {groups_of(n), groups_of(least)}:
+        if groups >= PAIR_GROUPS:  # a large set: pairs for all tokens
+            out.append(_pairs(tokens[np.lexsort((tokens, level))], groups, t + 1))
+            continue
+        rare = tokens[level == 0][:t + 1]
+        out.append(_mix(rare * _M1))
+        if t + 1 > len(rare):
+            often, how = tokens[level > 0], level[level > 0]
+            out.append(_pairs(often[np.lexsort((often, how))], groups, t + 1 - len(rare)))
     return np.unique(np.concatenate(out))
 
 

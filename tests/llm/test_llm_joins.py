@@ -228,3 +228,17 @@ def test_parity_bits_never_reject_a_link(spark):
             linked.add((a, b))
     assert len(linked) >= 5 and linked <= got
     assert not {(a, b) for a, b in got if b == a + 2 and len(sets[a]) > 500}  # unrelated sets are told apart
+
+
+def test_large_sets_share_a_pair():
+    rng = np.random.default_rng(8)
+    for n in (1000, 1030, 1400, 2040, 2100, 5000):
+        for _ in range(4):
+            base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            other = np.unique(np.append(base[rng.random(len(base)) > 0.07], rng.integers(0, 1 << 62, int(n * 0.07)).astype(np.uint64)))
+            both = len(np.intersect1d(base, other))
+            if 100 * both >= 85 * (len(base) + len(other) - both):
+                level = {int(x): int(v) for x, v in zip(np.union1d(base, other), rng.integers(0, 2, n * 3))}
+                a, b = (J.signatures(s, np.array([level[int(x)] for x in s]), 85) for s in (base, other))
+                assert len(np.intersect1d(a, b)), (n, both)
+                assert len(a) < len(base)
