@@ -16,7 +16,12 @@ blocks whose bound reaches the threshold are scored exactly.
 
 A retrieved item is verified by its question (all but its last sentence) and
 answer (its last sentence): of both, at least ``overlap`` of the word pairs must
-stand in the passage. Both parts of a one-sentence item are halves of its words.
+stand in the passage. Both parts of a one-sentence item are halves of its words. A
+last sentence of less than ``MIN_ANSWER`` words need not be the answer: then it is
+enough that the item split before an earlier sentence passes, so that the answer has
+that many words. A passage with ``WHOLE`` of all pairs of an item holds it, whatever
+part is missing. The parts of a one-word item are that word and nothing; the empty
+part is always there.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lowered. Null
 texts have none. Items without words are never found; repeated items each are.
@@ -40,6 +45,10 @@ BLOCK = 2
 ESSENTIAL = 8
 THRESHOLD = 0.5
 OVERLAP = 0.5
+#: Share of the word pairs of a whole item that settles it without its parts.
+WHOLE = 0.8
+#: Words of an answer; shorter last sentences are also tried with the ones before.
+MIN_ANSWER = 4
 MAX_POSTINGS = 5_000_000
 #: Bound of the dense (passage, block) sums of a slice.
 DENSE = 2_000_000
@@ -52,10 +61,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def question_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
+def question_answer(text: bytes, least: int = 1) -> tuple[list[bytes], list[bytes]]:
+    """Words before and in the last sentences that have ``least`` words; halves if nothing is before."""
     ends = [m.end() for m in _SENTENCE_END.finditer(text.rstrip())]
     words = words_of(text)
-    tail = len(words_of(text[ends[-1]:])) if ends else 0
+    tails = [len(words_of(text[e:])) for e in ends]
+    tail = max([t for t in tails if t >= least][-1:], default=0)
     if not 0 < tail < len(words):
         tail = len(words) // 2
     return words[:len(words) - tail], words[len(words) - tail:]
@@ -68,7 +79,8 @@ def _pairs(words: list[bytes]) -> set:
 @dataclass
 class Index:
     items: list           # item ids, by item number
-    parts: list           # (question pairs, answer pairs)
+    parts: list           # (question pairs, answer pairs), of short answers also those of a longer one
+    whole: list           # pairs of the item
     longest: int
     terms: dict           # word -> term number
     essential: np.ndarray  # term -> bool
@@ -96,7 +108,7 @@ def build(rows: list[tuple]) -> Index:
         for t in set(w):
             df[t] = df.get(t, 0) + 1
     mean = sum(len(w) for _, _, w in rows) / max(len(rows), 1)
-    impact, parts = [], []
+    impact, parts, whole = [], [], []
     for _, text, w in rows:
         own = {}
         for t in set(w):
@@ -105,8 +117,11 @@ def build(rows: list[tuple]) -> Index:
             own[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
         full = sum(own.values())
         impact.append({t: float(s / full) for t, s in own.items()})
-        q, a = question_answer(text)
-        parts.append((_pairs(q), _pairs(a)))
+        splits = [question_answer(text)]
+        if len(splits[0][1]) < MIN_ANSWER:
+            splits.append(question_answer(text, MIN_ANSWER))
+        parts.append([(_pairs(q), _pairs(a)) for q, a in splits])
+        whole.append(_pairs(w))
     terms = {t: k for k, t in enumerate(sorted(df))}
     best: dict[tuple[int, int], float] = {}
     for k, own in enumerate(impact):
@@ -122,7 +137,7 @@ def build(rows: list[tuple]) -> Index:
     for (t, b), s in best.items():
         if t in column:
             often_max[column[t], b] = s
-    return Index([i for i, _, _ in rows], parts, max((len(w) for _, _, w in rows), default=1), terms, essential, often, often_max,
+    return Index([i for i, _, _ in rows], parts, whole, max((len(w) for _, _, w in rows), default=1), terms, essential, often, often_max,
                  at, np.array([k[1] for k in keys], dtype=np.int64), np.array([best[k] for k in keys]), impact)
 
 
@@ -196,9 +211,15 @@ def _score(own: list[bytes], start: int, block: int, index: Index, threshold: fl
             continue
         if pairs is None:
             pairs = set(zip(own, own[1:])) | words
-        q, a = (len(p & pairs) / max(len(p), 1) for p in index.parts[item])
-        if min(q if index.parts[item][0] else 1.0, a) >= overlap and (item not in out or score > out[item][0]):
-            out[item] = (score, start, q, a)
+        shares = [tuple(_share(p, pairs) for p in split) for split in index.parts[item]]
+        held = max(map(min, shares)) >= overlap or _share(index.whole[item], pairs) >= WHOLE
+        if held and (item not in out or score > out[item][0]):
+            out[item] = (score, start, *shares[0])
+
+
+def _share(part: set, pairs: set) -> float:
+    """Share of the pairs that stand in the passage; nothing always does."""
+    return len(part & pairs) / len(part) if part else 1.0
 
 
 def _index_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Index:

@@ -206,6 +206,23 @@ def test_answer_must_overlap():
     assert not D.search([whole.replace(b"iota kappa lambda mu", b"other words stand here")], index, threshold=0.3)[0]
 
 
+def test_short_tails_hide_no_copy():
+    """A copy is found although its one-word tail, or one word anywhere, is another."""
+    head = " ".join(f"w{i}" for i in range(20))
+    items = [(0, head + ". er."), (1, "solitary"), (2, "m0 m1 m2 m3 m4 m5 m6 m7. n0 n1 n2 n3 n4. n5.")]
+    index = D.build(items)
+    at = {item: k for k, item in enumerate(index.items)}
+    assert at[0] in D.search([head.encode()], index)[0]  # the tail is missing
+    for i in range(21):
+        words = D.words_of(items[0][1].encode())
+        words[i] = b"other"
+        assert at[0] in D.search([b" ".join(words)], index)[0], i
+    assert at[1] in D.search([b"a solitary word"], index)[0]
+    assert at[2] in D.search([b"m3 m4 m5 m6 m7 n0 n1 n2 n3 n4"], index)[0]  # half of the question and the longer answer
+    assert at[2] not in D.search([b"m0 m1 m2 m3 m4 m5 m6 m7 n4"], index)[0]  # no answer
+    assert not D.search([b"nothing of them stands here"], index)[0]
+
+
 def test_parity_bits_never_reject_a_link(spark):
     """The bound holds for sets of very different length, folded or not."""
     rng = np.random.default_rng(6)
