@@ -134,6 +134,24 @@ def test_repeats_match_brute_force(frame, monkeypatch, hot):
     assert R.dedup(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [3, 12])
+def test_no_group_of_places_outgrows_the_bound(frame, monkeypatch, hot):
+    """Places of a passage that most documents have do not meet in one task."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(R, "HOT", hot)
+    rows = repeated_corpus()
+    shared = prose(910, 40)
+    rows += [(1000 - i, prose(950 + i, 20) + shared + prose(950 + i % 7, 30)) for i in range(45)]
+    docs = frame(rows)
+    groups = {}
+    for r in R.places(docs, *R.repeated_anchors(docs)).where(F.col("kind") == R._PLACES).collect():
+        for a, s in zip(*(R._array(r["data"], R._PLACE)[c].tolist() for c in ("anchor", "segment"))):
+            groups[r["bucket"], a, s] = groups.get((r["bucket"], a, s), 0) + 1
+    assert groups and max(groups.values()) <= hot
+    got = R.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows, R.LENGTH)
+
+
 def test_matching_statistics_against_brute_force():
     rng = random.Random(9)
     strings = ["".join(rng.choice("aab") for _ in range(rng.randint(1, 60))).encode() for _ in range(25)]
