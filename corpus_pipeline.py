@@ -25,13 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id stays;
-    rows without words or id stay. Of rows with the same id and text one stays."""
-    groups = jaccard.cluster(docs, SHINGLE_WORDS, PERCENT)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    # dealt by doc_id already, so the window needs no shuffle of its own
+    rows without words or id stay. Of rows with the same id and text one stays; rows
+    with the same id and other texts are judged each by its own text."""
+    groups = jaccard.cluster(docs, SHINGLE_WORDS, PERCENT, keyed=True)
+    gone = groups.where("doc_id <> component_id").select("doc_id", F.col("text_key").alias("_text")).distinct()
+    # dealt by id and text already, so the window needs no shuffle of its own
     same = Window.partitionBy("doc_id", "_text").orderBy("lang", "source", "n_chars")
-    return (docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-            .withColumn("_rank", F.row_number().over(same)).where("_rank = 1").select(*docs.columns))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text"))
+    return (named.join(gone, ["doc_id", "_text"], "left_anti")
+            .withColumn("_rank", F.row_number().over(same)).where("_rank = 1").select(*docs.columns)
+            .union(docs.where("doc_id IS NULL")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

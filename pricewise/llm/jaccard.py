@@ -156,11 +156,12 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+def profile(docs: DataFrame, size: int, text_col: str = "text", keyed: bool = False) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, node, parity bits of every row; token level by hash
-    bucket), in one pass."""
+    bucket), in one pass; ``keyed`` rows have the hash of the text, too."""
     spark = docs.sparkSession
     bound_batches(spark)
+    key = ["text_key"] if keyed else []
 
     def run(batches):
         counts = np.zeros(BUCKETS, dtype=np.int64)
@@ -170,19 +171,21 @@ def profile(docs: DataFrame, size: int, text_col: str = "text") -> tuple[DataFra
                 for s in sets:
                     np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 yield _rows(part.column("doc_id"), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets],
-                            [parity(s) if len(s) else None for s in sets])
+                            [parity(s) if len(s) else None for s in sets], [part.column(c) for c in key])
         for k in range(BUCKETS // CHUNK) if counts.any() else ():
-            yield _rows(pa.nulls(1, pa.int64()), [None], [None], [None], k, _packed(counts[k * CHUNK:(k + 1) * CHUNK]))
+            yield _rows(pa.nulls(1, pa.int64()), [None], [None], [None], [pa.nulls(1, pa.int64()) for _ in key], k, _packed(counts[k * CHUNK:(k + 1) * CHUNK]))
 
-    def _rows(ids, n, node, bits, chunk=None, blob=None):
+    def _rows(ids, n, node, bits, keys, chunk=None, blob=None):
         m = len(n)
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array([chunk] * m, pa.int32()),
-             pa.array([blob] * m, pa.binary())], names=["doc_id", "n_shingles", "node", "bits", "chunk", "counts"])
+             pa.array([blob] * m, pa.binary()), *keys], names=["doc_id", "n_shingles", "node", "bits", "chunk", "counts", *key])
 
-    every = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, bits array<long>, chunk int, counts binary"), "profile")
-    return (every.where("chunk IS NULL").select("doc_id", "n_shingles", "node", "bits"),
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col, *[F.xxhash64(text_col).alias(c) for c in key])
+    every = materialise(own.mapInArrow(
+        run, "doc_id long, n_shingles long, node long, bits array<long>, chunk int, counts binary"
+        + "".join(f", {c} long" for c in key)), "profile")
+    return (every.where("chunk IS NULL").select("doc_id", "n_shingles", "node", "bits", *key),
             _levels(every.where("chunk IS NOT NULL").select("chunk", "counts")))
 
 
@@ -346,12 +349,14 @@ def _shared(sigs: DataFrame) -> DataFrame:
     return materialise(shared.drop("size").join(heads, "sig"), "signatures-headed")
 
 
-def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text", keyed: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, the
-    smallest doc_id among documents reachable by links. ``percent`` is 50 or more."""
+    smallest doc_id among documents reachable by links. ``percent`` is 50 or more.
+    ``keyed`` adds ``text_key``, the xxhash64 of the text, which tells rows of one id apart."""
     if not 50 <= percent <= 100:
         raise ValueError("percent from 50 to 100")
-    rows, level = profile(docs, size, text_col)
+    rows, level = profile(docs, size, text_col, keyed)
+    key = ["text_key"] if keyed else []
     shared = _shared(materialise(signature_rows(docs, level, size, percent, text_col), "signatures"))
     marks = materialise(rows.where("node IS NOT NULL").join(shared.select("node").distinct(), "node", "left_semi")
                         .groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "marks")
@@ -384,8 +389,8 @@ def cluster(docs: DataFrame, size: int, percent: int, text_col: str = "text") ->
 
     named = rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = named.where("comp IS NOT NULL").join(smallest, "comp").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = named.where("comp IS NOT NULL").join(smallest, "comp").select("doc_id", "n_shingles", "component_id", *key)
+    alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *key)
     return linked.union(alone)
 
 

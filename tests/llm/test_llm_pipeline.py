@@ -77,6 +77,15 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), path).collect() == [], name
 
 
+def test_near_duplicates_judge_rows_and_keep_those_without_id(spark, frame):
+    base, other = prose(1, 100), prose(2, 100)
+    near = edited(base, random.Random(1), 1)
+    rows = [(2, base), (5, near), (5, other), (5, other), (None, base), (None, base), (None, None)]
+    left = corpus_pipeline.near_duplicates(spark, frame(rows), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(
+        [(2, base), (5, other), (None, base), (None, base), (None, None)], key=repr)
+
+
 CONTRACT = {
     "op2": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op3": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
