@@ -19,19 +19,22 @@ HELD = 1_000_000
 
 
 def repeated(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]],
-             hot: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+             hot: int, every: bool = False, bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(bitmap of the repeated keys, leading bits of the keys that occur more than
     ``hot`` times, for ``among``); with ``every`` the bitmap has all keys.
 
     ``keys_of`` turns the batches of a task into (keys, owners) arrays; a key that
     only one owner has is not repeated. Owners are compared within a task, and all
-    rows of an owner must come in one array.
+    rows of an owner must come in one array. ``bits`` is the logarithm of the bitmap's
+    size (default ``BITS``); ``holds`` works on bitmaps of any size.
     """
     spark = source.sparkSession
+    wide = bits or BITS
     buckets = 16
     while buckets < 4 * int(spark.conf.get("spark.sql.shuffle.partitions")):
         buckets *= 2
     bits = buckets.bit_length() - 1
+    wide = max(wide, bits + 3)
     shift = np.uint64(64 - bits)
 
     def rows(kept):
@@ -72,7 +75,7 @@ def repeated(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], It
                 n = np.ones(len(a), np.int64)
                 n[np.frombuffer(r["many"], "<u4")] = np.frombuffer(r["counts"], "<u4")
                 got.setdefault(r["bucket"], []).append((a, several, n))
-        width = (1 << BITS) // buckets
+        width = (1 << wide) // buckets
         for b, parts in got.items():
             a, several, n = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(a, kind="stable")
@@ -81,14 +84,14 @@ def repeated(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], It
             # what two sendings have, two rows have
             rep = np.logical_or.reduceat(several, first) | (np.diff(np.append(first, len(a))) > 1) | every
             marks = np.zeros(width, dtype=np.uint8)
-            marks[a[first][rep] >> np.uint32(32 + bits - BITS)] = 1
+            marks[a[first][rep] >> np.uint32(32 + bits - wide)] = 1
             often = a[first][np.add.reduceat(n, first) > hot].astype(np.uint64) + np.uint64(b << 32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())],
                 names=["bucket", "bits", "hot"])
 
     sent = source.mapInArrow(send, "bucket int, keys binary, several binary, many binary, counts binary")
-    bitmap = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    bitmap = np.zeros((1 << wide) // 8, dtype=np.uint8)
     often = [np.empty(0, np.uint64)]
     size = len(bitmap) // buckets
     for r in sent.repartition("bucket").mapInArrow(mark, "bucket int, bits binary, hot binary").collect():
@@ -122,5 +125,5 @@ def among(hot: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def holds(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key's bit is set."""
-    place = keys >> np.uint64(64 - BITS)
+    place = keys >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
     return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, pii, quality, repeats, token_counts, token_store, toxicity
+from . import bpe, collocations, decontaminate, jaccard, licenses, pii, quality, repeats, token_counts, token_store, toxicity, whitening
 from .common import table
 from pricewise.session import scratch_path
 
@@ -65,6 +65,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_store": op2_token_store,
@@ -76,9 +84,12 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_repeats": op10_repeats,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op3_licenses": licenses.oracle(),
     "op8_ngram_jaccard": jaccard.oracle(),
     "op10_repeats": repeats.oracle(),
+    "op12_collocations": collocations.oracle(),
 }
