@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, jaccard, licenses, pii, quality, repeats, token_counts, token_store, toxicity, whitening
+from . import bpe, collocations, decontaminate, jaccard, licenses, pii, quality, repeats, substrings, token_counts, token_store, toxicity, whitening
 from .common import table
 from pricewise.session import scratch_path
 
@@ -65,6 +65,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_repeats": op10_repeats,
+    "op11_substrings": op11_substrings,
     "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
@@ -91,5 +97,6 @@ ORACLES = {
     "op3_licenses": licenses.oracle(),
     "op8_ngram_jaccard": jaccard.oracle(),
     "op10_repeats": repeats.oracle(),
+    "op11_substrings": substrings.oracle(),
     "op12_collocations": collocations.oracle(),
 }

@@ -35,7 +35,7 @@ GRID, SHIFT = 64, 1_000_000
 #: Entries from here on do not fit the grid.
 LARGEST = 2.0 ** 56
 COMPONENTS = 16
-BLOCK = 32
+BLOCK = 48
 DEGREE = 10
 TOLERANCE = 1e-13
 FLAT = 1e-12
