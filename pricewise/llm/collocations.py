@@ -6,8 +6,10 @@ more often than their parts let expect.
    bytes, rounded up. A phrase with ``support`` occurrences in all reaches that in at least
    one shard: shares add up to one. Shards are formed and mined in the same job, so it does
    not matter how rows are dealt.
-2. The locally frequent phrases of all shards are united. Their hashes go, packed, to
-   buckets and become a bitmap of a size that follows the input.
+2. The locally frequent phrases of all shards are united: their hashes go, packed, to
+   buckets, with what each has beyond the support of its shard less one. Elsewhere it has
+   that at most, so a phrase whose sum stays below the support less those of all shards is
+   no candidate. The others become a bitmap of a size that follows the input.
 3. All candidates are counted exactly: each shard counts the phrases whose bit is set and
    whose parts are candidates, and the counts meet in an aggregation by language and phrase.
    Other phrases that share a bit are counted like candidates and fall below the support.
@@ -16,8 +18,8 @@ more often than their parts let expect.
    of each language comes from lists of ``SALT`` parts.
 
 Support is an absolute number, so shares of less than ``1 / support`` mine at 1: with more
-than ``support`` shards of a language the union holds every phrase of the small shards, and
-pruning is left to the levels. ``SHARD_BYTES`` is the lever: bigger shards need more memory.
+than ``support`` shards of a language every phrase is sent with its count, and the sums of
+step 2 alone tell the candidates. ``SHARD_BYTES`` is the lever: bigger shards need more memory.
 
 Defined results. Null texts are empty, null languages are ``und`` (as are rows that say so).
 Words and their order are compared by 64-bit hashes inside a shard and by their text across
@@ -60,14 +62,15 @@ class Shard:
         w = words_of(texts, _TABLE, lower=True)
         self.hash.append(w.hash)
         self.new.append(w.new)
-        self.start.append(w.start + self.size)
-        self.end.append(w.end + self.size)
+        self.start.append((w.start + self.size).astype(np.uint32))
+        self.end.append((w.end + self.size).astype(np.uint32))
         self.data.append(w.data)
         self.size += len(w.data)
         self.bytes += sum(len(t) for t in texts)
 
     def joined(self):
         hash_, new = np.concatenate(self.hash), np.concatenate(self.new)
+        self.hash = self.new = None
         # words from each place to the end of its piece, up to LONGEST
         n = len(hash_)
         reach = np.full(n, LONGEST, dtype=np.int8)
@@ -179,18 +182,72 @@ def _plan(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, dict[str, int],
 
 
 def candidates(rows: DataFrame, sizes: dict[str, int], bits: int, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Bitmap of the phrases that are frequent in a shard."""
+    """Bitmap of the phrases that can have ``support`` occurrences, by what the shards found."""
+    number = {lang: k for k, lang in enumerate(sorted(sizes))}
+    buckets = max(4, (sum(sizes.values()) // shard_bytes).bit_length())
+    shift = np.uint64(64 - buckets)
 
-    def keys(batches):
+    def mine(batches):
+        """Packed phrases of each shard, and as bucket -1 its support less one."""
         for lang, shard in _shards(batches, shard_bytes):
             least = max(1, -(-support * shard.bytes // sizes[lang]))
             salt = _salt(lang)
             hash_, reach = shard.joined()
-            for _, found, _, _ in levels(hash_, reach, lambda k, n, least=least: n >= least):
-                found = join(np.full(len(found), salt), found)
+            found = [(join(np.full(len(k), salt), k), n - (least - 1)) for _, k, n, _ in levels(hash_, reach, lambda k, n, least=least: n >= least)]
+            yield packed([-1], number[lang], [b""], [np.array([least - 1], "<u4").tobytes()])
+            if found:
+                keys, more = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(keys)
+                keys, more = keys[order].astype("<u8"), more[order].astype("<u4")
+                edge = np.searchsorted(keys, np.arange(1, 1 << buckets, dtype=np.uint64) << shift)
+                own = [(b, k, m) for b, (k, m) in enumerate(zip(np.split(keys, edge), np.split(more, edge))) if len(k)]
+                yield packed([b for b, _, _ in own], number[lang], [k.tobytes() for _, k, _ in own], [m.tobytes() for _, _, m in own])
+
+    def packed(bucket, lang, keys, more):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket, pa.int32()), pa.array([lang] * len(bucket), pa.int32()), pa.array(keys, pa.binary()), pa.array(more, pa.binary())],
+            names=["bucket", "lang", "keys", "more"])
+
+    schema = "bucket int, lang int, keys binary, more binary"
+    mined = materialise(rows.mapInArrow(mine, schema), "mined")
+
+    def known(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), pa.array([int(np.frombuffer(m.as_py(), "<u4")[0]) for m in batch.column("more")], pa.int64())], names=["lang", "n"])
+
+    # a row for each language
+    less = {r["lang"]: r["n"] for r in mined.where("bucket = -1").mapInArrow(known, "lang int, n long").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    need = {k: support - n for k, n in less.items()}
+
+    def united(batches):
+        held: dict[tuple, list] = {}
+        bucket = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket:
+                    yield from summed(held)
+                    held, bucket = {}, r["bucket"]
+                held.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["more"], "<u4")))
+        yield from summed(held)
+
+    def summed(held):
+        for lang, parts in held.items():
+            keys, more = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(keys)
+            keys, more = keys[order], more[order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys = keys[first][np.add.reduceat(more, first) >= need[lang]]
+            yield packed([0], lang, [keys.tobytes()], [b""])
+
+    def keys(batches):
+        for batch in batches:
+            for k in batch.column("keys"):
+                found = np.frombuffer(k.as_py(), "<u8")
                 yield found, np.zeros(len(found), np.int64)
 
-    return repeated(rows, keys, hot=1 << 62, every=True, bits=bits)[0]
+    found = (mined.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(united, schema))
+    return repeated(found, keys, hot=1 << 62, every=True, bits=bits)[0]
 
 
 def _salt(lang: str) -> np.uint64:
