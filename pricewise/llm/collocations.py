@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitmaps import holds, repeated
-from .common import bound_batches, check_broadcast, materialise
+from .common import bound_batches, check_broadcast, materialise, slices, texts_bytes
 from .words import classes, join, words_of
 
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Bytes of text whose words are found at once.
 SLICE = 1 << 18
 #: Languages that a table may have (their sizes are handed to every task).
@@ -52,9 +52,11 @@ _TABLE = classes(BLANKS, PIECES)
 
 
 class Shard:
-    """Words of one language in one shard: hashes, piece ends, and places in the texts."""
+    """Words of one language in one shard: hashes, piece ends, and (for ``named`` words) places
+    in the texts."""
 
-    def __init__(self):
+    def __init__(self, named: bool):
+        self.named = named
         self.hash, self.new, self.data, self.start, self.end = [], [], [], [], []
         self.size = self.bytes = 0
 
@@ -62,15 +64,16 @@ class Shard:
         w = words_of(texts, _TABLE, lower=True)
         self.hash.append(w.hash)
         self.new.append(w.new)
-        self.start.append((w.start + self.size).astype(np.uint32))
-        self.end.append((w.end + self.size).astype(np.uint32))
-        self.data.append(w.data)
+        if self.named:
+            self.start.append((w.start + self.size).astype(np.uint32))
+            self.end.append((w.end + self.size).astype(np.uint32))
+            self.data.append(w.data)
         self.size += len(w.data)
         self.bytes += sum(len(t) for t in texts)
 
     def joined(self):
         hash_, new = np.concatenate(self.hash), np.concatenate(self.new)
-        self.hash = self.new = None
+        self.hash = self.new = None  # a shard is read once
         # words from each place to the end of its piece, up to LONGEST
         n = len(hash_)
         reach = np.full(n, LONGEST, dtype=np.int8)
@@ -92,38 +95,40 @@ def levels(hash_: np.ndarray, reach: np.ndarray, frequent):
     """Phrases of 1 to ``LONGEST`` words, level by level: (length, hashes, counts, a place
     of each). ``frequent(hashes, counts)`` tells which to keep; a longer phrase is counted
     only where both its parts without the last and without the first word are kept."""
-    at = np.arange(len(hash_))
+    at = np.arange(len(hash_), dtype=np.int32)
     number, keys, counts = _encode(hash_)
     for length in range(1, LONGEST + 1):
         keep = frequent(keys, counts)
         if not keep.any():
             return
-        renamed = np.where(keep, np.cumsum(keep) - 1, -1)
+        renamed = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
         number = renamed[number]
         on = number >= 0
         at, number = at[on], number[on]
         keys, counts = keys[keep], counts[keep]
-        place = np.empty(len(keys), dtype=np.int64)
+        place = np.empty(len(keys), dtype=np.int32)
         place[number] = at
         yield length, keys, counts, place
         # successors: the same level at the next word
         if length == LONGEST or len(at) < 2:
             return
         ok = (at[1:] == at[:-1] + 1) & (reach[at[:-1]] > length)
-        left, right, at = number[:-1][ok].astype(np.int64), number[1:][ok].astype(np.int64), at[:-1][ok]
-        number, pair, counts = _encode(left * len(keys) + right)
+        pair, at = number[:-1][ok].astype(np.int64), at[:-1][ok]
+        pair *= len(keys)
+        pair += number[1:][ok]
+        number, pair, counts = _encode(pair)
         last = hash_[place[pair % len(keys)] + length - 1]
         keys = join(keys[pair // len(keys)], last)
 
 
-def _shards(batches, budget: int):
+def _shards(batches, budget: int, named: bool):
     """Shards of a task's rows, by language: (language, Shard); every row is in one."""
     held: dict[str, tuple[Shard, list]] = {}
     total = 0
 
     def put(lang, text):
         nonlocal total
-        shard, texts = held.setdefault(lang, (Shard(), []))
+        shard, texts = held.setdefault(lang, (Shard(named), []))
         texts.append(text)
         total += len(text)
         if sum(map(len, texts[-64:])) > SLICE or len(texts) >= 64:
@@ -132,21 +137,23 @@ def _shards(batches, budget: int):
 
     def flush():
         nonlocal total
-        for lang, (shard, texts) in held.items():
+        while held:
+            lang, (shard, texts) = held.popitem()
             if texts:
                 shard.add(texts)
             if shard.bytes:
                 yield lang, shard
-        held.clear()
+            pa.default_memory_pool().release_unused()
         total = 0
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            for part in _cut(text or b"", budget):
-                if part:
-                    put(lang, part)
-                if total >= budget:
-                    yield from flush()
+        for rows in slices(batch, "text", SLICE):
+            for lang, text in zip(rows.column("lang").to_pylist(), texts_bytes(rows)):
+                for part in _cut(text, budget):
+                    if part:
+                        put(lang, part)
+                    if total >= budget:
+                        yield from flush()
     yield from flush()
 
 
@@ -189,7 +196,7 @@ def candidates(rows: DataFrame, sizes: dict[str, int], bits: int, support: int =
 
     def mine(batches):
         """Packed phrases of each shard, and as bucket -1 its support less one."""
-        for lang, shard in _shards(batches, shard_bytes):
+        for lang, shard in _shards(batches, shard_bytes, False):
             least = max(1, -(-support * shard.bytes // sizes[lang]))
             salt = _salt(lang)
             hash_, reach = shard.joined()
@@ -261,10 +268,11 @@ def counts(rows: DataFrame, bitmap: np.ndarray, support: int = SUPPORT, shard_by
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches):
-        for lang, shard in _shards(batches, shard_bytes):
+        for lang, shard in _shards(batches, shard_bytes, True):
             salt = _salt(lang)
             hash_, reach = shard.joined()
             data, start, end = np.concatenate(shard.data), np.concatenate(shard.start), np.concatenate(shard.end)
+            shard.data = shard.start = shard.end = None
             yield _counted(lang, [0], [b""], [len(hash_)])
             text: list = []
             known = None
