@@ -3,23 +3,27 @@
 Exact quantiles
 ---------------
 ``percentile`` keeps every distinct value of the column on one reducer, which
-does not survive 100 TB. ``exact_quantiles`` gets the same numbers (NumPy's
-default linear interpolation) from bucket counts: the range of the column is cut
-into ``BUCKETS`` parts, rows are counted per part (partial aggregation, with the
-smallest and largest value), and the part that holds a wanted rank is cut again,
-until it holds one distinct value. Wide ranges are cut on a logarithmic scale, so
-a few rounds do for any distribution. Each round is one pass shared by all columns
-and ranks; nothing but counts leaves the tasks, however often a value occurs.
+does not survive 100 TB. ``ranked_quantiles`` gets the same numbers (NumPy's
+default linear interpolation) in two passes shared by all columns: a mergeable summary
+brackets each wanted rank, and one aggregate counts what is below and inside the brackets.
+Very large columns, whose brackets would hold too many values for the driver, are cut
+into ``BUCKETS`` parts instead, again and again, until a part holds one distinct value.
 """
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+#: Accuracy of the summary: a rank is off by at most one part in so many.
+SUMMARY = 10_000
+#: Columns of at most so many values are counted whole; others by brackets that hold at most so many rows.
+SMALL, MOST_INSIDE = 20_000, 400_000
 
 
 def is_finite(c: Column) -> Column:
@@ -41,6 +45,16 @@ def _order_stat_targets(n: int, probs: Sequence[float]) -> list[tuple[float, int
     return out
 
 
+@dataclass(frozen=True)
+class Quantiles:
+    """Exact quantiles of a column: their values, finite rows below each, finite rows, all rows."""
+
+    values: list[float]
+    below: list[int]
+    n: int
+    rows: int
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float] | None:
     """Linear-interpolated quantiles over the finite values of ``col`` (None if there are none)."""
     return exact_quantiles_multi(df, {col: F.col(col)}, probs)[col]
@@ -48,40 +62,138 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[flo
 
 def exact_quantiles_multi(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, list[float] | None]:
     """Exact quantiles of several columns, in passes shared by all of them."""
+    return {c: q.values if q.n else None for c, q in ranked_quantiles(df, columns, probs).items()}
+
+
+def ranked_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, Quantiles]:
+    """Exact quantiles of several columns, with the number of rows below each, in two passes.
+
+    The first finds a bracket of each wanted rank from a mergeable summary
+    (``percentile_approx``, whose rank error is bounded). The second counts, in one
+    aggregate, the rows below each bracket and the values inside it. A summary that does
+    not keep its bound, and columns whose brackets would hold more than ``MOST_INSIDE``
+    rows, go on in buckets (``_bucketed``)."""
     names = list(columns)
     vals = df.select(*[finite_or_null(columns[c].cast("double")).alias(f"c{i}") for i, c in enumerate(names)])
-    stats = vals.agg(*[x for i in range(len(names)) for x in (
-        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
-    targets = {i: _order_stat_targets(stats[f"n{i}"], probs) for i in range(len(names)) if stats[f"n{i}"]}
-    found: dict[tuple[int, int], float] = {}
-    # (column, lo, hi) -> {rank: rank inside the part}
-    open_ = {(i, stats[f"lo{i}"], stats[f"hi{i}"]): {r: r for _, lo, hi, _ in t for r in (lo, hi)} for i, t in targets.items()}
+    qs = sorted(set(probs))
+    margin = 2.0 / SUMMARY
+    wide = [x for q in qs for x in (max(0.0, q - margin), min(1.0, q + margin))]
+    stats = vals.agg(F.count(F.lit(1)).alias("rows"), *[x for i in range(len(names)) for x in (
+        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"),
+        F.percentile_approx(f"c{i}", wide, SUMMARY).alias(f"q{i}"))]).first()
+    out: dict[str, Quantiles] = {}
+    brackets: dict[int, list[tuple[float, float]]] = {}
+    slow: list[int] = []
+    for i, c in enumerate(names):
+        n = stats[f"n{i}"]
+        if not n:
+            out[c] = Quantiles([], [], 0, stats["rows"])
+        elif n <= SMALL:
+            brackets[i] = [(stats[f"lo{i}"], stats[f"hi{i}"])]
+        elif n * 2 * margin * len(qs) > MOST_INSIDE:
+            slow.append(i)
+        else:
+            found = list(stats[f"q{i}"])
+            pairs = list(zip(found[::2], found[1::2]))
+            brackets[i] = [(stats[f"lo{i}"] if q - margin <= 0 else a, stats[f"hi{i}"] if q + margin >= 1 else b)
+                           for q, (a, b) in zip(qs, pairs)]
+    counts = _inside(vals, brackets)
+    for i in brackets:
+        got = _from_brackets(stats[f"n{i}"], probs, *counts[i])
+        if got is None:
+            slow.append(i)
+        else:
+            out[names[i]] = Quantiles(*got, stats[f"n{i}"], stats["rows"])
+    for i in slow:
+        out[names[i]] = _counted(vals, f"c{i}", _bucketed(vals, f"c{i}", stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"], probs), stats)
+    return {c: out[c] for c in names}
+
+
+def _inside(vals: DataFrame, brackets: dict[int, list]) -> dict[int, tuple[list, list]]:
+    """Per column: [(bracket's low end, rows below it)], [(value, rows) inside the brackets]."""
+    if not brackets:
+        return {}
+    most = max(map(len, brackets.values()))
+    cells = []
+    for i, own in brackets.items():
+        v = F.col(f"c{i}")
+        inside = F.lit(False)
+        for lo, hi in own:
+            inside = inside | v.between(lo, hi)
+        below = [(v < F.lit(lo)).cast("int") for lo, _ in own] + [F.lit(0)] * (most - len(own))
+        cells.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), F.when(inside, v).alias("v"), *[b.alias(f"b{k}") for k, b in enumerate(below)])))
+    rows = vals.select(F.explode(F.array(*cells)).alias("x")) if len(cells) > 1 else vals.select(cells[0].alias("x"))
+    found = (rows.where("x IS NOT NULL").groupBy("x.i", "x.v")
+             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x.b{k}").alias(f"b{k}") for k in range(most)]).collect())
+    out: dict[int, tuple[list, list]] = {}
+    for i, own in brackets.items():
+        mine = [r for r in found if r["i"] == i]
+        out[i] = ([(lo, sum(r[f"b{k}"] for r in mine)) for k, (lo, _) in enumerate(own)],
+                  sorted((r["v"], r["n"]) for r in mine if r["v"] is not None))
+    return out
+
+
+def _from_brackets(n: int, probs: Sequence[float], ends: list, inside: list) -> tuple[list[float], list[int]] | None:
+    """(quantiles, rows below each); None where a rank is outside the brackets."""
+    values = [v for v, _ in inside]
+
+    def at(rank: int, lo: float, below: int) -> float | None:
+        for k in range(bisect.bisect_left(values, lo), len(values)):
+            if rank < below + inside[k][1]:
+                return values[k] if rank >= below else None
+            below += inside[k][1]
+        return None
+
+    out, less = [], []
+    by_prob = dict(zip(sorted(set(probs)), ends)) if len(ends) > 1 else dict.fromkeys(probs, ends[0])
+    for q, a, b, frac in _order_stat_targets(n, probs):
+        lo, below = by_prob[q]
+        x, y = at(a, lo, below), at(b, lo, below)
+        if x is None or y is None:
+            return None
+        cut = x + (y - x) * frac if frac else x
+        out.append(cut)
+        less.append(below + sum(m for v, m in inside if lo <= v < cut))
+    return out, less
+
+
+def _counted(vals: DataFrame, col: str, cuts: list[float], stats) -> Quantiles:
+    below = vals.agg(*[F.count_if(F.col(col) < F.lit(c)).alias(f"b{k}") for k, c in enumerate(cuts)]).first()
+    return Quantiles(cuts, list(below), stats[f"n{col[1:]}"], stats["rows"])
+
+
+def _bucketed(vals: DataFrame, col: str, n: int, low: float, high: float, probs: Sequence[float]) -> list[float]:
+    """Quantiles from bucket counts: the range is cut into ``BUCKETS`` parts, rows are counted
+    per part, and the part that holds a wanted rank is cut again, until it holds one value.
+    Nothing but counts leaves the tasks, however often a value occurs."""
+    targets = _order_stat_targets(n, probs)
+    found: dict[int, float] = {}
+    # (lo, hi) -> {rank: rank inside the part}
+    open_ = {(low, high): {r: r for _, lo, hi, _ in targets for r in (lo, hi)}}
     while open_:
+        for lo, hi in [p for p in open_ if p[0] == p[1]]:
+            found.update(dict.fromkeys(open_.pop((lo, hi)), lo))
         parts = sorted(open_)
-        for i, lo, hi in [p for p in parts if p[1] == p[2]]:
-            found.update({(i, r): lo for r in open_[(i, lo, hi)]})
-        parts = [p for p in parts if p[1] < p[2]]
         if not parts:
             break
+        v = F.col(col)
         buckets = F.explode(F.array(*[
-            F.when(F.col(f"c{i}").between(lo, hi), F.struct(
-                F.lit(t).alias("t"), _bucket(F.col(f"c{i}"), lo, hi).alias("b"), F.col(f"c{i}").alias("v")))
-            for t, (i, lo, hi) in enumerate(parts)]))
+            F.when(v.between(lo, hi), F.struct(F.lit(t).alias("t"), _bucket(v, lo, hi).alias("b"), v.alias("v")))
+            for t, (lo, hi) in enumerate(parts)]))
         counts: dict[int, list] = {}
         for r in (vals.select(buckets.alias("x")).where("x IS NOT NULL").groupBy("x.t", "x.b")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()):
             counts.setdefault(r["t"], []).append((r["lo"], r["hi"], r["n"]))
         nxt: dict = {}
-        for t, (i, lo, hi) in enumerate(parts):
-            for rank, inside in open_[(i, lo, hi)].items():
-                for a, b, n in sorted(counts[t]):
-                    if inside < n:
-                        nxt.setdefault((i, a, b), {})[rank] = inside
+        for t, part in enumerate(parts):
+            for rank, inside in open_[part].items():
+                for a, b, m in sorted(counts[t]):
+                    if inside < m:
+                        nxt.setdefault((a, b), {})[rank] = inside
                         break
-                    inside -= n
+                    inside -= m
         open_ = nxt
-    return {c: [found[i, lo] + (found[i, hi] - found[i, lo]) * frac if frac else found[i, lo] for _, lo, hi, frac in targets[i]]
-            if i in targets else None for i, c in enumerate(names)}
+    return [found[lo] + (found[hi] - found[lo]) * frac if frac else found[lo] for _, lo, hi, frac in targets]
 
 
 def _bucket(v: Column, lo: float, hi: float) -> Column:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import hash_cuts, not_after, seeded_hash
-from ..functions.stats import exact_quantiles, is_finite
+from ..functions.ranking import cut_struct, hash_cuts, not_after, seeded_hash
+from ..functions.stats import exact_quantiles, is_finite, ranked_quantiles
 
 DEFAULT_HOLDOUT = 0.15
 DEFAULT_SEED = 42
@@ -45,19 +45,24 @@ def mark_holdout(
     key: str,
     size: float = DEFAULT_HOLDOUT,
     seed: int = DEFAULT_SEED,
+    sizes: dict | None = None,
 ) -> DataFrame:
     """D2 + D3: per stratum the max(1, rint(n × size)) rows with the smallest seeded
     hash are hold-out; the rest is train. Adds ``holdout`` (boolean) and ``split``
-    ('holdout'/'train').
+    ('holdout'/'train'). ``sizes`` has the rows of each stratum, where they are known.
 
-    The hold-out test is a threshold: ``hash_cuts`` finds, from counts of hash
-    buckets, the row that holds the last hold-out rank of each stratum, and each row
-    is compared with it. No row is sorted or shuffled, whatever a stratum's size."""
+    The hold-out test is a threshold: ``hash_cuts`` finds the row that holds the last
+    hold-out rank of each stratum, and each row is compared with the one of its stratum.
+    Hash, key and stratum are named once, so the test is as cheap in a filter that is
+    pushed below as in a column. No row is sorted or shuffled, whatever a stratum's size."""
     df = strata.withColumn("_h", seeded_hash(seed, key))
-    cuts = hash_cuts(df, "_h", key, lambda _, n: [holdout_size(n, size)], group="stratum")
-    inside = F.lit(False)
-    for stratum, (cut,) in sorted(cuts.items()):
-        inside = inside | ((F.col("stratum") == F.lit(stratum)) & not_after("_h", key, cut))
+    cuts = hash_cuts(df, "_h", key, lambda _, n: [holdout_size(n, size)], group="stratum", sizes=sizes)
+    kind = dict(df.dtypes)[key]
+    if cuts:
+        table = F.create_map(*[x for stratum, (cut,) in sorted(cuts.items()) for x in (F.lit(stratum), cut_struct(cut, kind))])
+        inside = F.coalesce(not_after("_h", key, F.element_at(table, F.col("stratum"))), F.lit(False))
+    else:
+        inside = F.lit(False)
     return df.withColumn("holdout", inside).withColumn(
         "split", F.when(F.col("holdout"), "holdout").otherwise("train")).drop("_h")
 
@@ -69,8 +74,13 @@ def split(
     size: float = DEFAULT_HOLDOUT,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """D1–D3 in one call."""
-    return mark_holdout(assign_strata(df, price_cuts(df, price_col), price_col), key, size, seed)
+    """D1–D3 in one call, with three reads of ``df``: a summary that brackets the price
+    cuts, the exact cuts and with them the sizes of the strata, the hold-out thresholds."""
+    found = ranked_quantiles(df, {price_col: F.col(price_col)}, STRATUM_PROBS)[price_col]
+    edge = [0, *found.below, found.n] if found.n else [0, 0]
+    sizes = {k: b - a for k, (a, b) in enumerate(zip(edge, edge[1:])) if b > a} | {-1: found.rows - found.n}
+    strata = assign_strata(df, found.values if found.n else None, price_col)
+    return mark_holdout(strata, key, size, seed, {k: n for k, n in sizes.items() if n})
 
 
 def split_counts(split_df: DataFrame) -> DataFrame:
@@ -83,5 +93,11 @@ def split_counts(split_df: DataFrame) -> DataFrame:
 
 
 def write_split(split_df: DataFrame, path: str) -> None:
-    """Refuse to overwrite; one table partitioned by ``split``."""
+    """Refuse to overwrite; one table partitioned by ``split``, each row as it came
+    (an original line that the rows carry is kept as any other column)."""
     split_df.write.mode("errorifexists").partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """A written split. A filter on ``split`` reads the files of that side only."""
+    return spark.read.parquet(path)

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import split as SP
 from ..schema import ARRAY_FIELDS, LISTING_COLUMNS
+from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import testdata as TD
 
@@ -37,10 +39,29 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     return TD.listings(spark, sf)
 
 
-def split_listings(spark: SparkSession, sf: str) -> DataFrame:
+def new_split(spark: SparkSession, sf: str) -> DataFrame:
+    """D1–D3 over the listings."""
     return SP.split(listings(spark, sf), key=KEY, size=SP.DEFAULT_HOLDOUT, seed=SEED)
 
 
+_SPLITS: dict[tuple[str, str], str] = {}
+
+
+def split_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """The split as later operators read it: written once (S6) for an application and a
+    table folder, then read from its files."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known in _SPLITS:
+        try:
+            return SP.read_split(spark, _SPLITS[known])
+        except AnalysisException as e:  # the shared folder has been cleaned
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    _SPLITS[known] = scratch_path(spark, "split")
+    SP.write_split(new_split(spark, sf), _SPLITS[known])
+    return SP.read_split(spark, _SPLITS[known])
+
+
 # --------------------------------------------------------------------------- S
 @query("s1_read_records")
 def s1_read_records(spark, sf):
@@ -83,26 +104,26 @@ def d1_strata(spark, sf):
 
 @query("d2_holdout")
 def d2_holdout(spark, sf):
-    return split_listings(spark, sf).select(KEY, "stratum", "holdout")
+    return new_split(spark, sf).select(KEY, "stratum", "holdout")
 
 
 @query("d3_split")
 def d3_split(spark, sf):
-    return split_listings(spark, sf).select(KEY, "split")
+    return new_split(spark, sf).select(KEY, "split")
 
 
 @query("d4_counts")
 def d4_counts(spark, sf):
-    return SP.split_counts(split_listings(spark, sf))
+    return SP.split_counts(new_split(spark, sf))
 
 
 def train_side(spark: SparkSession, sf: str) -> DataFrame:
-    return split_listings(spark, sf).where(~F.col("holdout"))
+    return split_listings(spark, sf).where("split = 'train'")
 
 
 def holdout_capped(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation input: hold-out rows under the price cap (V1)."""
-    return FE.price_cap(split_listings(spark, sf).where(F.col("holdout")), CAP)
+    return FE.price_cap(split_listings(spark, sf).where("split = 'holdout'"), CAP)
 
 
 def expression_scorer(df: DataFrame) -> DataFrame:
@@ -153,7 +174,7 @@ def train_vocabulary(spark, sf):
 @query("f4_known")
 def f4_known(spark, sf):
     from ..schema import CATEGORICAL_FEATURES
-    hold = split_listings(spark, sf).where(F.col("holdout"))
+    hold = split_listings(spark, sf).where("split = 'holdout'")
     vocab = FE.vocabulary_dict(train_vocabulary(spark, sf))
     return FE.apply_vocabulary(hold, vocab).select(KEY, *CATEGORICAL_FEATURES)
 
@@ -172,7 +193,7 @@ def f9_align(spark, sf):
 # --------------------------------------------------------------------------- R1–R4
 def _baseline_tables(spark, sf, sp=None):
     from ..operators import scenarios as SC
-    train = (sp if sp is not None else split_listings(spark, sf)).where(~F.col("holdout"))
+    train = (sp if sp is not None else split_listings(spark, sf)).where("split = 'train'")
     vocab = FE.vocabulary(train)
     counts = SC.level_counts(train, vocab)
     return train, vocab, counts
@@ -490,13 +511,12 @@ def _fit_single(spark, sf):
 def t5_gbt(spark, sf):
     """Fit, save the bundle (S9), load it back and score the capped hold-out."""
     from ..operators import train as TR
-    from ..session import scratch_path
     sp, vocab, model = _fit_single(spark, sf)
     path = scratch_path(spark, "bundle")
     res = TR.TrainResult(model, vocab, float("nan"), float("nan"), {}, [], [], {"model_version": "t5"})
     TR.save_bundle(res, path, spark)
     b = TR.load_bundle(spark, path)
-    hold = FE.apply_vocabulary(FE.price_cap(sp.where(F.col("holdout")), CAP), b.vocab)
+    hold = FE.apply_vocabulary(FE.price_cap(sp.where("split = 'holdout'"), CAP), b.vocab)
     return b.model.transform(hold).select(KEY, "price", F.col("prediction").alias("predicted_price"))
 
 
@@ -504,7 +524,7 @@ def _search(spark, sf, n_iter):
     from ..operators import train as TR
     from ..operators.folds import split_id
     sp = split_listings(spark, sf)
-    train = sp.where(~F.col("holdout"))
+    train = sp.where("split = 'train'")
     vocab = FE.vocabulary_dict(FE.vocabulary(train))
     # a small search space; every draw runs all its rounds
     space = TR.SearchSpace(max_iter=(3, 8), max_depth=(3, 5))
@@ -537,14 +557,13 @@ def _written_runs(spark, sf) -> str:
     from ..operators import evaluate as EV
     from ..operators import train as TR
     from ..operators.folds import split_id
-    from ..session import scratch_path
     sp = split_listings(spark, sf)
     split = split_id(sp, SPLIT_FIELDS)
     path = scratch_path(spark, "runs")
     n = SP.split_counts(sp).first()
     TR.append_run_log(TR.run_log_rows(spark, "training", {"price_cap": CAP}, {"train_rows": n["train"]},
                                       {"train_run_id": "run-1", "model_version": "model-1", "data_split_id": split}), path)
-    m = EV.metrics(expression_scorer(FE.price_cap(sp.where(F.col("holdout")), CAP))).first()
+    m = EV.metrics(expression_scorer(FE.price_cap(sp.where("split = 'holdout'"), CAP))).first()
     TR.append_run_log(TR.run_log_rows(spark, "evaluation", {"price_cap": CAP},
                                       {"holdout_rmse": m["rmse"], "holdout_r2": m["r2"], "holdout_size": m["n"]},
                                       {"train_run_id": "run-1"}), path)
@@ -575,7 +594,7 @@ def holdout_entries(spark, sf) -> DataFrame:
     """Batch-inference entries from the hold-out: even lines as extraction
     records (listing under parsed_json), odd lines as bare listings; ids on line 2."""
     from ..schema import INPUT_SCHEMA
-    hold = split_listings(spark, sf).where(F.col("holdout"))
+    hold = split_listings(spark, sf).where("split = 'holdout'")
     parsed = F.struct(*[F.col(c) for c in hold.columns if c in INPUT_SCHEMA["parsed_json"].dataType.fieldNames()])
     wrapped = F.when(F.col("line_number") % 2 == 0, F.to_json(F.struct(
         F.when(F.col("line_number") == 2, F.concat(F.lit("id_"), F.col(KEY))).alias("id"),
@@ -598,7 +617,6 @@ def p1_unwrap(spark, sf):
 
 def _write_input_file(spark, sf) -> str:
     """Hold-out entries as one JSONL input (ordered by key), with a blank line after every line-6 record."""
-    from ..session import scratch_path
     ent = holdout_entries(spark, sf)
     rk = F.col(KEY)
     lines = ent.select(F.concat(rk, F.lit("|0")).alias("_o"), "value").unionByName(
@@ -623,9 +641,9 @@ def p3_score(spark, sf):
     """Scoring of every hold-out row (no price cap) with the training vocabulary applied."""
     from ..operators import inference as IN
     sp = split_listings(spark, sf)
-    vocab = FE.vocabulary_dict(FE.vocabulary(sp.where(~F.col("holdout"))))
+    vocab = FE.vocabulary_dict(FE.vocabulary(sp.where("split = 'train'")))
     scorer = IN.ExpressionScorer(F.col("seat_number") * F.col("width"))
-    return IN.score(sp.where(F.col("holdout")), scorer, vocab, keep=[KEY]).select(
+    return IN.score(sp.where("split = 'holdout'"), scorer, vocab, keep=[KEY]).select(
         KEY, F.round("prediction", 4).alias("predicted_price"))
 
 
@@ -639,7 +657,7 @@ def s2_read_input(spark, sf):
 # --------------------------------------------------------------------------- R5–R10
 def scenario_requests(spark, sf, sp=None) -> DataFrame:
     """One what-if request per hold-out listing, with rejects mixed in by line number."""
-    hold = (sp if sp is not None else split_listings(spark, sf)).where(F.col("holdout"))
+    hold = (sp if sp is not None else split_listings(spark, sf)).where("split = 'holdout'")
     ln = F.col("line_number")
     width = F.when(ln == 1, F.lit(0.0)).otherwise(F.col("width"))
     numeric = F.when(ln == 6, F.create_map().cast("map<string,double>")).when(
@@ -717,7 +735,7 @@ def r10_scenarios(spark, sf):
     from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
     sp = split_listings(spark, sf)
     train, vocab, counts = _baseline_tables(spark, sf, sp)
-    hold = sp.where(F.col("holdout"))
+    hold = sp.where("split = 'holdout'")
     short = SC.single_overrides(hold.where("line_number >= 4").select(
         F.concat(F.col(KEY), F.lit("|short")).alias("scenario_id"),
         F.when(F.col("line_number") == 4, "width").otherwise("legs").alias("numeric_field"),
@@ -738,7 +756,7 @@ def _shap(spark, sf):
     from ..operators import evaluate as EV
     from ..schema import FEATURES
     sp, vocab, model = _fit_single(spark, sf)
-    hold = FE.apply_vocabulary(FE.price_cap(sp.where(F.col("holdout")), CAP), vocab)
+    hold = FE.apply_vocabulary(FE.price_cap(sp.where("split = 'holdout'"), CAP), vocab)
     explain = EV.seeded_sample(hold, KEY, 400, seed=SEED, salt="explain")
     background = EV.seeded_sample(hold, KEY, 100, seed=SEED, salt="background")
     return EV.shapley_values(explain, background, KEY, FEATURES, model.transform, n_perm=10, seed=SEED)
@@ -760,7 +778,6 @@ def v12_shap_topk(spark, sf):
 def l2_latest_stream(spark, sf):
     """L2 maintained by a stream over outcome files (one file per micro-batch);
     must equal the batch ``l2_latest``."""
-    from ..session import scratch_path
     from ..streaming import ledger_stream as LS
     led = TD.ledger(spark, sf)
     src = scratch_path(spark, "ledger-src")
