@@ -6,14 +6,15 @@ more often than their parts let expect.
    bytes, rounded up. A phrase with ``support`` occurrences in all reaches that in at least
    one shard: shares add up to one. Shards are formed and mined in the same job, so it does
    not matter how rows are dealt.
-2. The locally frequent phrases of all shards are united: their hashes go, packed, to
+2. The locally frequent phrases of all shards are united: shortened hashes go, packed, to
    buckets, with what each has beyond the support of its shard less one. Elsewhere it has
    that at most, so a phrase whose sum stays below the support less those of all shards is
    no candidate. The others become a bitmap of a size that follows the input.
 3. All candidates are counted exactly: each shard counts the phrases whose bit is set and
-   whose parts are candidates, and the counts meet in an aggregation by language and phrase.
+   whose parts are candidates, and their hashes and counts, packed, are summed in buckets.
    Other phrases that share a bit are counted like candidates and fall below the support.
-4. The parts of a candidate are at least as frequent as it is, so all counts that a score
+4. Each frequent phrase is read once more, from a text in which a shard has seen it.
+5. The parts of a candidate are at least as frequent as it is, so all counts that a score
    needs are in that one table; scores, cuts and maximality are joins on it, and the list
    of each language comes from lists of ``SALT`` parts.
 
@@ -22,12 +23,13 @@ than ``support`` shards of a language every phrase is sent with its count, and t
 step 2 alone tell the candidates. ``SHARD_BYTES`` is the lever: bigger shards need more memory.
 
 Defined results. Null texts are empty, null languages are ``und`` (as are rows that say so).
-Words and their order are compared by 64-bit hashes inside a shard and by their text across
-shards. Ids do not matter: repeated rows count as often as they stand. Texts longer than a
+Phrases are compared by 64-bit hashes until they are read. Ids do not matter: repeated rows count as often as they stand. Texts longer than a
 shard are a shard of their own, cut where a piece ends. An empty table gives no rows.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -47,6 +49,8 @@ SLICE = 1 << 18
 LANGUAGES = 100_000
 #: Parts of a language in the first round of the top list.
 SALT = 16
+#: Excess over a shard's support that is sent at most (a byte); enough for any sum that is needed.
+EXCESS = 255
 BLANKS, PIECES = b" \t", b".,;:!?\n\x0b\x0c\r"
 _TABLE = classes(BLANKS, PIECES)
 
@@ -57,11 +61,14 @@ class Shard:
 
     def __init__(self, named: bool):
         self.named = named
-        self.hash, self.new, self.data, self.start, self.end = [], [], [], [], []
+        self.hash, self.new, self.data, self.start, self.end, self.text, self.rows = [], [], [], [], [], [], []
         self.size = self.bytes = 0
 
-    def add(self, texts: list[bytes]) -> None:
+    def add(self, texts: list[bytes], rows: list[int]) -> None:
+        """Texts and the hashes of the rows they belong to."""
         w = words_of(texts, _TABLE, lower=True)
+        self.text.append((w.text + len(self.rows)).astype(np.uint32))
+        self.rows += rows
         self.hash.append(w.hash)
         self.new.append(w.new)
         if self.named:
@@ -93,7 +100,7 @@ def _encode(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def levels(hash_: np.ndarray, reach: np.ndarray, frequent):
     """Phrases of 1 to ``LONGEST`` words, level by level: (length, hashes, counts, a place
-    of each). ``frequent(hashes, counts)`` tells which to keep; a longer phrase is counted
+    of each, all places, phrase number at each). ``frequent(hashes, counts)`` tells which to keep; a longer phrase is counted
     only where both its parts without the last and without the first word are kept."""
     at = np.arange(len(hash_), dtype=np.int32)
     number, keys, counts = _encode(hash_)
@@ -108,7 +115,7 @@ def levels(hash_: np.ndarray, reach: np.ndarray, frequent):
         keys, counts = keys[keep], counts[keep]
         place = np.empty(len(keys), dtype=np.int32)
         place[number] = at
-        yield length, keys, counts, place
+        yield length, keys, counts, place, at, number
         # successors: the same level at the next word
         if length == LONGEST or len(at) < 2:
             return
@@ -121,37 +128,40 @@ def levels(hash_: np.ndarray, reach: np.ndarray, frequent):
         keys = join(keys[pair // len(keys)], last)
 
 
-def _shards(batches, budget: int, named: bool):
+def _shards(batches, budget: int, named: bool = False):
     """Shards of a task's rows, by language: (language, Shard); every row is in one."""
-    held: dict[str, tuple[Shard, list]] = {}
+    held: dict[str, tuple[Shard, list, list]] = {}
     total = 0
 
-    def put(lang, text):
+    def put(lang, text, row):
         nonlocal total
-        shard, texts = held.setdefault(lang, (Shard(named), []))
+        shard, texts, rows = held.setdefault(lang, (Shard(named), [], []))
         texts.append(text)
+        rows.append(row)
         total += len(text)
-        if sum(map(len, texts[-64:])) > SLICE or len(texts) >= 64:
-            shard.add(texts)
+        if len(texts) >= 64 or sum(map(len, texts)) > SLICE:
+            shard.add(texts, rows)
             texts.clear()
+            rows.clear()
 
     def flush():
         nonlocal total
         while held:
-            lang, (shard, texts) = held.popitem()
+            lang, (shard, texts, rows) = held.popitem()
             if texts:
-                shard.add(texts)
+                shard.add(texts, rows)
             if shard.bytes:
                 yield lang, shard
+            del shard
             pa.default_memory_pool().release_unused()
         total = 0
 
     for batch in batches:
-        for rows in slices(batch, "text", SLICE):
-            for lang, text in zip(rows.column("lang").to_pylist(), texts_bytes(rows)):
-                for part in _cut(text, budget):
-                    if part:
-                        put(lang, part)
+        for part in slices(batch, "text", SLICE):
+            for lang, text, row in zip(part.column("lang").to_pylist(), texts_bytes(part), part.column("row").to_pylist()):
+                for piece in _cut(text, budget):
+                    if piece:
+                        put(lang, piece, row)
                     if total >= budget:
                         yield from flush()
     yield from flush()
@@ -169,12 +179,74 @@ def _cut(text: bytes, budget: int):
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text"))
+    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text"), F.xxhash64("text").alias("row"))
+
+
+_PACKED = "bucket int, lang int, keys binary, n binary, row binary"
+
+
+def _packed(bucket, lang, keys, n, row=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), pa.array([lang] * len(bucket), pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.binary()),
+         pa.array(row or [None] * len(bucket), pa.binary())], names=["bucket", "lang", "keys", "n", "row"])
+
+
+def _dealt_out(keys: np.ndarray, buckets: int, *columns):
+    """(bucket, slice of the sorted keys, slices of the columns) of the non-empty buckets."""
+    order = np.argsort(keys)
+    keys, columns = keys[order], [c[order] for c in columns]
+    edge = [0, *np.searchsorted(keys, np.arange(1, 1 << buckets, dtype=np.uint64) << np.uint64(64 - buckets)).tolist(), len(keys)]
+    for b, (lo, hi) in enumerate(zip(edge, edge[1:])):
+        if lo < hi:
+            yield b, keys[lo:hi], [c[lo:hi] for c in columns]
+
+
+def _gathered(batches, finish):
+    """``finish(language, rows)`` for each language of each bucket (rows come sorted by bucket)."""
+    held: dict[int, list] = {}
+    bucket = None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["bucket"] != bucket:
+                for lang, own in held.items():
+                    yield from finish(lang, own)
+                held, bucket = {}, r["bucket"]
+            held.setdefault(r["lang"], []).append(r)
+    for lang, own in held.items():
+        yield from finish(lang, own)
+
+
+def _totals(rows: DataFrame) -> dict[int, int]:
+    """Sums of the rows of bucket -1: one number for each language."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), pa.array([int(np.frombuffer(m.as_py(), "<u8")[0]) for m in batch.column("n")], pa.int64())], names=["lang", "n"])
+
+    found = rows.where("bucket = -1").mapInArrow(run, "lang int, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return {r["lang"]: r["n"] for r in found.collect()}
+
 
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
 
-def _plan(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, dict[str, int], int]:
-    """(rows in as many tasks as there are shards, at least one for each core; bytes of
-    each language; bits of the bitmap)."""
+
+@dataclass(frozen=True)
+class Plan:
+    """Rows in as many tasks as there are shards (at least one for each core), the bytes and
+    the number of each language, and the sizes of buckets and bitmaps."""
+
+    rows: DataFrame
+    sizes: dict[str, int]
+    number: dict[str, int]
+    bits: int
+    buckets: int
+    shard_bytes: int
+    support: int
+
+
+def plan(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> Plan:
     spark = docs.sparkSession
     bound_batches(spark)
     rows = _rows(docs)
@@ -184,77 +256,49 @@ def _plan(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, dict[str, int],
     check_broadcast(len(sizes), LANGUAGES, "languages")
     total = sum(sizes.values())
     tasks = max(-(-total // shard_bytes), spark.sparkContext.defaultParallelism)
-    bits = min(31, max(20, (total // 8).bit_length()))
-    return rows.coalesce(tasks), sizes, bits
+    return Plan(rows.coalesce(tasks), sizes, {lang: k for k, lang in enumerate(sorted(sizes))}, min(31, max(20, (total // 8).bit_length())),
+                max(4, (total // shard_bytes).bit_length()), shard_bytes, support)
 
 
-def candidates(rows: DataFrame, sizes: dict[str, int], bits: int, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Bitmap of the phrases that can have ``support`` occurrences, by what the shards found."""
-    number = {lang: k for k, lang in enumerate(sorted(sizes))}
-    buckets = max(4, (sum(sizes.values()) // shard_bytes).bit_length())
-    shift = np.uint64(64 - buckets)
+def candidates(p: Plan) -> np.ndarray:
+    """Bitmap of the phrases that can have the support, by what the shards found."""
+    sizes, number, buckets, support, budget = p.sizes, p.number, p.buckets, p.support, p.shard_bytes
 
     def mine(batches):
-        """Packed phrases of each shard, and as bucket -1 its support less one."""
-        for lang, shard in _shards(batches, shard_bytes, False):
+        """Packed phrases of each shard, and as bucket -1 its support less one. 32 bits of a
+        hash after its bucket's, and the excess up to the support: 5 bytes."""
+        for lang, shard in _shards(batches, budget):
             least = max(1, -(-support * shard.bytes // sizes[lang]))
             salt = _salt(lang)
             hash_, reach = shard.joined()
-            found = [(join(np.full(len(k), salt), k), n - (least - 1)) for _, k, n, _ in levels(hash_, reach, lambda k, n, least=least: n >= least)]
-            yield packed([-1], number[lang], [b""], [np.array([least - 1], "<u4").tobytes()])
+            found = [(join(np.full(len(k), salt), k), n - (least - 1)) for _, k, n, *_ in levels(hash_, reach, lambda k, n, least=least: n >= least)]
+            del hash_, reach
+            yield _packed([-1], number[lang], [b""], [np.array([least - 1], "<u8").tobytes()])
             if found:
                 keys, more = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(keys)
-                keys, more = keys[order].astype("<u8"), more[order].astype("<u4")
-                edge = np.searchsorted(keys, np.arange(1, 1 << buckets, dtype=np.uint64) << shift)
-                own = [(b, k, m) for b, (k, m) in enumerate(zip(np.split(keys, edge), np.split(more, edge))) if len(k)]
-                yield packed([b for b, _, _ in own], number[lang], [k.tobytes() for _, k, _ in own], [m.tobytes() for _, _, m in own])
-
-    def packed(bucket, lang, keys, more):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int32()), pa.array([lang] * len(bucket), pa.int32()), pa.array(keys, pa.binary()), pa.array(more, pa.binary())],
-            names=["bucket", "lang", "keys", "more"])
-
-    schema = "bucket int, lang int, keys binary, more binary"
-    mined = materialise(rows.mapInArrow(mine, schema), "mined")
-
-    def known(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([int(np.frombuffer(m.as_py(), "<u4")[0]) for m in batch.column("more")], pa.int64())], names=["lang", "n"])
+                own = list(_dealt_out(keys, buckets, np.minimum(more, EXCESS).astype(np.uint8)))
+                yield _packed([b for b, _, _ in own], number[lang], [((k << np.uint64(buckets)) >> np.uint64(32)).astype("<u4").tobytes() for _, k, _ in own],
+                              [m.tobytes() for _, _, (m,) in own])
 
-    # a row for each language
-    less = {r["lang"]: r["n"] for r in mined.where("bucket = -1").mapInArrow(known, "lang int, n long").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    need = {k: support - n for k, n in less.items()}
+    mined = materialise(p.rows.mapInArrow(mine, _PACKED), "mined")
+    need = {k: min(EXCESS, support - n) for k, n in _totals(mined).items()}
 
     def united(batches):
-        held: dict[tuple, list] = {}
-        bucket = None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] != bucket:
-                    yield from summed(held)
-                    held, bucket = {}, r["bucket"]
-                held.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["more"], "<u4")))
-        yield from summed(held)
-
-    def summed(held):
-        for lang, parts in held.items():
-            keys, more = (np.concatenate(x) for x in zip(*parts))
+        def summed(lang, rows):
+            keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
+            more = np.concatenate([np.frombuffer(r["n"], np.uint8) for r in rows]).astype(np.int64)
             order = np.argsort(keys)
-            keys, more = keys[order], more[order].astype(np.int64)
+            keys, more = keys[order], more[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            keys = keys[first][np.add.reduceat(more, first) >= need[lang]]
-            yield packed([0], lang, [keys.tobytes()], [b""])
+            keys = keys[first][np.add.reduceat(more, first) >= need[lang]].astype(np.uint64)
+            high = np.uint64(rows[0]["bucket"]) << np.uint64(64 - buckets)
+            yield high | keys << np.uint64(32 - buckets)
 
-    def keys(batches):
-        for batch in batches:
-            for k in batch.column("keys"):
-                found = np.frombuffer(k.as_py(), "<u8")
-                yield found, np.zeros(len(found), np.int64)
+        for found in _gathered(batches, summed):
+            yield found, np.zeros(len(found), np.int64)
 
-    found = (mined.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(united, schema))
-    return repeated(found, keys, hot=1 << 62, every=True, bits=bits)[0]
+    # the bitmap takes the leading bits, which the shortened hashes have
+    return repeated(_by_bucket(mined), united, hot=1 << 62, every=True, bits=min(p.bits, 32))[0]
 
 
 def _salt(lang: str) -> np.uint64:
@@ -262,38 +306,83 @@ def _salt(lang: str) -> np.uint64:
     return words_of([lang.encode() or b"-"], np.zeros(256, np.uint8)).hash[0]
 
 
-def counts(rows: DataFrame, bitmap: np.ndarray, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``lang, size, phrase, n``: every phrase of 1 to ``LONGEST`` words with at least
-    ``support`` occurrences, and all words of a language as the phrase of size 0."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+def counts(p: Plan, bitmap: np.ndarray) -> DataFrame:
+    """``lang, size, phrase, n``: every phrase of 1 to ``LONGEST`` words with the support, and
+    all words of a language as the phrase of size 0."""
+    spark = p.rows.sparkSession
+    number, buckets, support, budget = p.number, p.buckets, p.support, p.shard_bytes
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def found(shard, salt):
+        hash_, reach = shard.joined()
+        return hash_, levels(hash_, reach, lambda k, _: holds(shared.value, join(np.full(len(k), salt), k)))
 
     def count(batches):
-        for lang, shard in _shards(batches, shard_bytes, True):
+        for lang, shard in _shards(batches, budget):
+            salt = _salt(lang)
+            text, rows = np.concatenate(shard.text), np.array(shard.rows, dtype=np.int64)
+            shard.text = None
+            hash_, phrases = found(shard, salt)
+            yield _packed([-1], number[lang], [b""], [np.array([len(hash_)], "<u8").tobytes()])
+            parts = [(join(np.full(len(k), salt), k), n, rows[text[place]]) for _, k, n, place, *_ in phrases]
+            if parts:
+                own = list(_dealt_out(*(lambda k, n, r: (k, buckets, n, r))(*(np.concatenate(x) for x in zip(*parts)))))
+                yield _packed([b for b, _, _ in own], number[lang], [k.astype("<u8").tobytes() for _, k, _ in own],
+                              [n.astype("<u4").tobytes() for _, _, (n, _) in own], [(r >> 32).astype("<i4").tobytes() for _, _, (_, r) in own])
+
+    counted = materialise(p.rows.mapInArrow(count, _PACKED), "counted")
+    totals = _totals(counted)
+
+    def summed(lang, rows):
+        keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
+        n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows]).astype(np.int64)
+        row = np.concatenate([np.frombuffer(r["row"], "<i4") for r in rows])
+        order = np.lexsort((row, keys))
+        keys, n, row = keys[order], n[order], row[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n, keys, row = np.add.reduceat(n, first), keys[first], row[first]
+        on = n >= support
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(on.sum(), lang, np.int32)), pa.array(keys[on].view(np.int64)), pa.array(n[on]), pa.array(row[on])], names=["lang", "key", "n", "row"])
+
+    frequent = materialise(_by_bucket(counted).mapInArrow(lambda batches: _gathered(batches, summed), "lang int, key long, n long, row int"), "frequent")
+
+    def seen(batches):
+        for batch in batches:
+            a = _seen(batch.column("key").to_numpy().view(np.uint64), batch.column("row").to_numpy())
+            yield a, np.zeros(len(a), np.int64)
+
+    marks = spark.sparkContext.broadcast(repeated(frequent, seen, hot=1 << 62, every=True, bits=min(p.bits, 28))[0])
+
+    def name(batches):
+        """Frequent phrases, where a task has the text that they are to be read from."""
+        for lang, shard in _shards(batches, budget, True):
             salt = _salt(lang)
-            hash_, reach = shard.joined()
             data, start, end = np.concatenate(shard.data), np.concatenate(shard.start), np.concatenate(shard.end)
-            shard.data = shard.start = shard.end = None
-            yield _counted(lang, [0], [b""], [len(hash_)])
-            text: list = []
-            known = None
-            for size, found, n, place in levels(hash_, reach, lambda k, _, s=salt: holds(shared.value, join(np.full(len(k), s), k))):
-                if size == 1:
-                    known = dict(zip(found.tolist(), (data[a:b].tobytes() for a, b in zip(start[place].tolist(), end[place].tolist()))))
-                    text = list(known.values())
-                else:
-                    each = [[known[h] for h in hash_[place + k].tolist()] for k in range(size)]
-                    text = [b" ".join(p) for p in zip(*each)]
-                yield _counted(lang, [size] * len(text), text, n)
-
-    own = rows.mapInArrow(count, "lang string, size int, phrase binary, n long")
-    total = own.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= support))
-    return total.withColumn("phrase", F.col("phrase").cast("string"))
-
-
-def _counted(lang, size, phrase, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrase), pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64())],
-        names=["lang", "size", "phrase", "n"])
+            text, rows = np.concatenate(shard.text), (np.array(shard.rows, dtype=np.int64) >> 32).astype(np.int32)
+            shard.data = shard.start = shard.end = shard.text = None
+            _, phrases = found(shard, salt)
+            for size, keys, _, _, at, phrase in phrases:
+                keys = join(np.full(len(keys), salt), keys)
+                on = holds(marks.value, _seen(keys[phrase], rows[text[at]]))
+                number_, first = np.unique(phrase[on], return_index=True)
+                place = at[on][first]
+                words = [[data[a:b].tobytes() for a, b in zip(start[place + k].tolist(), end[place + k].tolist())] for k in range(size)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number[lang]] * len(place), pa.int32()), pa.array(keys[number_].view(np.int64)), pa.array([size] * len(place), pa.int32()),
+                     pa.array([b" ".join(w) for w in zip(*words)], pa.binary())], names=["lang", "key", "size", "phrase"])
+
+    named = (p.rows.mapInArrow(name, "lang int, key long, size int, phrase binary").groupBy("lang", "key")
+             .agg(F.first("size").alias("size"), F.first("phrase").cast("string").alias("phrase")))
+    names = F.broadcast(spark.createDataFrame([(k, lang) for lang, k in number.items()], "lang int, name string"))  # at most LANGUAGES
+    whole = spark.createDataFrame([(k, 0, "", n) for k, n in totals.items()], "lang int, size int, phrase string, n long")
+    every = frequent.join(named, ["lang", "key"]).select("lang", "size", "phrase", "n").union(whole)
+    return every.join(names, "lang").select(F.col("name").alias("lang"), "size", "phrase", "n")
+
+
+def _seen(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hash of a phrase and the text that it is to be read from."""
+    return join(keys, row.astype(np.int64).view(np.uint64))
 
 
 def scored(frequent: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -340,11 +429,10 @@ def top(found: DataFrame, most: int = TOP) -> DataFrame:
 
 def phrases(docs: DataFrame, support: int = SUPPORT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``lang, size, phrase, n`` of all phrases with at least ``support`` occurrences (see ``counts``)."""
-    rows, sizes, bits = _plan(docs, shard_bytes)
-    if not sizes:
+    p = plan(docs, support, shard_bytes)
+    if not p.sizes:
         return docs.sparkSession.createDataFrame([], "lang string, size int, phrase string, n long")
-    bitmap = candidates(rows, sizes, bits, support, shard_bytes)
-    return materialise(counts(rows, bitmap, support, shard_bytes), "phrases")
+    return materialise(counts(p, candidates(p)), "phrases")
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, most: int = TOP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
