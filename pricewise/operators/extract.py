@@ -23,7 +23,7 @@ TRAILING_COMMA_RE = ",[" + PY_WS + "]*([}\\]])"
 MATERIAL_SPLIT_RE = "[/,;+]| and "
 SEATER_RE = "([0-9]+)[" + PY_WS + "]*seater"
 
-ERR_NO_JSON = "no JSON object found in model output"
+ERR_NO_JSON = "the reply holds no JSON object"
 ERR_BAD_JSON = "invalid JSON"
 DEFAULT_RETRY = 1
 
@@ -291,7 +291,9 @@ def first_valid(
 
     Output: key, success, attempts_used, runtime_s (through the winning
     attempt), prompt_text, raw_text, parsed, last_error. One aggregate, combined
-    map-side; a key has ``retry + 1`` attempts at most.
+    map-side; a key has ``retry + 1`` attempts at most. Only validity is worked out before
+    it: the record is read from the winner's text after it, once for each key, and of its
+    fields those that are asked for.
     """
     df = cleaned.where(F.col("attempt") <= retry + 1)
     if "runtime_s" not in df.columns:
@@ -302,22 +304,23 @@ def first_valid(
     tries = range(1, retry + 2)
     done = df.groupBy(key).agg(
         F.min(by_win).alias("_win"),
-        F.min_by(F.struct("raw_text", "prompt_text", "parsed"), by_win).alias("_w"),
+        F.min_by(F.struct("raw_text", "prompt_text"), by_win).alias("_w"),
         F.array(*[F.sum(F.when(F.col("attempt") <= a, F.col("runtime_s"))) for a in tries]).alias("_rt"),
         F.max_by("error", "attempt").alias("_last_error"),
         F.max("attempt").alias("attempts_tried"),
     )
-    return done.select(
+    won = done.select(
         key,
         F.col("_win").isNotNull().alias("success"),
         F.coalesce(F.col("_win"), F.lit(0)).cast("int").alias("attempts_used"),
         F.get("_rt", F.greatest(F.coalesce("_win", F.lit(retry + 1)), F.lit(1)).cast("int") - 1).cast("double").alias("runtime_s"),
         F.col("_w.prompt_text").alias("prompt_text"),
         F.col("_w.raw_text").alias("raw_text"),
-        F.col("_w.parsed").alias("parsed"),
         F.when(F.col("_win").isNull(), F.col("_last_error")).alias("last_error"),
         "attempts_tried",
     )
+    order = [key, "success", "attempts_used", "runtime_s", "prompt_text", "raw_text", "parsed", "last_error", "attempts_tried"]
+    return clean_attempts(won).select(*order)
 
 
 def route(outcomes: DataFrame, key: str = "image_path") -> DataFrame:
@@ -362,11 +365,17 @@ def summary(records: DataFrame) -> DataFrame:
     )
 
 
-def write_records(records: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_records(records: DataFrame, path: str, overwrite: bool = False, runs: str | None = None, tags: dict | None = None) -> None:
     """One extraction table holding successes and failures, partitioned by
     ``success`` (so "successes only" / "failures only" are partition reads).
-    Refuses to replace an existing table unless ``overwrite``."""
+    Refuses to replace an existing table unless ``overwrite``. With ``runs`` an extraction row
+    is added to that table (S10), with the summary (E19) of the written records."""
     records.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("success").json(path)
+    if runs is not None:
+        from .train import append_run_log, run_log_rows
+        spark = records.sparkSession
+        m = summary(read_written_records(spark, path)).first().asDict()
+        append_run_log(run_log_rows(spark, "extraction", {"output_path": path}, m, tags or {}), runs)
 
 
 def read_written_records(spark, path: str) -> DataFrame:

@@ -55,23 +55,27 @@ def level_counts(train: DataFrame, vocab: DataFrame, columns: Sequence[str] | No
     )
 
 
-def ranked_levels(counts: DataFrame) -> DataFrame:
-    """Levels ordered by count (desc), ties and back-fill in vocabulary order."""
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("position"))
-    return counts.withColumn("rank", F.row_number().over(w))
-
-
 def top_values(counts: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
-    """Top-K allowed values per column, back-filled with unseen allowed values
-    in vocabulary order up to min(K, size). K ≤ 0 → empty."""
+    """Top-K allowed values per column by count, ties and unseen allowed values (the
+    back-fill) in vocabulary order, up to min(K, size). K ≤ 0 → empty.
+
+    Each of ``SALTS`` parts of a column keeps its own first K, so the last ranking reads at
+    most ``SALTS`` × K rows of a column, however many levels it has."""
     if k <= 0:
         return counts.limit(0).select("column", F.lit(0).alias("rank"), "value", "n")
-    return ranked_levels(counts).where(F.col("rank") <= k).select("column", "rank", "value", "n")
+    order = [F.col("n").desc(), F.col("position")]
+    part = Window.partitionBy("column", "_part").orderBy(*order)
+    first = (counts.withColumn("_part", F.pmod("position", F.lit(SALTS))).withColumn("_rank", F.row_number().over(part))
+             .where(F.col("_rank") <= k))
+    whole = Window.partitionBy("column").orderBy(*order)
+    return first.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("column", "rank", "value", "n")
 
 
 def categorical_defaults(counts: DataFrame) -> DataFrame:
-    """R2: most frequent level (ties: first in level order); else the first level."""
-    return ranked_levels(counts).where(F.col("rank") == 1).select("column", "value")
+    """R2: most frequent level (ties: first in level order); else the first level. One
+    aggregate that combines before the shuffle."""
+    best = F.max(F.struct("n", (-F.col("position")).alias("p"), "value"))
+    return counts.groupBy("column").agg(best.alias("x")).select("column", F.col("x.value").alias("value"))
 
 
 # --------------------------------------------------------------------------- R4

@@ -21,7 +21,7 @@ MATERIAL_SPLIT_RE = " and |[+,/;]"
 SEATER_RE = r"(\d+)" + SPACE + "*seater"
 TRUE_WORDS = ["1", "true", "y", "yes"]
 FALSE_WORDS = ["0", "false", "n", "no"]
-ERR_NO_JSON = "no JSON object found in model output"
+ERR_NO_JSON = "the reply holds no JSON object"
 ERR_BAD_JSON = "invalid JSON"
 
 

@@ -134,6 +134,12 @@ oracle("f4_known", with_eval() + ", " + ",\n".join(
 ) + "\nSELECT listing_key, " + ", ".join(f"lv_{c}.v AS {c}" for c in CATEGORICAL_FEATURES)
     + " FROM splitted h " + " ".join(f"LEFT JOIN lv_{c} ON lv_{c}.v = CAST(h.{c} AS VARCHAR)" for c in CATEGORICAL_FEATURES)
     + " WHERE h.holdout")
+oracle("f5_inferred", cte_sql("listings") + "SELECT listing_key, " + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY {c} IS NULL, CAST({c} AS VARCHAR)) - 1 AS INT) END AS {c}_code"
+    for c in CATEGORICAL_FEATURES) + " FROM listings")
+oracle("s6_split_sink", with_split() + """
+SELECT listing_key, CASE WHEN holdout THEN 'holdout' ELSE 'train' END AS split,
+  listing_key || '|' || part_key || '|' || line_number || '|' || seat_number AS value FROM splitted""")
 oracle("f9_align", cte_sql("listings") + f"SELECT {FEATURE_COLS} FROM listings")
 
 # --------------------------------------------------------------------------- R1–R4
@@ -269,6 +275,18 @@ SELECT count(*) AS total_images, count(*) FILTER (WHERE success) AS successful_e
   coalesce(CAST(count(*) FILTER (WHERE success) AS DOUBLE) / nullif(count(*), 0), 0.0) AS success_rate,
   coalesce(sum(runtime_s), 0.0) AS runtime_s FROM rec""")
 
+oracle("s11_documents", with_eval() + ", voc AS (" + _vocab_sql("train") + "), imp AS (" + ORACLES["v9_topk"] + "), summ AS (" + ORACLES["e19_summary"] + """)
+SELECT 'levels' AS document, "column" AS name, string_agg(value, '|' ORDER BY position) AS text, CAST(NULL AS DOUBLE) AS value FROM voc GROUP BY "column"
+UNION ALL SELECT 'importance', feature, NULL, importance_mean FROM imp
+UNION ALL SELECT 'summary', 'total_images', NULL, CAST(total_images AS DOUBLE) FROM summ
+UNION ALL SELECT 'summary', 'successful_extractions', NULL, CAST(successful_extractions AS DOUBLE) FROM summ""")
+oracle("s10_runs_written", with_eval() + ", summ AS (" + ORACLES["e19_summary"] + """)
+SELECT 'inference' AS stage, u.metric, round(u.value, 4) AS value FROM (SELECT count(*) AS n, avg(prediction) AS m, min(prediction) AS lo, max(prediction) AS hi FROM scored) s,
+  LATERAL (VALUES ('n_predictions', CAST(n AS DOUBLE)), ('mean_price', m), ('min_price', lo), ('max_price', hi)) u(metric, value)
+UNION ALL SELECT 'extraction', u.metric, round(u.value, 4) FROM summ,
+  LATERAL (VALUES ('total_images', CAST(total_images AS DOUBLE)), ('successful_extractions', CAST(successful_extractions AS DOUBLE)),
+    ('failed_extractions', CAST(failed_extractions AS DOUBLE)), ('success_rate', success_rate), ('runtime_s', CAST(runtime_s AS DOUBLE))) u(metric, value)""")
+
 # --------------------------------------------------------------------------- L1–L7
 # What, beside "cloudflare", a bot-check page says.
 _SIG = ["cf-challenge", "challenge-platform", "checking your browser", "ray id", "security verification", "verify you are human"]
@@ -401,3 +419,12 @@ SELECT r.scenario_id, CASE WHEN e.n IS NULL THEN round(
   (SELECT substr(sha256(string_agg(split || ':' || fingerprint, '|' ORDER BY split)), 1, 16) FROM prints) AS data_split_id,
   CAST(coalesce(e.n, 0) AS INT) AS n_errors
 FROM req r LEFT JOIN errs e ON e.scenario_id = r.scenario_id""")
+
+# --------------------------------------------------------------------------- T5, P3, R10 with a fitted model
+from . import oracle_boost as _boost  # noqa: E402
+
+oracle("t5_nodes", with_eval() + _boost.ensemble() + "\n" + _boost.nodes())
+oracle("p3_model", with_eval() + _boost.ensemble() + ",\nheld AS (SELECT * FROM splitted WHERE holdout)" + _boost.scored("held", "listing_key")
+       + "\nSELECT k AS listing_key, predicted_price FROM price_of")
+oracle("r10_model", _SCEN + _boost.ensemble() + ",\nov AS MATERIALIZED (" + ORACLES["r9_overlay"][len(_SCEN):] + ")" + _boost.scored("ov", "scenario_id")
+       + "\nSELECT k AS scenario_id, predicted_price FROM price_of")
