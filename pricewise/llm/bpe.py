@@ -37,6 +37,16 @@ N_STATES, N_CLASSES = 8, 8
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 SHORT_SUFFIXES = ["s", "t", "m", "d"]
 LONG_SUFFIXES = ["re", "ve", "ll"]
+# Ranges of letters and numbers that Unicode 16 added; the libraries know
+# them, Python's own table may be older.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+]
 
 #: Entries of the piece cache of a worker, about 200 bytes each.
 CACHE_PIECES = 600_000
@@ -123,13 +133,16 @@ def _monoid() -> _Monoid:
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """Class of every code point, from Unicode's general categories."""
+    """Class of every code point, from Unicode's general categories (version 16)."""
     kind = {"L": LETTER, "N": NUMBER}
     table = np.full(0x110000, OTHER, dtype=np.uint8)
     for c in range(0x110000):
         k = kind.get(unicodedata.category(chr(c))[0])
         if k is not None:
             table[c] = k
+    for cls, ranges in ((LETTER, NEWER_LETTERS), (NUMBER, NEWER_NUMBERS)):
+        for lo, hi in ranges:
+            table[lo:hi + 1] = cls
     table[WHITE_SPACE] = WHITE_RUN
     return table
 

@@ -228,6 +228,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255; leading zeros, however many, do not count."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans by kind, then start."""
     out = []
@@ -241,7 +247,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("email", a, m.end()))
                 end = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(map(_octet, m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:

@@ -74,13 +74,20 @@ class Method:
     """A unit and its index. ``segments(texts, hot)`` gives ``Segments``; ``repeats(pieces,
     doc, at)`` gives (piece number, window) of the windows of ``pieces`` that another piece
     (or the same one) has at an earlier (doc, at + window); ``finish(texts, spans)`` the
-    columns that are added to the rows, named and typed by ``fields``."""
+    columns that are added to the rows, named and typed by ``fields``.
+
+    ``by_doc``: only a smaller document id counts as earlier, whatever the text or place.
+    ``alone``: segments that are the only ones of their anchor go through the index as well
+    (nothing can be found for them there)."""
 
     length: int
     segments: Callable
     repeats: Callable
     finish: Callable
     fields: tuple
+    by_doc: bool = False
+    alone: bool = True
+    index_units: int | None = None
 
 
 def cut_segments(h: np.ndarray, size: np.ndarray, length: int, gram: int, hot: np.ndarray | None):
@@ -184,7 +191,9 @@ def _row_hash(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return mix(mix(doc.view(np.uint64) * _M1) ^ key.astype(np.uint64) * _M2)
 
 
-def _place_hash(name, doc, key, at) -> np.ndarray:
+def _place_hash(name, doc, key, at, by_doc: bool) -> np.ndarray:
+    if by_doc:
+        key, at = np.zeros(len(doc), np.uint32), np.zeros(len(doc), np.int64)
     return mix((_row_hash(doc, key) ^ name) + at.astype(np.uint64) * _M1)
 
 
@@ -218,14 +227,16 @@ class Search:
                                 F.xxhash64(self.text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_key"))
 
     def _repeated(self, hot, only_hot: bool):
-        each, rows = _segmented(self.text_col, self.method.segments), self.read()
+        each, rows, by_doc = _segmented(self.text_col, self.method.segments), self.read(), self.method.by_doc
 
         def keys(batches):
             number = 0
-            for _, _, s in each(batches, hot):
-                a = s.anchor[s.anchor == s.name] if only_hot else s.anchor
-                yield a, np.arange(number, number + len(a))
-                number += len(a)
+            for _, texts, s in each(batches, hot):
+                if only_hot:
+                    s = s.of(s.anchor == s.name)
+                n = len(s.anchor)
+                yield s.anchor, number + (s.text if by_doc else np.arange(n))
+                number += len(texts) if by_doc else n
 
         return repeated(rows, keys, self.hot, bits=self.wide)
 
@@ -238,7 +249,7 @@ class Search:
 
     def firsts(self, shared) -> DataFrame:
         """Packed first place of every segment with a marked anchor, one row for each bucket."""
-        each, bits = _segmented(self.text_col, self.method.segments), np.uint64(self.bits)
+        each, bits, by_doc = _segmented(self.text_col, self.method.segments), np.uint64(self.bits), self.method.by_doc
 
         def combined(held):
             bucket, data = (np.concatenate(x) for x in zip(*held))
@@ -258,6 +269,8 @@ class Search:
                 data["anchor"], data["name"], data["at"] = (s.anchor << bits) >> np.uint64(32), s.name, s.start
                 data["doc"] = part.column("doc_id").fill_null(0).to_numpy()[s.text]
                 data["key"] = part.column("_key").to_numpy()[s.text]
+                if by_doc:
+                    data["key"], data["at"] = 0, 0
                 held.append(((s.anchor >> (np.uint64(64) - bits)).astype(np.int64), data))
                 many += len(data)
                 if many > after:
@@ -280,21 +293,29 @@ class Search:
         sent = self.read().mapInArrow(run, _ROW)
         return materialise(_dealt(sent).mapInArrow(lambda batches: _by_bucket(batches, finish), _ROW), "firsts")
 
-    def first_marks(self, firsts: DataFrame) -> np.ndarray:
-        """Bitmap of the first places."""
+    def first_marks(self, firsts: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+        """Bitmaps of the first places, and of those whose anchor has other segments (None
+        if all go through an index)."""
+        by_doc = self.method.by_doc
 
-        def keys(batches):
+        def keys(batches, every):
             for batch in batches:
                 for r in batch.to_pylist():
                     d = _array(r["data"], _FIRST)
-                    a = _place_hash(d["name"], d["doc"], d["key"], d["at"])
+                    if not every:
+                        _, number, count = np.unique(d["anchor"], return_inverse=True, return_counts=True)
+                        d = d[count[number] > 1]
+                    a = _place_hash(d["name"], d["doc"], d["key"], d["at"], by_doc)
                     yield a, np.zeros(len(a), np.int64)
 
-        return repeated(firsts, keys, hot=1 << 62, every=True, bits=self.wide)[0]
+        def bitmap(every):
+            return repeated(firsts, lambda batches: keys(batches, every), hot=1 << 62, every=True, bits=self.wide)[0]
+
+        return bitmap(True), None if self.method.alone else bitmap(False)
 
     def sent(self, shared) -> DataFrame:
         """Packed places that may be the first of their segment, with the bytes of their units."""
-        each, bits = _segmented(self.text_col, self.method.segments), np.uint64(self.bits)
+        each, bits, by_doc = _segmented(self.text_col, self.method.segments), np.uint64(self.bits), self.method.by_doc
 
         def flush(held, pieces):
             bucket, data = (np.concatenate(x) for x in zip(*held))
@@ -304,21 +325,29 @@ class Search:
                 yield _row(_SENDS, b, data[own], b"".join(pieces[i] for i in order[own].tolist()))
 
         def run(batches):
-            marks, hot, firsts = shared.value
+            marks, hot, firsts, wanted = shared.value
             held, pieces = [], []
             for part, texts, s in each(batches, hot):
                 s = s.of(holds(marks, s.anchor))
                 doc = part.column("doc_id").fill_null(0).to_numpy()[s.text]
                 key = part.column("_key").to_numpy()[s.text]
-                on = holds(firsts, _place_hash(s.name, doc, key.astype(np.uint32), s.start))
-                s, doc, key = s.of(on), doc[on], key[on]
+                h = _place_hash(s.name, doc, key.astype(np.uint32), s.start, by_doc)
+                on = holds(firsts, h)
+                s, doc, key, h = s.of(on), doc[on], key[on], h[on]
                 if not len(s.text):
                     continue
                 data = np.empty(len(s.text), _SENT)
                 data["anchor"], data["name"], data["at"], data["n"] = (s.anchor << bits) >> np.uint64(32), s.name, s.start, s.count
                 data["doc"], data["key"], data["bytes"] = doc, key, s.hi - s.lo
+                once = np.zeros(len(s.text), bool)  # the bytes of a segment go once for a document of a slice
+                once[np.unique(h, return_index=True)[1]] = True
+                if not by_doc:
+                    once[:] = True
+                if wanted is not None:
+                    once &= holds(wanted, h)
+                data["bytes"][~once] = 0
                 held.append(((s.anchor >> (np.uint64(64) - bits)).astype(np.int64), data))
-                pieces += [texts[k][a:b] for k, a, b in zip(s.text.tolist(), s.lo.tolist(), s.hi.tolist())]
+                pieces += [texts[k][a:b] if o else b"" for k, a, b, o in zip(s.text.tolist(), s.lo.tolist(), s.hi.tolist(), once.tolist())]
                 if len(pieces) > HELD // 5:
                     yield from flush(held, pieces)
                     held, pieces = [], []
@@ -330,7 +359,7 @@ class Search:
     def solved(self, firsts: DataFrame, sent: DataFrame) -> DataFrame:
         """Packed spans: of first places what their index finds before them, of others all."""
         bits, method = self.bits, self.method
-        length = method.length
+        length, limit = method.length, method.index_units or INDEX_UNITS
 
         def finish(bucket, held):
             known = [_array(r["data"], _FIRST) for r in held if r["kind"] == _FIRSTS]
@@ -352,31 +381,45 @@ class Search:
             new = np.append(True, np.logical_or.reduce([data[c][1:] != data[c][:-1] for c in same])) if len(data) else np.empty(0, bool)
             data, order = data[new], order[new]
             k = np.minimum(np.searchsorted(known["name"], data["name"]), len(known) - 1)
-            first = np.logical_and.reduce([known[c][k] == data[c] for c in same])
+            first = np.logical_and.reduce([known[c][k] == data[c] for c in (same[:2] if method.by_doc else same)])
             late = data[~first]
             yield from _packed_spans(late["doc"], late["key"], late["at"], late["n"].astype(np.int64) + (length - 1), bits)
             data, order = data[first], order[first]
-            units = np.cumsum(data["n"].astype(np.int64) + (length - 1))
+            # one piece of each segment; segments without bytes are alone at their anchor
+            size = np.array([len(pieces[i]) for i in order.tolist()], np.int64)
+            segment = np.cumsum(np.append(False, data["name"][1:] != data["name"][:-1])) if len(data) else np.empty(0, np.int64)
+            own = np.flatnonzero(size > 0)
+            own = own[np.unique(segment[own], return_index=True)[1]]
+            units = np.cumsum(data["n"][own].astype(np.int64) + (length - 1))
+            anchor = data["anchor"][own]
             lo = 0
-            while lo < len(data):
-                hi = int(np.searchsorted(units, (units[lo - 1] if lo else 0) + INDEX_UNITS, side="right"))
-                hi = int(np.searchsorted(data["anchor"], data["anchor"][min(max(hi, lo + 1), len(data)) - 1], side="right"))
-                yield from _indexed(data[lo:hi], [pieces[i] for i in order[lo:hi].tolist()])
+            while lo < len(own):
+                hi = int(np.searchsorted(units, (units[lo - 1] if lo else 0) + limit, side="right"))
+                hi = int(np.searchsorted(anchor, anchor[min(max(hi, lo + 1), len(own)) - 1], side="right"))
+                yield from _indexed(data, segment, own[lo:hi], [pieces[i] for i in order[own[lo:hi]].tolist()])
                 lo = hi
 
-        def _indexed(data, pieces):
+        def _indexed(data, segment, own, pieces):
             # documents in order: (doc, key) as one number
-            row = np.lexsort((data["key"], data["doc"]))
-            new = np.append(0, ((data["doc"][row][1:] != data["doc"][row][:-1]) | (data["key"][row][1:] != data["key"][row][:-1])))
-            number = np.empty(len(data), np.int64)
-            number[row] = np.cumsum(new)
-            piece, window = method.repeats(pieces, number, data["at"].astype(np.int64))
+            first = data[own]
+            row = np.lexsort((first["key"], first["doc"]))
+            new = first["doc"][row][1:] != first["doc"][row][:-1]
+            if not method.by_doc:
+                new |= first["key"][row][1:] != first["key"][row][:-1]
+            number = np.empty(len(first), np.int64)
+            number[row] = np.cumsum(np.append(0, new))
+            piece, window = method.repeats(pieces, number, first["at"].astype(np.int64))
             if not len(piece):
                 return
             new = np.append(True, (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1))
             last = np.append(np.flatnonzero(new)[1:], len(piece)) - 1
             piece, start, size = piece[new], window[new], window[last] - window[new] + length
-            yield from _packed_spans(data["doc"][piece], data["key"][piece], data["at"][piece] + start, size, bits)
+            # every place of the segment in its first document
+            lo = np.searchsorted(segment, segment[own][piece])
+            n = np.searchsorted(segment, segment[own][piece], side="right") - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start, size = np.repeat(start, n), np.repeat(size, n)
+            yield from _packed_spans(data["doc"][at], data["key"][at], data["at"][at] + start, size, bits)
 
         both = firsts.union(sent)
         return materialise(_dealt(both).mapInArrow(lambda batches: _by_bucket(batches, finish), _ROW), "spans")
@@ -407,14 +450,14 @@ class Search:
 
         def finished(batch, spans_of):
             """``batch`` with its columns added; ``spans_of``: spans from an index, or None, of each row."""
-            marks, hot, firsts = shared.value
+            marks, hot, firsts, _ = shared.value
             done = 0
             for part in slices(batch, text_col, SLICE):
                 doc, key, valid = ids(part)
                 texts = texts_bytes(part, text_col)
                 s = method.segments([t if v else b"" for t, v in zip(texts, valid.tolist())], hot)
                 s = s.of(holds(marks, s.anchor))
-                s = s.of(~holds(firsts, _place_hash(s.name, doc[s.text], key[s.text], s.start)))
+                s = s.of(~holds(firsts, _place_hash(s.name, doc[s.text], key[s.text], s.start, method.by_doc)))
                 edge = np.searchsorted(s.text, np.arange(len(texts) + 1)).tolist()
                 stop = s.start + s.count + (length - 1)
                 spans = []
@@ -497,6 +540,6 @@ def run(docs: DataFrame, method: Method, text_col: str = "text", hot: int = HOT)
     share = search.spark.sparkContext.broadcast
     marks, often = search.anchors()
     firsts = search.firsts(share((marks, often)))
-    shared = share((marks, often, search.first_marks(firsts)))
+    shared = share((marks, often, *search.first_marks(firsts)))
     spans = search.solved(firsts, search.sent(shared))
     return search.cut(spans, shared)

@@ -35,6 +35,14 @@ def test_pieces_and_ids_match_the_library(library):
         assert codec.decode(ids) == t.encode()
 
 
+def test_every_code_point_has_the_class_of_the_library(library):
+    codec = bpe.Codec(RANKS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    given = ["".join(f"a{c}'s 1{c}1 !{c}" for c in points[i:i + 500]) for i in range(0, len(points), 500)]
+    for i, (t, (pieces, _)) in enumerate(zip(given, bpe.split(given))):
+        assert codec.encode(pieces).tolist() == library.encode_ordinary(t), hex(500 * i)
+
+
 def test_monoid_scan_equals_a_plain_walk():
     import numpy as np
     m = bpe._monoid()

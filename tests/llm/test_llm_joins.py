@@ -7,6 +7,7 @@ import pytest
 
 from pricewise.llm import decontaminate as D
 from pricewise.llm import jaccard as J
+from pricewise.llm import places
 from pricewise.llm import repeats as R
 
 from llm_texts import prose
@@ -135,7 +136,7 @@ def test_repeats_match_brute_force(frame, monkeypatch, hot):
 
 
 @pytest.mark.parametrize("hot", [3, 12])
-def test_no_group_of_places_outgrows_the_bound(frame, monkeypatch, hot):
+def test_no_group_of_places_outgrows_the_bound(spark, frame, monkeypatch, hot):
     """Places of a passage that most documents have do not meet in one task."""
     from pyspark.sql import functions as F
     monkeypatch.setattr(R, "HOT", hot)
@@ -143,10 +144,14 @@ def test_no_group_of_places_outgrows_the_bound(frame, monkeypatch, hot):
     shared = prose(910, 40)
     rows += [(1000 - i, prose(950 + i, 20) + shared + prose(950 + i % 7, 30)) for i in range(45)]
     docs = frame(rows)
+    search = places.Search(docs, R.method(), hot=hot)
+    firsts = search.firsts(spark.sparkContext.broadcast(search.anchors()))
     groups = {}
-    for r in R.places(docs, *R.repeated_anchors(docs)).where(F.col("kind") == R._PLACES).collect():
-        for a, s in zip(*(R._array(r["data"], R._PLACE)[c].tolist() for c in ("anchor", "segment"))):
-            groups[r["bucket"], a, s] = groups.get((r["bucket"], a, s), 0) + 1
+    for r in firsts.collect():
+        d = places._array(r["data"], places._FIRST)
+        assert len(np.unique(d["name"])) == len(d)  # copies are one entry
+        for a in d["anchor"].tolist():
+            groups[r["bucket"], a] = groups.get((r["bucket"], a), 0) + 1
     assert groups and max(groups.values()) <= hot
     got = R.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows, R.LENGTH)

@@ -46,8 +46,8 @@ def test_store(spark, frame, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT_TOKENS", 3000)
     texts = [(7, "it's <|endoftext|> here"), (3, None), (None, "no id"), (5, prose(1, 5000)), (5, prose(1, 5000)), (1, ""), (9, "ünï\n\n x")]
     texts += [(100 - i, prose(i, 300)) for i in range(30)]
-    library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
+    texts += [(200, "\u1c89's and <|endoftext|><|endoftext|> \U00010d40's")]
+    library = Tokenizer.from_file(JSON)  # as its file says
     out = scratch_path(spark, "store")
     S.write(frame(texts), out, JSON)
     order = sorted(texts, key=lambda r: (r[0] is not None, r[0], r[1] or ""))
@@ -58,6 +58,7 @@ def test_store(spark, frame, monkeypatch):
         at += len(ids)
     got = sorted((tuple(r) for r in S.read(spark, out).collect()), key=lambda r: r[1])
     assert got == want
+    assert 50256 in dict((w[0], w[3]) for w in want)[200]  # whole texts: the library sees its special token
     sums = sorted(S.checksums(spark, out).collect(), key=lambda r: r["start"])
     assert [r["ids_crc32"] for r in sums] == [zlib.crc32(np.array(w[3], "<u4").tobytes()) for w in want]
     empty = scratch_path(spark, "store-empty")
