@@ -23,7 +23,7 @@ than ``support`` shards of a language every phrase is sent with its count, and t
 step 2 alone tell the candidates. ``SHARD_BYTES`` is the lever: bigger shards need more memory.
 
 Defined results. Null texts are empty, null languages are ``und`` (as are rows that say so).
-Phrases are compared by 64-bit hashes until they are read. Ids do not matter: repeated rows count as often as they stand. Texts longer than a
+Phrases are compared by hashes of 52 bits or more until they are read. Ids do not matter: repeated rows count as often as they stand. Texts longer than a
 shard are a shard of their own, cut where a piece ends. An empty table gives no rows.
 """
 from __future__ import annotations
@@ -49,6 +49,8 @@ SLICE = 1 << 18
 LANGUAGES = 100_000
 #: Parts of a language in the first round of the top list.
 SALT = 16
+#: Bits of a hash, after those of its bucket, that tell candidates; and that tell counted phrases.
+SHORT, LONG = 26, 48
 #: Excess over a shard's support that is sent at most (a byte); enough for any sum that is needed.
 EXCESS = 255
 BLANKS, PIECES = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -191,6 +193,23 @@ def _packed(bucket, lang, keys, n, row=None) -> pa.RecordBatch:
          pa.array(row or [None] * len(bucket), pa.binary())], names=["bucket", "lang", "keys", "n", "row"])
 
 
+def _squeezed(keys: np.ndarray, more: np.ndarray, buckets: int) -> tuple[bytes, bytes]:
+    """Sorted hashes of a bucket as 16-bit steps between their ``SHORT`` bits after the
+    bucket's, and the numbers that go with them. Long steps pass over entries with nothing."""
+    short = ((keys << np.uint64(buckets)) >> np.uint64(64 - SHORT)).astype(np.int64)
+    over, step = np.divmod(np.diff(short, prepend=0), 65535)
+    at = np.arange(len(keys)) + np.cumsum(over)
+    steps = np.full(int(over.sum()) + len(keys), 65535, dtype="<u2")
+    numbers = np.zeros(len(steps), dtype=np.uint8)
+    steps[at], numbers[at] = step, more
+    return steps.tobytes(), numbers.tobytes()
+
+
+def _stretched(steps: bytes) -> np.ndarray:
+    """The ``SHORT`` bits of each entry."""
+    return np.cumsum(np.frombuffer(steps, "<u2").astype(np.int64))
+
+
 def _dealt_out(keys: np.ndarray, buckets: int, *columns):
     """(bucket, slice of the sorted keys, slices of the columns) of the non-empty buckets."""
     order = np.argsort(keys)
@@ -265,8 +284,7 @@ def candidates(p: Plan) -> np.ndarray:
     sizes, number, buckets, support, budget = p.sizes, p.number, p.buckets, p.support, p.shard_bytes
 
     def mine(batches):
-        """Packed phrases of each shard, and as bucket -1 its support less one. 32 bits of a
-        hash after its bucket's, and the excess up to the support: 5 bytes."""
+        """Packed phrases of each shard, and as bucket -1 its support less one."""
         for lang, shard in _shards(batches, budget):
             least = max(1, -(-support * shard.bytes // sizes[lang]))
             salt = _salt(lang)
@@ -277,28 +295,28 @@ def candidates(p: Plan) -> np.ndarray:
             if found:
                 keys, more = (np.concatenate(x) for x in zip(*found))
                 own = list(_dealt_out(keys, buckets, np.minimum(more, EXCESS).astype(np.uint8)))
-                yield _packed([b for b, _, _ in own], number[lang], [((k << np.uint64(buckets)) >> np.uint64(32)).astype("<u4").tobytes() for _, k, _ in own],
-                              [m.tobytes() for _, _, (m,) in own])
+                data = [_squeezed(k, m, buckets) for _, k, (m,) in own]
+                yield _packed([b for b, _, _ in own], number[lang], [k for k, _ in data], [m for _, m in data])
 
     mined = materialise(p.rows.mapInArrow(mine, _PACKED), "mined")
     need = {k: min(EXCESS, support - n) for k, n in _totals(mined).items()}
 
     def united(batches):
         def summed(lang, rows):
-            keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
+            keys = np.concatenate([_stretched(r["keys"]) for r in rows])
             more = np.concatenate([np.frombuffer(r["n"], np.uint8) for r in rows]).astype(np.int64)
             order = np.argsort(keys)
             keys, more = keys[order], more[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             keys = keys[first][np.add.reduceat(more, first) >= need[lang]].astype(np.uint64)
             high = np.uint64(rows[0]["bucket"]) << np.uint64(64 - buckets)
-            yield high | keys << np.uint64(32 - buckets)
+            yield high | keys << np.uint64(64 - SHORT - buckets)
 
         for found in _gathered(batches, summed):
             yield found, np.zeros(len(found), np.int64)
 
     # the bitmap takes the leading bits, which the shortened hashes have
-    return repeated(_by_bucket(mined), united, hot=1 << 62, every=True, bits=min(p.bits, 32))[0]
+    return repeated(_by_bucket(mined), united, hot=1 << 62, every=True, bits=min(p.bits, SHORT + buckets))[0]
 
 
 def _salt(lang: str) -> np.uint64:
@@ -326,17 +344,23 @@ def counts(p: Plan, bitmap: np.ndarray) -> DataFrame:
             yield _packed([-1], number[lang], [b""], [np.array([len(hash_)], "<u8").tobytes()])
             parts = [(join(np.full(len(k), salt), k), n, rows[text[place]]) for _, k, n, place, *_ in phrases]
             if parts:
-                own = list(_dealt_out(*(lambda k, n, r: (k, buckets, n, r))(*(np.concatenate(x) for x in zip(*parts)))))
-                yield _packed([b for b, _, _ in own], number[lang], [k.astype("<u8").tobytes() for _, k, _ in own],
-                              [n.astype("<u4").tobytes() for _, _, (n, _) in own], [(r >> 32).astype("<i4").tobytes() for _, _, (_, r) in own])
+                keys, n, row = (np.concatenate(x) for x in zip(*parts))
+                # counts are bytes: a larger one stands in several entries
+                times = n // 255 + 1
+                left = n % 255
+                keys, row, n = np.repeat(keys, times), np.repeat(row, times), np.full(int(times.sum()), 255)
+                n[np.cumsum(times) - 1] = left
+                own = list(_dealt_out(keys, buckets, n.astype(np.uint8), row))
+                yield _packed([b for b, _, _ in own], number[lang], [_split(k, buckets) for _, k, _ in own],
+                              [n.tobytes() for _, _, (n, _) in own], [(r >> 48).astype("<i2").tobytes() for _, _, (_, r) in own])
 
     counted = materialise(p.rows.mapInArrow(count, _PACKED), "counted")
     totals = _totals(counted)
 
     def summed(lang, rows):
-        keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
-        n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows]).astype(np.int64)
-        row = np.concatenate([np.frombuffer(r["row"], "<i4") for r in rows])
+        keys = np.concatenate([_whole(r["keys"], r["bucket"], buckets) for r in rows])
+        n = np.concatenate([np.frombuffer(r["n"], np.uint8) for r in rows]).astype(np.int64)
+        row = np.concatenate([np.frombuffer(r["row"], "<i2") for r in rows]).astype(np.int32)
         order = np.lexsort((row, keys))
         keys, n, row = keys[order], n[order], row[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -359,11 +383,11 @@ def counts(p: Plan, bitmap: np.ndarray) -> DataFrame:
         for lang, shard in _shards(batches, budget, True):
             salt = _salt(lang)
             data, start, end = np.concatenate(shard.data), np.concatenate(shard.start), np.concatenate(shard.end)
-            text, rows = np.concatenate(shard.text), (np.array(shard.rows, dtype=np.int64) >> 32).astype(np.int32)
+            text, rows = np.concatenate(shard.text), (np.array(shard.rows, dtype=np.int64) >> 48).astype(np.int32)
             shard.data = shard.start = shard.end = shard.text = None
             _, phrases = found(shard, salt)
             for size, keys, _, _, at, phrase in phrases:
-                keys = join(np.full(len(keys), salt), keys)
+                keys = _told(join(np.full(len(keys), salt), keys), buckets)
                 on = holds(marks.value, _seen(keys[phrase], rows[text[at]]))
                 number_, first = np.unique(phrase[on], return_index=True)
                 place = at[on][first]
@@ -380,6 +404,24 @@ def counts(p: Plan, bitmap: np.ndarray) -> DataFrame:
     return every.join(names, "lang").select(F.col("name").alias("lang"), "size", "phrase", "n")
 
 
+def _told(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes cut to the bits that tell counted phrases."""
+    spare = np.uint64(max(0, 64 - LONG - buckets))
+    return keys >> spare << spare
+
+
+def _split(keys: np.ndarray, buckets: int) -> bytes:
+    """The ``LONG`` bits after the bucket's: their upper 32, then their lower 16."""
+    own = (keys << np.uint64(buckets)) >> np.uint64(64 - LONG)
+    return (own >> np.uint64(16)).astype("<u4").tobytes() + own.astype("<u2").tobytes()
+
+
+def _whole(data: bytes, bucket: int, buckets: int) -> np.ndarray:
+    n = len(data) // 6
+    own = np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64)
+    return np.uint64(bucket) << np.uint64(64 - buckets) | own << np.uint64(64 - LONG) >> np.uint64(buckets)
+
+
 def _seen(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Hash of a phrase and the text that it is to be read from."""
     return join(keys, row.astype(np.int64).view(np.uint64))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, collocations, decontaminate, jaccard, licenses, pii, quality, repeats, substrings, token_counts, token_store, toxicity, whitening
-from .common import table
+from .common import materialise, table
 from pricewise.session import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,7 +57,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
-    return token_counts.answers(token_counts.histogram(docs, RANKS, public_tokenizers.PATTERN))
+    hist = materialise(token_counts.histogram(docs, RANKS, public_tokenizers.PATTERN), "lengths")  # texts are encoded once
+    return token_counts.answers(hist, token_counts.LIMITS, token_counts.QUANTILES)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

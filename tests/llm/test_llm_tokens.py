@@ -78,5 +78,14 @@ def test_counts(spark, frame):
         assert (r["n_docs"], r["n_longer"], r["tokens_total"], r["tokens_kept"]) == (
             n.count(c), sum(x > c for x in n), sum(n), sum(min(x, c) for x in n))
         assert r["tokens_cut"] == sum(n) - r["tokens_kept"] and r["share_fitting"] == sum(x <= c for x in n) / len(n)
+    limits, quantiles = (1, 7, 64, n[9]), (0.0, 0.1, 0.5, 0.9, 1.0)
+    rows = {r["context_limit"]: r for r in token_counts.answers(hist, limits, quantiles).collect()}
+    assert set(rows) == set(n) | set(limits)
+    for c, r in rows.items():
+        assert (r["n_docs"], r["n_longer"], r["tokens_kept"]) == (n.count(c), sum(x > c for x in n), sum(min(x, c) for x in n))
+    for q in quantiles[1:]:
+        want = next(x for x in sorted(n) if sum(y <= x for y in n) / len(n) >= q)
+        assert [c for c, r in rows.items() if f"{q:g}" in r["quantiles"].split(",")] == [want]
+    assert token_counts.answers(hist.limit(0), limits, quantiles).collect() == []
     assert token_counts.quantile(hist, 0.5).first()[0] == sorted(n)[len(n) // 2 - 1]
     assert token_counts.answers(token_counts.histogram(frame(texts).limit(0), RANKS, P.PATTERN)).collect() == []
