@@ -1,16 +1,18 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template the words of a known license notice.
-A template is found in a block when the block holds at least
-``ceil(threshold * n)`` of the template's ``n`` distinct words. The join is
-exact and uses the filters of prefix-filter joins:
+A template is the words of a known license notice, a block a window of words twice as long
+as the template; windows move by the template's length over the whole text, so a notice lies
+whole in one of them however it is wrapped, and words further apart do not add up. A
+template is found in a block when the block holds at least ``ceil(threshold * n)`` of the
+template's ``n`` distinct words. The join is exact and uses the filters of prefix-filter joins:
 
 * one global word order, rarest first, from the document counts of the
   template words over the whole table;
 * prefix filter: a block must share a word with the first ``n - need + 1``
   words of the template within its own first ``m - need + 1`` words, where ``m``
   is the number of its words that occur in any template;
-* length filter: ``m >= need``;
+* length filter: ``m >= need``, first for the whole text (no block of it has more), then for
+  the block;
 * positional filter: the first shared word, at place ``i`` of the template and
   ``j`` of the block, leaves room for ``1 + min(n - i - 1, m - j - 1)`` shared words.
 
@@ -92,7 +94,7 @@ def _template_rows(order: list[str], templates) -> list[dict]:
     for label, threshold, text in templates:
         words = sorted(set(text.split()), key=rank.__getitem__)
         need = math.ceil(round(threshold * len(words), 9))
-        rows.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
+        rows.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1], "length": len(text.split())})
     return rows
 
 
@@ -108,20 +110,25 @@ def _match(row: dict, block: Column) -> Column:
     return F.when((m >= need) & (F.size(shared) > 0) & (room >= need) & (overlap >= need), overlap / F.lit(float(n)))
 
 
-def containment_join(lines: Column, order: list[str], templates=TEMPLATES) -> Column:
-    """Array of (block, label, containment) of all templates found in an array of blocks."""
-    rows = _template_rows(order, templates)
-    starts = _strings(sorted({w for r in rows for w in r["prefix"]}))
+def containment_join(words: Column, known: Column, order: list[str], templates=TEMPLATES) -> Column:
+    """Array of (block, label, containment) of all templates found in the blocks of a text:
+    ``words`` are its words, ``known`` the template words among them, ``block`` is the first
+    word of a block."""
     vocabulary = _strings(order)
-    # array_intersect keeps the order of its first argument: the global one
-    blocks = F.filter(
-        F.transform(lines, lambda line, i: F.struct(
-            i.alias("block"), F.array_intersect(vocabulary, words_of(line)).alias("words"))),
-        lambda b: F.arrays_overlap(b["words"], starts))
-    return F.flatten(F.transform(blocks, lambda b: F.filter(
-        F.array(*[F.struct(b["block"].cast("long").alias("block"), F.lit(r["label"]).alias("label"),
-                           _match(r, b["words"]).alias("containment")) for r in rows]),
-        lambda x: x["containment"].isNotNull())))
+
+    def found(row: dict) -> Column:
+        n, prefix = row["length"], _strings(row["prefix"])
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(n))
+        near = F.filter(F.transform(starts, lambda s: F.struct(s.cast("long").alias("block"), F.slice(words, s + 1, F.lit(2 * n)).alias("w"))),
+                        lambda b: F.arrays_overlap(b["w"], prefix))
+        # array_intersect keeps the order of its first argument: the global one
+        blocks = F.transform(near, lambda b: F.struct(b["block"].alias("block"), F.array_intersect(vocabulary, b["w"]).alias("w")))
+        hits = F.filter(F.transform(blocks, lambda b: F.struct(b["block"].alias("block"), F.lit(row["label"]).alias("label"), _match(row, b["w"]).alias("containment"))),
+                        lambda x: x["containment"].isNotNull())
+        enough = F.size(F.array_intersect(known, _strings(row["words"]))) >= row["need"]
+        return F.when(enough, hits).otherwise(F.array().cast("array<struct<block:bigint,label:string,containment:double>>"))
+
+    return F.concat(*[found(r) for r in _template_rows(order, templates)])
 
 
 def phrase_places(words: Column, joined: Column, phrases=PHRASES) -> Column:
@@ -153,15 +160,15 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, phrases=P
     Column names that clash with these are replaced by the scan's.
     """
     order = word_order(docs, text_col, templates) if order is None else order
-    kept = [c for c in docs.columns if c not in (text_col, "n_words", "places", "matches", "_low", "_words", "_joined")]
+    kept = [c for c in docs.columns if c not in (text_col, "n_words", "places", "matches", "_low", "_words", "_joined", "_known")]
     low = docs.select(*[F.col(f"`{c}`") for c in kept], lowered(F.col(f"`{text_col}`")).alias("_low"))
     words = low.select(*kept_cols(kept), "_low", words_of(F.col("_low")).alias("_words"))
-    joined = words.select(*kept_cols(kept), "_low", "_words",
-                          F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_joined"))
+    joined = words.select(*kept_cols(kept), "_words", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_joined"),
+                          F.array_intersect(_strings(order), "_words").alias("_known"))
     return joined.select(
         *kept_cols(kept), F.size("_words").cast("long").alias("n_words"),
         phrase_places(F.col("_words"), F.col("_joined"), phrases).alias("places"),
-        containment_join(F.split("_low", "\n"), order, templates).alias("matches"))
+        containment_join(F.col("_words"), F.col("_known"), order, templates).alias("matches"))
 
 
 def kept_cols(names: list[str]) -> list[Column]:
@@ -188,10 +195,10 @@ def _quoted(values) -> str:
 
 def oracle(templates=TEMPLATES, phrases=PHRASES) -> str:
     """DuckDB SQL for ``digest(scan(documents))``, by plain overlap counts."""
-    rows = ",\n    ".join(f"('{label}', {threshold}, {_quoted(sorted(set(text.split())))})" for label, threshold, text in templates)
+    rows = ",\n    ".join(f"('{label}', {threshold}, {len(text.split())}, {_quoted(sorted(set(text.split())))})" for label, threshold, text in templates)
     lists = ",\n    ".join(f"('{label}', {_quoted(p.split())})" for p, label in phrases)
     return f"""
-WITH templates(label, threshold, words) AS (VALUES
+WITH templates(label, threshold, n, words) AS (VALUES
     {rows}),
 phrases(label, words) AS (VALUES
     {lists}),
@@ -201,10 +208,11 @@ places AS (
   SELECT r, i AS start, label FROM (
     SELECT r, label, w, words, unnest(range(0, len(w) - len(words) + 1)) AS i FROM worded, phrases)
   WHERE w[i + 1 : i + len(words)] = words),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM docs),
+blocks AS (SELECT r, label, threshold, words, list_distinct(list_slice(w, s + 1, s + 2 * n)) AS w
+  FROM (SELECT r, label, threshold, n, words, w, unnest(range(0, len(w), n)) AS s FROM worded, templates)),
 matches AS (
   SELECT r, label, len(list_intersect(w, words))::DOUBLE / len(words) AS containment
-  FROM blocks, templates WHERE len(list_intersect(w, words)) >= ceil(round(threshold * len(words), 9))),
+  FROM blocks WHERE len(list_intersect(w, words)) >= ceil(round(threshold * len(words), 9))),
 p AS (SELECT r, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS base FROM places GROUP BY r),
 m AS (SELECT r, max(containment) AS best FROM matches GROUP BY r),
 a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -39,7 +39,7 @@ HOT = 50_000
 BUCKET_BYTES = 16 << 20
 SLICE = 1 << 18
 #: Places or spans that a task holds before it packs them.
-HELD = 500_000
+HELD = 150_000
 #: Units of the segments in one index.
 INDEX_UNITS = 1_000_000
 _PLACE_BITS = np.uint64(24)
@@ -88,6 +88,7 @@ class Method:
     by_doc: bool = False
     alone: bool = True
     index_units: int | None = None
+    bucket_bytes: int | None = None
 
 
 def cut_segments(h: np.ndarray, size: np.ndarray, length: int, gram: int, hot: np.ndarray | None):
@@ -219,7 +220,7 @@ class Search:
         self.docs, self.method, self.text_col, self.hot = docs, method, text_col, hot
         total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
         #: logarithms: buckets, and bits of a bitmap
-        self.bits = max(4, (total // BUCKET_BYTES).bit_length())
+        self.bits = max(4, (total // (method.bucket_bytes or BUCKET_BYTES)).bit_length())
         self.wide = min(31, max(20, (total // 8).bit_length()))
 
     def read(self) -> DataFrame:
@@ -260,7 +261,7 @@ class Search:
 
         def run(batches):
             marks, hot = shared.value
-            held, many, after = [], 0, HELD
+            held, many = [], 0
             for part, _, s in each(batches, hot):
                 s = s.of(holds(marks, s.anchor))
                 if not len(s.text):
@@ -273,14 +274,13 @@ class Search:
                     data["key"], data["at"] = 0, 0
                 held.append(((s.anchor >> (np.uint64(64) - bits)).astype(np.int64), data))
                 many += len(data)
-                if many > after:
+                if many > HELD:
                     held = [combined(held)]
                     many = len(held[0][0])
-                    if many > 2 * HELD:
+                    if many > HELD // 2:  # little to combine
                         for b, own in _parts(held[0][0]):
                             yield _row(_FIRSTS, b, held[0][1][own])
                         held, many = [], 0
-                    after = max(HELD, 2 * many)
             if held:
                 bucket, data = combined(held)
                 for b, own in _parts(bucket):
@@ -348,7 +348,7 @@ class Search:
                 data["bytes"][~once] = 0
                 held.append(((s.anchor >> (np.uint64(64) - bits)).astype(np.int64), data))
                 pieces += [texts[k][a:b] if o else b"" for k, a, b, o in zip(s.text.tolist(), s.lo.tolist(), s.hi.tolist(), once.tolist())]
-                if len(pieces) > HELD // 5:
+                if len(pieces) > HELD // 3:
                     yield from flush(held, pieces)
                     held, pieces = [], []
             if held:
