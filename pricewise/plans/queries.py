@@ -522,11 +522,10 @@ _BUNDLES: dict[tuple, str] = {}
 
 
 def _saved_bundle(spark, sf, params=None, version="t5") -> str:
-    """Fit with the given settings (default: the default ones) and save the bundle."""
-    from ..operators import booster as BO
+    """Fit with the given settings (default: ``QUERY_PARAMS``) and save the bundle."""
     from ..operators import train as TR
-    from .flagship import fit_single
-    params = params or BO.Params()
+    from .flagship import QUERY_PARAMS, fit_single
+    params = params or QUERY_PARAMS
     vocab, model = fit_single(split_listings(spark, sf), params)
     path = scratch_path(spark, "bundle")
     TR.save_bundle(TR.TrainResult(model, vocab, float("nan"), float("nan"), {}, [], [], {"model_version": version}), path, spark)
@@ -536,9 +535,9 @@ def _saved_bundle(spark, sf, params=None, version="t5") -> str:
 
 def _bundle(spark, sf, params=None):
     """The saved bundle of an application, table folder and settings, loaded."""
-    from ..operators import booster as BO
     from ..operators import train as TR
-    known = (spark.sparkContext.applicationId, sf, params or BO.Params())
+    from .flagship import QUERY_PARAMS
+    known = (spark.sparkContext.applicationId, sf, params or QUERY_PARAMS)
     if known in _BUNDLES:
         try:
             return TR.load_bundle(spark, _BUNDLES[known])
@@ -550,7 +549,7 @@ def _bundle(spark, sf, params=None):
 
 @query("t5_gbt")
 def t5_gbt(spark, sf):
-    """Fit with the default settings, save the bundle (S9), load it back and score the capped hold-out."""
+    """Fit, save the bundle (S9), load it back and score the capped hold-out."""
     from ..operators import train as TR
     b = TR.load_bundle(spark, _saved_bundle(spark, sf))
     hold = FE.apply_vocabulary(holdout_capped(spark, sf), b.vocab)
@@ -568,6 +567,8 @@ def t5_nodes(spark, sf):
 
 #: Rounds that the search queries draw from, instead of (200, 1500); see the README for times.
 SEARCH_ROUNDS = (2, 6)
+#: Draws of the search query, instead of 60.
+SEARCH_DRAWS = 12
 
 
 def _search(spark, sf, n_iter):
@@ -591,8 +592,8 @@ def t2_baseline(spark, sf):
 
 @query("t3_search")
 def t3_search(spark, sf):
-    """All 60 draws of the random search with their mean RMSE over five folds; the best is flagged."""
-    r, _ = _search(spark, sf, n_iter=60)
+    """The draws of the random search with their mean RMSE over five folds; the best is flagged."""
+    r, _ = _search(spark, sf, n_iter=SEARCH_DRAWS)
     best = min(range(len(r.cv_metrics)), key=r.cv_metrics.__getitem__)
     rows = [(i, d["learning_rate"], d["max_iter"], -1 if d["max_depth"] is None else d["max_depth"],
              d["min_samples_leaf"], d["max_leaf_nodes"], d["l2_regularization"], m, i == best)
@@ -867,7 +868,7 @@ def _shap(spark, sf, params=None):
 
 @query("v11_shapley")
 def v11_shapley(spark, sf):
-    """Exact attributions of the fitted model (default settings)."""
+    """Exact attributions of the fitted model."""
     return _shap(spark, sf)
 
 
