@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.ranking import global_row_number
 from ..schema import INPUT_SCHEMA, LISTING_COLUMNS, LISTING_SCHEMA, RECORD_SCHEMA
 
+#: File splits whose line counts may be broadcast.
+MAX_SPLITS = 1_000_000
+
 
 def _object_text(text: Column, what: Column) -> Column:
     """The text where it is a JSON object; anything else stops the job."""
@@ -38,11 +41,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_record_lines(spark.read.text(path))
 
 
-def read_extraction_records(spark: SparkSession, path: str) -> DataFrame:
-    """Full extraction records (all nine fields) with a declared schema."""
-    return spark.read.schema(RECORD_SCHEMA).json(path)
-
-
 def record_lines_from_listings(
     lst: DataFrame,
     key: str,
@@ -111,8 +109,8 @@ def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
     lines before them (``record_index``).
 
     Ids that rise within a task number the lines of a file split from its first one;
-    the counts of earlier splits (one row per split) are joined on, so no line is
-    sorted or moved for its number."""
+    the counts of earlier splits go to the lines (one row per split, at most
+    ``MAX_SPLITS`` of them), so no line is sorted or moved for its number."""
     raw = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_f"),
@@ -127,7 +125,9 @@ def indexed_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.join(records, ["_f", "_b"], "left").select(
         "_f", "_b", "_m0", "_r0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
         F.coalesce(F.sum("_k").over(w), F.lit(0)).alias("_koff"))
-    return full.join(splits, ["_f", "_b"]).select(
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() > MAX_SPLITS:  # no more splits than that
+        raise ValueError(f"more than {MAX_SPLITS} file splits: raise spark.sql.files.maxPartitionBytes")
+    return full.join(F.broadcast(splits), ["_f", "_b"]).select(
         (F.col("_off") + F.col("_m") - F.col("_m0")).alias("input_index"),
         (F.col("_koff") + F.col("_r") - F.col("_r0")).alias("record_index"), "value")
 
