@@ -121,7 +121,8 @@ def cut_segments(h: np.ndarray, size: np.ndarray, length: int, gram: int, hot: n
     new = np.append(True, (q[1:] != q[:-1]) | (text[1:] != text[:-1])) if len(q) else np.empty(0, bool)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(p)))
-    text, start, anchor = text[first], p[first], h[q[first]]
+    # smallest hashes lie close to 0: scrambled again, they fall evenly into buckets and bitmaps
+    text, start, anchor = text[first], p[first], mix(h[q[first]] * _M1)
     split = among(hot, anchor) if hot is not None and len(hot) > 1 else np.zeros(len(first), bool)
     if split.any():
         times = np.where(split, count, 1)
