@@ -105,3 +105,23 @@ def test_summary_empty(spark):
     df = spark.createDataFrame([], "image_path string, attempt int, raw_text string")
     s = EX.summary(EX.extract_records(df)).first()
     assert s["total_images"] == 0 and s["success_rate"] == 0.0
+
+
+def test_short_methods_and_repeated_work(spark):
+    """Projections run in methods that HotSpot compiles, and a cleaned number names its regex once."""
+    from pricewise.functions.coerce import number_text
+    df = spark.createDataFrame([("k", 1, '{"price": "£1,299.00 cm", "width": " 84 "}')], "image_path string, attempt int, raw_text string")
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    out = EX.clean_attempts(df).select("f_price", "f_width").first()
+    assert (out["f_price"], out["f_width"]) == (1299.0, 84.0)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    plan = df.select(number_text(F.col("raw_text")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
+def test_strict_parse_rejects_what_follows_an_object(spark):
+    texts = ['{"a": 1}', '{"a": 1} {"b": 2}', '{"a": 1}] [{"b": 2}', '{"a": 1}} , {"b": {"c": 2}', '{"a": 1}, {"b": 2}', '{"a": 1} x}',
+             '{"a": 1, "a": 2}', "{'a': 1}", '{"a": NaN}', '[{"a": 1}]', None, '{}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = [r["ok"] for r in df.select("i", EX.strict_parse(F.col("x")).isNotNull().alias("ok")).orderBy("i").collect()]
+    assert got == [True] + [False] * 10 + [True]
