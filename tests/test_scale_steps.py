@@ -92,3 +92,41 @@ def test_many_brackets_are_counted_without_a_sum_for_each(spark, monkeypatch):
     df = spark.range(50_000).select(F.col("id").cast("double").alias("a"))
     assert ST.exact_quantiles(df, "a", [k / 64 for k in range(1, 64)])[31] == 24999.5
     assert seen == [63]
+
+
+def test_a_split_is_written_without_a_sort(spark, tmp_path):
+    from pricewise.operators import split as SP
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 97).cast("double").alias("price"))
+    name, plans = "spark.sql.maxConcurrentOutputFileWriters", []
+    before = spark.conf.get(name)
+    df = SP.split(rows, "k")
+
+    class Writer:
+        def __getattr__(self, _):
+            return lambda *a: plans.append(spark.conf.get(name)) or self
+
+    class Rows:
+        sparkSession, write = spark, Writer()
+
+    SP.write_split(Rows(), "nowhere")
+    assert all(int(n) >= 2 for n in plans) and spark.conf.get(name) == before
+    SP.write_split(df, f"file://{tmp_path}/split")
+    back = SP.read_split(spark, f"file://{tmp_path}/split")
+    assert spark.conf.get(name) == before
+    assert sorted(map(tuple, back.select("k", "split").collect())) == sorted(map(tuple, df.select("k", "split").collect()))
+    assert all(".zstd." in f for f in back.inputFiles())
+
+
+def test_permuted_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    from pricewise.operators import evaluate as EV
+    rows = spark.range(400).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).cast("double").alias("x"),
+                                   (F.col("id") % 5).cast("double").alias("y"), (F.col("id") % 11).cast("double").alias("price"))
+    run = lambda: sorted(map(tuple, EV.permutation_importance(
+        rows, "k", ["x", "y"], lambda df: df.withColumn("prediction", F.col("x") + F.col("y")), repeats=3).select(
+        "feature", F.round("importance_mean", 9), F.round("importance_std", 9)).collect()))
+    asked, before = [], run()
+    ranked = EV.global_row_number
+    monkeypatch.setattr(EV, "global_row_number", lambda *a, **b: asked.append(b["num_partitions"]) or ranked(*a, **b))
+    monkeypatch.setattr(EV, "PERMUTED_ROWS", 40)
+    assert run() == before
+    assert asked == [10, 30]
