@@ -42,6 +42,49 @@ def test_damage_is_found_and_stays_in_its_block():
         S.pack(np.array([70_000]))
 
 
+def test_segments_are_coded_in_step(monkeypatch):
+    rng = np.random.default_rng(1)
+    segments = [rng.zipf(1.3, n) % 50_000 for n in (5000, 0, 1, 4096, 300, 9000, 700)]
+    steps, step = [], S._Model.step
+    monkeypatch.setattr(S._Model, "step", lambda self, *a: steps.append(1) or step(self, *a))
+    packed = S.pack_all(segments)
+    assert len(steps) == S.BLOCK_TOKENS  # not so many for each segment
+    assert packed == [S.pack(s) for s in segments]
+    steps.clear()
+    assert all(np.array_equal(a, b) for a, b in zip(S.unpack_all(packed), segments, strict=True))
+    assert len(steps) == S.BLOCK_TOKENS
+    monkeypatch.setattr(S, "LANES", 3)  # in several groups
+    assert S.pack_all(segments) == packed
+    assert all(np.array_equal(a, b) for a, b in zip(S.unpack_all(packed), segments, strict=True))
+
+
+def test_bytes_of_the_format_stay():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.zipf(1.2, 9000) % 50_000, np.arange(9000) % 13, rng.integers(0, 65536, 3000)])
+    packed = S.pack(ids)
+    assert (len(packed), zlib.crc32(packed)) == (18650, 2597286291)  # files written before stay readable
+    for at in rng.integers(0, len(packed) - 100, 3).tolist():  # damage in a block is a ValueError, whatever it does to the model
+        hurt = bytearray(packed)
+        hurt[100 + at] ^= 1 << at % 8
+        with pytest.raises(ValueError):
+            S.unpack(bytes(hurt))
+
+
+def test_store_in_many_small_segments(spark, frame, monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT_TOKENS", 200)
+    monkeypatch.setattr(S, "LANES", 1)
+    texts = [(i // 2, prose(i % 11, 40 + i)) for i in range(60)] + [(None, None), (7, "")]
+    out = scratch_path(spark, "store-small")
+    S.write(frame(texts).coalesce(1), out, JSON)
+    library = Tokenizer.from_file(JSON)
+    order = sorted(texts, key=lambda r: (r[0] is not None, r[0], r[1] or ""))
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [S.END_ID] for _, t in order]
+    got = sorted((tuple(r) for r in S.read(spark, out).collect()), key=lambda r: r[1])
+    assert [(i, r) for i, _, _, r in got] == [(i, r) for (i, _), r in zip(order, ids)]
+    assert [r[1] for r in got] == [sum(map(len, ids[:k])) for k in range(len(ids))]
+    assert spark.read.parquet(out).count() > 10
+
+
 def test_store(spark, frame, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT_TOKENS", 3000)
     texts = [(7, "it's <|endoftext|> here"), (3, None), (None, "no id"), (5, prose(1, 5000)), (5, prose(1, 5000)), (1, ""), (9, "ünï\n\n x")]
