@@ -101,7 +101,7 @@ CONTRACT = {
 def test_registered_queries(spark, folder):
     path, rows = folder
     queries = entry.queries()
-    assert {k.split("_")[0] for k in queries if k.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in queries if k.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in queries
     for name, columns in CONTRACT.items():
         key = next(k for k in queries if k.split("_")[0] == name)
