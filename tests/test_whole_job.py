@@ -37,3 +37,19 @@ def test_routed_records_are_whole(spark, tables):
     won = [r for r in got if r["success"]]
     assert len(got) == 56 and 0 < len(won) < 56
     assert all(any(r[c] is not None for r in won) for c in LISTING_COLUMNS if c != "colour_2")
+
+
+@pytest.mark.parametrize("key", ["t2_baseline", "t3_search"])
+def test_the_search_has_all_draws_and_rounds(spark, tables, monkeypatch, key):
+    """t2_baseline, t3_search: 60 draws of 200 to 1,499 rounds on five folds, and a baseline of 100 rounds."""
+    from pricewise.operators import booster as BO
+    from pricewise.operators import train as TR
+    asked, fitted = [], []
+    monkeypatch.setattr(BO, "cross_validate", lambda df, bins, draws, n_folds: asked.append((draws, n_folds)) or [9.0 - i % 7 for i in range(len(draws))])
+    monkeypatch.setattr(BO, "fit", lambda df, bins, params: fitted.append(params) or BO.Ensemble(bins, params, 0))
+    rows = entry.queries()[key](spark, tables).collect()
+    (draws, n_folds), = asked
+    assert n_folds == 5 and draws[0] == BO.Params() and draws[0].max_iter == 100
+    assert draws[1:] == [TR.to_params(d) for d in TR.sample_params(60, TR.SearchSpace())]
+    assert all(200 <= d.max_iter < 1500 for d in draws[1:])
+    assert fitted == [draws[6]] and len(rows) == {"t2_baseline": 1, "t3_search": 60}[key]
