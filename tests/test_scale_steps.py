@@ -130,3 +130,50 @@ def test_permuted_rows_are_dealt_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(EV, "PERMUTED_ROWS", 40)
     assert run() == before
     assert asked == [10, 30]
+
+
+def test_draws_beyond_the_budget_grow_in_steps(spark, monkeypatch):
+    """Batches of draws, several passes for the sums of a level and more tasks give the same errors, and no task sees more than its share."""
+    rows = spark.range(0, 2400, 1, 2).select(F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(31)).cast("double").alias("z"),
+                                             (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 13 + F.pmod(F.xxhash64("id"), F.lit(97))).cast("double").alias("price"))
+    bins = BO.find_bins(rows, ["x", "z"], {})
+    draws = [BO.Params(0.3, 1 + i, 12, None, 5, 0.5) for i in range(4)]
+    want = BO.cross_validate(rows, bins, draws)
+    seen, tasks, grow, spread = [], [], BO.grow, BO._spread
+
+    def noted(state, bins, models, **more):
+        seen.append([p.max_iter for p in models])
+        return grow(state, bins, models, **more)
+
+    def dealt(state, cells, blocks):
+        out = spread(state, cells, blocks)
+        tasks.append((cells, out[1]))
+        return out
+
+    monkeypatch.setattr(BO, "grow", noted)
+    monkeypatch.setattr(BO, "_spread", dealt)
+    monkeypatch.setattr(BO, "BLOCK", 100)
+    monkeypatch.setattr(BO, "CORE_CELLS", 2 * 5 * 2400 // spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(BO, "TASK_CELLS", 100)
+    monkeypatch.setattr(BO, "MOST_TASK_CELLS", 3000)
+    monkeypatch.setattr(BO, "SUM_BYTES", 3 * 16 * int(bins.sizes.sum()))
+    assert BO.cross_validate(rows, bins, draws) == want
+    assert seen == [[4] * 5 + [3] * 5, [2] * 5 + [1] * 5]
+    assert all(cells <= 3000 * n for cells, n in tasks)
+
+
+def test_the_sums_of_a_sibling_come_from_the_parent(spark, monkeypatch):
+    """Where sums meet on the driver, the tasks sum one node of two, and the trees stay the same."""
+    rows = spark.range(0, 3000, 1, 3).select(F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("x"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(53)).cast("double").alias("z"),
+                                             F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1009)).cast("double").alias("price"))
+    bins = BO.find_bins(rows, ["x", "z"], {})
+    asked, summed = [], BO.Grower.summed
+    monkeypatch.setattr(BO.Grower, "summed", lambda g, i, known: asked.append((i, summed(g, i, known))) or asked[-1][1])
+    params = BO.Params(max_iter=2, max_leaf_nodes=12, min_samples_leaf=5)
+    near = BO.fit(rows, bins, params)
+    assert any(a != b for a, b in asked) and len({b for _, b in asked}) < len({a for a, _ in asked})
+    monkeypatch.setattr(BO, "DIRECT_NODES", 0)
+    far = BO.fit(rows, bins, params)
+    assert near.base == far.base and len(near.trees) == len(far.trees) == 2
+    for a, b in zip(near.trees, far.trees):
+        assert all((getattr(a, c) == getattr(b, c)).all() for c in ("feature", "left_bins", "left", "right", "value", "n", "total"))
