@@ -177,3 +177,20 @@ def test_the_sums_of_a_sibling_come_from_the_parent(spark, monkeypatch):
     assert near.base == far.base and len(near.trees) == len(far.trees) == 2
     for a, b in zip(near.trees, far.trees):
         assert all((getattr(a, c) == getattr(b, c)).all() for c in ("feature", "left_bins", "left", "right", "value", "n", "total"))
+
+
+def test_texts_move_once_and_written_records_are_packed(spark, tmp_path):
+    """Replies are sorted after the shuffle by key only, losers leave their text behind, and records are written packed, without a sort by success."""
+    from pricewise.operators import extract as EX
+    rows = [("a", 1, "bad"), ("a", 2, '{"price": 5}'), ("b", 1, "bad"), ("b", 2, "still bad"), ("c", 1, '{"price": 1}'), ("c", 2, '{"price": 2}'), (None, 1, '{"price": 7}')]
+    df = spark.createDataFrame(rows, "image_path string, attempt int, raw_text string")
+    first = EX.first_valid(EX.clean_attempts(df))
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort [" not in plan[plan.index("Exchange"):]
+    records = EX.extract_records(df)
+    EX.write_records(records, f"file://{tmp_path}/records", runs=f"file://{tmp_path}/runs")
+    back = EX.read_written_records(spark, f"file://{tmp_path}/records")
+    assert all(f.endswith(".json.gz") for f in back.inputFiles())
+    cols = ["image_path", "success", "error", "runtime_s", "attempts_used", "raw_text", "parsed_json.price"]
+    assert sorted(map(str, back.select(*cols).collect())) == sorted(map(str, records.select(*cols).collect()))
+    assert spark.read.parquet(f"file://{tmp_path}/runs").first()["metrics"]["total_images"] == 4
