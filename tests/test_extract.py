@@ -125,3 +125,19 @@ def test_strict_parse_rejects_what_follows_an_object(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
     got = [r["ok"] for r in df.select("i", EX.strict_parse(F.col("x")).isNotNull().alias("ok")).orderBy("i").collect()]
     assert got == [True] + [False] * 10 + [True]
+
+
+def test_types_are_looked_up_only_where_a_text_leaves_a_rule_open(spark):
+    """Texts, numbers and dimensions need no type, and read as before."""
+    rows = ['{"price": 12.5, "brand": 7, "width": "84 inches", "seat_number": "3.7", "storage": 1, "pull_out_bed": "1", "evidence": ["a", null], "colour_1": true}',
+            '{"price": "1e3", "brand": " b ", "width": true, "seat_number": 3.7, "storage": "0", "pull_out_bed": true, "evidence": "[x", "colour_1": ["£"], "description": false}',
+            '{"price": "12d", "brand": {}, "width": [5], "seat_number": 1e3, "storage": " Yes ", "pull_out_bed": 1.0, "evidence": "[]", "specifications": "{", "delivery": ["€"]}']
+    df = spark.createDataFrame([(f"k{i}", 1, x) for i, x in enumerate(rows)], "image_path string, attempt int, raw_text string")
+    cols = ["price", "brand", "width", "seat_number", "storage", "pull_out_bed", "evidence", "colour_1", "currency"]
+    out = EX.clean_attempts(df)
+    assert [tuple(r) for r in out.orderBy("image_path").select(*[f"f_{c}" for c in cols]).collect()] == [
+        (12.5, "7", 84.0, 3, None, True, ["a", "null"], "true", None),
+        (1000.0, "b", None, 3, False, True, ["[x"], '["£"]', None),
+        (None, "{}", None, 1000, True, None, ["[]"], None, "EUR")]
+    plan = out.select("f_price", "f_brand", "f_colour_1", "f_width")._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.evidence" in plan and not any(f"$.{c}" in plan for c in ("price", "brand", "colour_1", "width"))
